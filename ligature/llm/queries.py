@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ligature.llm import components, setsim, terms, tokenize
+from ligature.llm import components, leaks, setsim, terms, tokenize
 from ligature.runtime import read
 
 
@@ -38,8 +38,13 @@ def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenize.encode_corpus(read(spark, sf_dir, "documents"))
 
 
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mails that hold ten words in a row of an evaluation item."""
+    return leaks.leaked(read(spark, sf_dir, "documents"), read(spark, sf_dir, "eval_items"), window=10, similarity=1.0)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (p2_found, p5_found, p5_counts, p6_found, p7_ids)}
+    return {f.__name__: f for f in (p2_found, p5_found, p5_counts, p6_found, p7_ids, p8_found)}
 
 
 def _norm(column: str) -> str:
