@@ -1,14 +1,24 @@
-"""The queries p1, p2, p5 to p9 and, where SQL can express one, its SQL."""
+"""The queries p1, p2 and p5 to p9 and, where SQL can express one, its SQL."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ligature.llm import components, leaks, setsim, terms, tokenize
+from ligature.llm import components, garbled, leaks, names, setsim, terms, tokenize
 from ligature.runtime import read
 
 
+def p1_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Linked spellings of institutions and rows of authors, with the rarity of what links them."""
+    return names.linked(*names.variants(read(spark, sf_dir, "articles_raw")))
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Linked spellings of institutions and rows of authors."""
+    return p1_links(spark, sf_dir).select("entity_kind", "left_key", "right_key")
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Articles that share ip_hash or device_id, with one group id."""
     articles = read(spark, sf_dir, "articles_raw")
@@ -43,8 +53,18 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.leaked(read(spark, sf_dir, "documents"), read(spark, sf_dir, "eval_items"), window=10, similarity=1.0)
 
 
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mails with characters from wrongly decoded bytes."""
+    return garbled.garbled(read(spark, sf_dir, "documents"))[0].select("doc_id").distinct()
+
+
+def p9_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Those mails with their text restored where that is possible."""
+    return garbled.restored(read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (p2_found, p5_found, p5_counts, p6_found, p7_ids, p8_found)}
+    return {f.__name__: f for f in (p1_found, p1_links, p2_found, p5_found, p5_counts, p6_found, p7_ids, p8_found, p9_found, p9_restored)}
 
 
 def _norm(column: str) -> str:
