@@ -35,6 +35,7 @@ SWITCH, WILD = 3.0, 2.5
 GAIN = {"utf-8": 6.5, "eastern": 10.0}
 WORD_GAIN, WORD_LENGTH, WORD_TEXTS = 3.5, 3, 3
 MAX_TIMES = 3
+CHUNKS_PER_TASK = 2000
 
 
 @lru_cache(None)
@@ -351,7 +352,9 @@ def verdicts(chunks: DataFrame) -> DataFrame:
     shared = spark.sparkContext.broadcast(chars)
     vocabulary = counted.mapInArrow(count_words, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
     schema = "chunk string, written_in string, channel string, original string, gain double, side int, word string, share double"
-    spread = counted.repartition("chunk").mapInArrow(lambda it: explain(shared.value)(it), schema)
+    # A chunk is little to move and much to judge: the number of tasks follows the number of chunks, not their bytes.
+    tasks = max(spark.sparkContext.defaultParallelism, -(-counted.count() // CHUNKS_PER_TASK))
+    spread = counted.repartition(tasks, "chunk").mapInArrow(lambda it: explain(shared.value)(it), schema)
     n = F.coalesce("n", F.lit(0))
     term = F.log(n * F.col("share") + 0.02)
     known = (F.col("side") == 1) & (F.length("word") >= WORD_LENGTH) & (n >= WORD_TEXTS)
