@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ligature.functions.similarity import email_similarity
 from ligature.operators import evaluate, hubs, pairs, report, tokens
 from ligature.plans import sql
-from ligature.runtime import read
+from ligature.runtime import cut, read
 
 
 def _derived(spark: SparkSession, d: str) -> DataFrame:
@@ -24,7 +24,7 @@ def _flags(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _labels(spark: SparkSession, d: str) -> DataFrame:
-    derived, index = _derived(spark, d), _index(spark, d)
+    derived, index = _derived(spark, d), cut(_index(spark, d))
     alive = derived.join(index.select("article_id").distinct(), "article_id", "left_semi").select("article_id", (F.col("wd_status") == "red").alias("red"))
     return report.labelled(alive, pairs.peer_counts(pairs.scored_pairs(index)), evaluate.passing_attrs(hubs.passing(index)))
 
@@ -132,9 +132,9 @@ def passing_attrs(spark, d):
 
 
 def outcomes_legacy(spark, d):
-    """Outcome and reasons of every connected article."""
-    index = _index(spark, d)
-    scored = pairs.scored_pairs(index)
+    """Outcome and reasons of every connected article. Index and pairs are used several times: written once."""
+    index = cut(_index(spark, d))
+    scored = cut(pairs.scored_pairs(index))
     return evaluate.outcomes(_derived(spark, d), index, scored, pairs.peer_counts(scored), _flags(spark, d))
 
 
@@ -183,7 +183,7 @@ def best_threshold(spark, d):
 
 def type_lift(spark, d):
     """Lift of each attribute among best peers."""
-    return report.lift(_labels(spark, d), best_peer(spark, d))
+    return report.lift(cut(_labels(spark, d)), best_peer(spark, d))
 
 
 def match_patterns(spark, d):

@@ -6,11 +6,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-ARTICLES = T.StructType.fromDDL(
-    "article_id long, created timestamp_ntz, ip_hash string, asn_hash string, device_id string, canvas_hash string, webgl_hash string, hw_id_hash string, ua_family_hash string, "
-    "platform string, screen_width int, screen_height int, device_pixel_ratio double, languages string, timezone string, ua_family string, wd_status int, wd_message string, pm_status int, pm_message string, "
-    "author_name string, author_email string, author_org string, author_ip string, article_title string, stage_id int, stage_name string, rejection_reason string, rejection_code string, journal string, section string, article_type string, editors string, reviewers string"
-)
+_TYPES = {"long": T.LongType(), "int": T.IntegerType(), "double": T.DoubleType(), "string": T.StringType(), "timestamp": T.TimestampNTZType()}
+_COLUMNS = (
+    ("long", "article_id"),
+    ("timestamp", "created"),
+    ("string", "ip_hash asn_hash device_id canvas_hash webgl_hash hw_id_hash ua_family_hash platform"),
+    ("int", "screen_width screen_height"),
+    ("double", "device_pixel_ratio"),
+    ("string", "languages timezone ua_family"),
+    ("int", "wd_status"),
+    ("string", "wd_message"),
+    ("int", "pm_status"),
+    ("string", "pm_message author_name author_email author_org author_ip article_title"),
+    ("int", "stage_id"),
+    ("string", "stage_name rejection_reason rejection_code journal section article_type editors reviewers"),
+)
+#: The article table: 34 columns in a fixed order.
+ARTICLES = T.StructType([T.StructField(c, _TYPES[t]) for t, names in _COLUMNS for c in names.split()])
 FINGERPRINT = ("ip_hash", "asn_hash", "device_id", "canvas_hash", "webgl_hash", "hw_id_hash", "ua_family_hash", "platform", "screen_width", "screen_height", "device_pixel_ratio", "languages", "timezone", "ua_family")
 
 
