@@ -10,10 +10,17 @@ from ligature.operators.tokens import CAPS, RANKED, cap_of
 THRESHOLDS = tuple(range(6, 37, 2))
 
 
+def half_up(col, digits: int) -> Column:
+    """Rounded with ties away from zero for values that aren't negative, by one multiplication and one floor: the same on any engine."""
+    col = F.col(col) if isinstance(col, str) else col
+    scale = float(10**digits)
+    return F.floor(col * F.lit(scale) + F.lit(0.5)) / F.lit(scale)
+
+
 def percentiles(col: str, points: tuple[int, ...], digits: int | None = None) -> list[Column]:
     """``p10``-style columns by linear interpolation."""
     value = lambda p: F.percentile(F.col(col), F.lit(p / 100))
-    return [(F.round(value(p), digits) if digits is not None else value(p)).alias(f"p{p}") for p in points]
+    return [(half_up(value(p), digits) if digits is not None else value(p)).alias(f"p{p}") for p in points]
 
 
 def df_stats(frequencies: DataFrame, caps: dict[str, int] = CAPS) -> DataFrame:
@@ -24,7 +31,7 @@ def df_stats(frequencies: DataFrame, caps: dict[str, int] = CAPS) -> DataFrame:
     return f.groupBy("attr", "cap").agg(
         F.count("*").alias("n_values"), total.alias("n_articles"), *percentiles("df", (50, 90, 95, 99)), F.max("df").alias("size_max"),
         F.count_if(over).alias("values_over_cap"), F.sum(F.when(over, F.col("df")).otherwise(0)).alias("mass_over_cap"),
-        F.round(F.sum(F.when(over, F.col("df")).otherwise(0)) / total, 4).alias("pct_over_cap"), F.count_if(F.col("df") == 1).alias("singletons"),
+        half_up(F.sum(F.when(over, F.col("df")).otherwise(0)) / total, 4).alias("pct_over_cap"), F.count_if(F.col("df") == 1).alias("singletons"),
         F.count_if((F.col("df") >= 2) & ~over).alias("values_2_to_cap"), F.count_if((F.col("df") >= 5) & ~over).alias("values_5_to_cap"),
     )
 
@@ -39,12 +46,12 @@ def bucket_sizes(hub_stats: DataFrame, caps: dict[str, int] = CAPS) -> DataFrame
     """Sizes of kept values per ranked attribute, and the part of them near the cap."""
     h = hub_stats.where(F.col("attr").isin(*RANKED)).withColumn("cap", cap_of(caps))
     near = (F.col("size") >= F.col("cap") * 0.8).cast("int")
-    return h.groupBy("attr", "cap").agg(F.count("*").alias("buckets"), *percentiles("size", (50, 90, 99)), F.max("size").alias("size_max"), F.round(F.avg(near), 4).alias("pct_near_cap"))
+    return h.groupBy("attr", "cap").agg(F.count("*").alias("buckets"), *percentiles("size", (50, 90, 99)), F.max("size").alias("size_max"), half_up(F.avg(near), 4).alias("pct_near_cap"))
 
 
 def pair_summary(pairs: DataFrame) -> DataFrame:
     """Number, percentiles and mean of the pair scores."""
-    return pairs.agg(F.count("*").alias("n_pairs"), *percentiles("score", (10, 25, 50, 75, 90, 95, 99), 2), F.round(F.avg("score"), 2).alias("mean"))
+    return pairs.agg(F.count("*").alias("n_pairs"), *percentiles("score", (10, 25, 50, 75, 90, 95, 99), 2), half_up(F.avg("score"), 2).alias("mean"))
 
 
 def pattern() -> Column:
@@ -55,8 +62,8 @@ def pattern() -> Column:
 
 def patterns(pairs: DataFrame, k: int = 25) -> DataFrame:
     """The ``k`` commonest patterns with mean, median and the score if all agree. Grouped by the bits, named at the end."""
-    g = pairs.groupBy("matched").agg(F.count("*").alias("n_pairs"), F.round(F.avg("score"), 2).alias("score_mean"), F.round(F.percentile("score", F.lit(0.5)), 2).alias("score_p50"), F.min("score").alias("lo"), F.max("score").alias("hi"))
-    named = g.select(pattern().alias("pattern"), "n_pairs", "score_mean", "score_p50", F.when(F.round("lo", 2) == F.round("hi", 2), F.round("lo", 2)).alias("score_fixed"))
+    g = pairs.groupBy("matched").agg(F.count("*").alias("n_pairs"), half_up(F.avg("score"), 2).alias("score_mean"), half_up(F.percentile("score", F.lit(0.5)), 2).alias("score_p50"), F.min("score").alias("lo"), F.max("score").alias("hi"))
+    named = g.select(pattern().alias("pattern"), "n_pairs", "score_mean", "score_p50", F.when(half_up("lo", 2) == half_up("hi", 2), half_up("lo", 2)).alias("score_fixed"))
     return named.orderBy(F.desc("n_pairs"), "pattern").limit(k)
 
 
@@ -86,18 +93,18 @@ def scores_by_label(labels: DataFrame) -> DataFrame:
     """Distribution of the largest score in eight overlapping groups."""
     member = F.array_compact(F.array(*(F.when(cond(), F.lit(name)) for name, cond in GROUPS.items())))
     rows = labels.select(F.explode(member).alias("label"), "max_all")
-    return rows.groupBy("label").agg(F.count("*").alias("n"), *percentiles("max_all", (10, 25, 50, 75, 90, 95), 2), F.round(F.avg("max_all"), 2).alias("mean"))
+    return rows.groupBy("label").agg(F.count("*").alias("n"), *percentiles("max_all", (10, 25, 50, 75, 90, 95), 2), half_up(F.avg("max_all"), 2).alias("mean"))
 
 
 def prevalence(labels: DataFrame) -> DataFrame:
     """Share of articles with each label."""
-    return labels.agg(*(F.round(F.avg(F.col(c).cast("int")), 4).alias(c) for c in ("b0", "near", "net_doc", "structural", "red", "any_hub")))
+    return labels.agg(*(half_up(F.avg(F.col(c).cast("int")), 4).alias(c) for c in ("b0", "near", "net_doc", "structural", "red", "any_hub")))
 
 
 def sweep(labels: DataFrame, thresholds: tuple[int, ...] = THRESHOLDS) -> DataFrame:
     """Rate, recall and precision at every threshold: conditional sums of a single pass, turned into rows."""
     n = lambda cond: F.sum(cond.cast("int"))
-    ratio = lambda a, b: F.round(F.try_divide(a, b), 4)
+    ratio = lambda a, b: half_up(F.try_divide(a, b), 4)
     rows = []
     for t in thresholds:
         hit = F.col("max_all") >= t
@@ -106,7 +113,7 @@ def sweep(labels: DataFrame, thresholds: tuple[int, ...] = THRESHOLDS) -> DataFr
                 F.lit(t).alias("threshold"), ratio(n(hit), F.count("*")).alias("rate"), ratio(n(hit & ~(F.col("b0") | F.col("red"))), F.count("*")).alias("warn_rate"),
                 ratio(n(hit & F.col("structural")), n(F.col("structural"))).alias("recall_structural"), ratio(n(hit & F.col("structural")), n(hit)).alias("precision_structural"),
                 ratio(n(hit & F.col("b0")), n(F.col("b0"))).alias("recall_b0"), ratio(n(hit & F.col("red")), n(F.col("red"))).alias("recall_red"),
-                F.round(F.avg(F.when(hit, F.col("n_all"))), 1).alias("mean_peers"),
+                half_up(F.avg(F.when(hit, F.col("n_all"))), 1).alias("mean_peers"),
             )
         )
     return labels.agg(F.array(*rows).alias("_r")).select(F.inline("_r"))
@@ -115,7 +122,7 @@ def sweep(labels: DataFrame, thresholds: tuple[int, ...] = THRESHOLDS) -> DataFr
 def best_threshold(swept: DataFrame) -> DataFrame:
     """The most precise threshold with a rate of 3 to 12 % and a precision of 0.4 or more, else the one nearest 7 %."""
     good = F.col("rate").between(0.03, 0.12) & (F.coalesce("precision_structural", F.lit(0.0)) >= 0.4)
-    order = [F.desc(good), F.when(good, -F.col("precision_structural")), F.when(good, F.round(F.abs(F.col("rate") - 0.06), 6)).otherwise(F.round(F.abs(F.col("rate") - 0.07), 6)), F.col("threshold")]
+    order = [F.desc(good), F.when(good, -F.col("precision_structural")), F.when(good, half_up(F.abs(F.col("rate") - 0.06), 6)).otherwise(half_up(F.abs(F.col("rate") - 0.07), 6)), F.col("threshold")]
     return swept.orderBy(*order).limit(1)
 
 
@@ -127,7 +134,7 @@ def lift(labels: DataFrame, best: DataFrame) -> DataFrame:
     rows = best.select(F.col("subject").alias("article_id"), F.explode(attrs).alias("attr")).join(labels.select("article_id", positive.alias("y")), "article_id")
     weight = F.create_map(*(x for a, (_, w) in RANKED.items() for x in (F.lit(a), F.lit(w))))[F.col("attr")]
     base_col = F.lit(base).cast("double")
-    return rows.groupBy("attr").agg(F.count("*").alias("n"), F.avg("y").alias("r")).select("attr", "n", F.round("r", 4).alias("rate"), F.round(base_col, 4).alias("baseline"), F.round(F.try_divide(F.col("r"), base_col), 3).alias("lift"), weight.alias("weight"))
+    return rows.groupBy("attr").agg(F.count("*").alias("n"), F.avg("y").alias("r")).select("attr", "n", half_up("r", 4).alias("rate"), half_up(base_col, 4).alias("baseline"), half_up(F.try_divide(F.col("r"), base_col), 3).alias("lift"), weight.alias("weight"))
 
 
 def coverage(articles: DataFrame, columns: tuple[str, ...]) -> DataFrame:

@@ -76,7 +76,7 @@ def hub_eligible(spark, d):
 
 def hub_author_share(spark, d):
     """Share of each author in each hub."""
-    return hubs.author_share(_index(spark, d)).select("attr", "value", "author_name", "n", F.round("share", 6).alias("share"))
+    return hubs.author_share(_index(spark, d)).select("attr", "value", "author_name", "n", report.half_up("share", 6).alias("share"))
 
 
 def hub_adjacency(spark, d):
@@ -158,7 +158,7 @@ def flags_history(spark, d):
 def ops_metrics(spark, d):
     """Share of values above the cap, and shares of articles by what marks them."""
     o = outcomes_legacy(spark, d)
-    return o.agg(F.count("*").alias("n"), F.round(F.avg((F.col("outcome") == "BLOCK").cast("int")), 4).alias("block_rate"), F.round(F.avg("b1"), 4).alias("b1_rate"), F.round(F.avg("b2"), 4).alias("b2_rate"))
+    return o.agg(F.count("*").alias("n"), report.half_up(F.avg((F.col("outcome") == "BLOCK").cast("int")), 4).alias("block_rate"), report.half_up(F.avg("b1"), 4).alias("b1_rate"), report.half_up(F.avg("b2"), 4).alias("b2_rate"))
 
 
 def score_by_label(spark, d):
@@ -206,7 +206,7 @@ def snapshot_meta(spark, d):
 def email_similarity_scores(spark, d):
     """Similarity of name and e-mail of every article."""
     rows = _derived(spark, d).select("article_id", "author_name", "email")
-    return email_similarity(rows, "author_name", "email").withColumn("name_email_sim", F.round("name_email_sim", 6))
+    return email_similarity(rows, "author_name", "email").withColumn("name_email_sim", report.half_up("name_email_sim", 6))
 
 
 def queries() -> dict:
@@ -249,7 +249,7 @@ sc as (select *, cast({sql.SCORE} as double) as score from met where matched & 3
 select subject, peer, matched, score, cast(rank as int) as rank, match_total, {chips} as chips from (
   select *, row_number() over (partition by subject order by score desc, bit_count(matched & 15) desc, created_b desc, peer) as rank, count(*) over (partition by subject) as match_total from sc) where rank <= 15
 """
-    return {
+    checks = {
         "derived_articles": u("art") + "select * from art",
         "token_unpivot": u("tok") + "select attr, value, article_id from tok",
         "token_df": u("freq") + "select * from freq",
@@ -290,3 +290,4 @@ select attr, count(*) as n, round(avg(y), 4) as rate, round((select r from base)
         "kept_bucket_sizes": u("hub") + f"select attr, {sql.CAP} as cap, count(*) as buckets, {_q('size', (50, 90, 99))}, max(size) as size_max, round(avg(cast(size >= {sql.CAP} * 0.8 as int)), 4) as pct_near_cap from hub where attr in ({sql.RANKED_LIST}) group by 1, 2",
         "snapshot_meta": sql.with_(sql.ART, sql.TOK, sql.FREQ, sql.KEPT, sql.ALIVE, sql.IDX, sql.FLAGS) + "select (select count(distinct article_id) from idx) as articles, (select count(*) from (select distinct attr, value from idx)) as buckets, (select count(*) from flag) as flags",
     }
+    return {name: sql.half_up(text) for name, text in checks.items()}

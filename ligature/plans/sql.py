@@ -94,3 +94,18 @@ def upto(what: str) -> str:
     steps = [("art", ART), ("tok", TOK), ("freq", FREQ), ("kept", KEPT), ("alive", ALIVE), ("idx", IDX), ("hub", HUBS), ("pair", PAIRS), ("counts", COUNTS), ("passed", PASSED), ("flag", FLAGS), ("lab", LABELS)]
     names = [n for n, _ in steps]
     return with_(*(s for _, s in steps[: names.index(what) + 1]))
+
+
+def half_up(text: str) -> str:
+    """``text`` with every ``round(x, d)`` as one multiplication and one floor, as the Spark plans round."""
+    while (at := text.find("round(")) >= 0:
+        depth, i, comma = 1, at + 6, -1
+        while depth:
+            c = text[i]
+            depth += (c == "(") - (c == ")")
+            if c == "," and depth == 1:
+                comma = i
+            i += 1
+        scale = 10 ** int(text[comma + 1 : i - 1])
+        text = f"{text[:at]}(floor(cast({text[at + 6 : comma]} as double) * {scale}.0 + 0.5) / {scale}.0){text[i:]}"
+    return text

@@ -17,9 +17,10 @@ def distinct_events(stream: DataFrame, id_col: str, ts: str, lateness: str = LAT
     return stream.withWatermark(ts, lateness).dropDuplicatesWithinWatermark([id_col])
 
 
-def windowed_counts(stream: DataFrame, keys: list[str], ts: str, width: str = "1 day", lateness: str = LATENESS) -> DataFrame:
-    """Rows per key and tumbling window, final once the watermark has passed."""
-    return stream.withWatermark(ts, lateness).groupBy(F.window(ts, width), *keys).agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), *keys, "n")
+def windowed_counts(stream: DataFrame, keys: list[str], ts: str, width: str = "1 day", lateness: str | None = LATENESS) -> DataFrame:
+    """Rows per key and tumbling window, final once the watermark has passed. ``lateness`` None: the stream has a watermark already."""
+    marked = stream.withWatermark(ts, lateness) if lateness else stream
+    return marked.groupBy(F.window(ts, width), *keys).agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), *keys, "n")
 
 
 def upsert_latest(path: str, key: str, ts: str, tie: str):
