@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ligature.functions.text import clean
+from ligature.functions.text import clean, strip
 
 # Status codes of the document check.
 STATUS = {1: "green", 2: "yellow", 3: "red", 4: "n/a", 7: "gold", 9: "unchecked"}
@@ -21,9 +21,14 @@ def risk_band(message: Column) -> Column:
     return F.coalesce(F.lower(F.regexp_extract(message, r"(?i)(low|medium|high)\s+risk", 1)), F.lit(""))
 
 
+def raw_field(message: Column, label: str) -> Column:
+    """The value of one list item, stripped, or empty."""
+    return strip(F.regexp_extract(message, rf"(?is){label}:\s*(.*?)\s*</li>", 1))
+
+
 def document_field(message: Column, label: str) -> Column:
     """The cleaned value of one list item, or empty."""
-    return clean(F.regexp_extract(message, rf"(?is){label}:\s*(.*?)\s*</li>", 1))
+    return clean(raw_field(message, label))
 
 
 def document_match(message: Column) -> Column:

@@ -47,6 +47,12 @@ def profile_id(strict: bool = False) -> Column:
     return F.when(key == "", F.coalesce(strip(F.col("device_id")), F.lit(""))).otherwise(digest)
 
 
+def token_of_key(key: str, device_id: str) -> Column:
+    """The device token from a column that already holds the key."""
+    own = F.coalesce(strip(F.col(device_id)), F.lit(""))
+    return F.when(F.col(key) != "", F.substring(F.sha2(key, 256), 1, 16)).when(own.rlike("^[a-f0-9]{64}$"), F.substring(own, 1, 16)).otherwise("")
+
+
 def device_token(strict: bool = False) -> Column:
     """First 16 digits of a full digest, else empty."""
     value = F.coalesce(profile_id(strict), F.lit(""))

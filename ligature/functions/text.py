@@ -33,10 +33,14 @@ def strip(col: Column) -> Column:
     return F.trim(col.cast("string"), F.lit(SPACE))
 
 
+def unblank(stripped: Column) -> Column:
+    """A stripped value, or the empty string for null and the blank spellings."""
+    return F.when(stripped.isNull() | F.lower(stripped).isin(*BLANKS), "").otherwise(stripped)
+
+
 def clean(col: Column) -> Column:
     """Stripped value, or the empty string for null and the blank spellings."""
-    value = strip(col)
-    return F.when(value.isNull() | F.lower(value).isin(*BLANKS), "").otherwise(value)
+    return unblank(strip(col))
 
 
 def local_part(email: Column) -> Column:

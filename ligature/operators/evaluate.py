@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ligature.operators import hubs
-from ligature.operators.pairs import bit_of, first_attr, has, mirrored, score
+from ligature.operators.pairs import bit_of, has, score
 from ligature.operators.tokens import CAPS, DECISION, DOC, NET, RANKED, cap_of, frequencies, unpivot
 
 WARN = 34.0
@@ -19,26 +19,32 @@ def passing_attrs(passed: DataFrame) -> DataFrame:
     return bits.select("article_id", p, F.bit_count(p).alias("n_passed"), (p == DECISION).alias("all_four"), (F.bit_count(p) >= 3).alias("near"), ((p.bitwiseAND(F.lit(NET)) > 0) & (p.bitwiseAND(F.lit(DOC)) > 0)).alias("net_doc"))
 
 
-def flagged_peers(pairs: DataFrame, passed: DataFrame, index: DataFrame, flags: DataFrame) -> DataFrame:
+def flagged_peers(passed: DataFrame, index: DataFrame, flags: DataFrame) -> DataFrame:
     """Subjects with a flagged peer that shares network and document values, one of them in a hub the subject passes.
 
-    Only pairs with a flagged side are kept before anything else is joined.
+    Only the tokens of flagged articles are joined, not the pairs of all.
     """
-    near = mirrored(pairs).where(has(NET) & has(DOC)).join(flags.select(F.col("article_id").alias("peer")), "peer", "left_semi")
-    theirs = index.where(F.col("attr").isin(*hubs.DECISION_ATTRS)).join(flags, "article_id", "left_semi").select(F.col("article_id").alias("peer"), "attr", "value")
+    t = index.where(F.col("attr").isin(*RANKED)).select("attr", "value", "article_id", bit_of().alias("bit"))
+    theirs = t.join(flags, "article_id", "left_semi").select("attr", "value", F.col("article_id").alias("peer"))
+    met = t.withColumnRenamed("article_id", "subject").join(theirs, ["attr", "value"]).where(F.col("subject") != F.col("peer"))
+    near = met.groupBy("subject", "peer").agg(F.bit_or("bit").alias("matched")).where(has(NET) & has(DOC))
     shared = passed.select(F.col("article_id").alias("subject"), "attr", "value").join(theirs, ["attr", "value"]).select("subject", "peer")
     return near.select("subject", "peer").join(shared, ["subject", "peer"], "left_semi").select(F.col("subject").alias("article_id")).distinct()
 
 
-def outcomes(derived: DataFrame, index: DataFrame, pairs: DataFrame, counts: DataFrame, flags: DataFrame, warn: float = WARN) -> DataFrame:
+def alive(index: DataFrame) -> DataFrame:
+    """``(article_id, red)`` of the connected articles."""
+    return index.select("article_id", (F.col("wd_status") == "red").alias("red")).distinct()
+
+
+def outcomes(index: DataFrame, counts: DataFrame, flags: DataFrame, warn: float = WARN) -> DataFrame:
     """One row per connected article: outcome, max_score, n_peers and the three reasons as 0 or 1."""
     passed = hubs.passing(index)
-    alive = derived.join(index.select("article_id").distinct(), "article_id", "left_semi").select("article_id", (F.col("wd_status") == "red").cast("int").alias("b2"))
-    b1 = flagged_peers(pairs, passed, index, flags).withColumn("b1", F.lit(1))
+    b1 = flagged_peers(passed, index, flags).withColumn("b1", F.lit(1))
     b0 = passing_attrs(passed).select("article_id", F.col("all_four").cast("int").alias("b0"))
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
-    rows = alive.join(counts.select("article_id", "n_peers", "max_score"), "article_id", "left").join(b0, "article_id", "left").join(b1, "article_id", "left")
-    rows = rows.select("article_id", F.coalesce("max_score", F.lit(0.0)).alias("max_score"), F.coalesce("n_peers", F.lit(0)).alias("n_peers"), zero("b0"), zero("b1"), "b2")
+    rows = alive(index).join(counts.select("article_id", "n_peers", "max_score"), "article_id", "left").join(b0, "article_id", "left").join(b1, "article_id", "left")
+    rows = rows.select("article_id", F.coalesce("max_score", F.lit(0.0)).alias("max_score"), F.coalesce("n_peers", F.lit(0)).alias("n_peers"), zero("b0"), zero("b1"), F.col("red").cast("int").alias("b2"))
     outcome = F.when((F.col("b0") + F.col("b1") + F.col("b2")) > 0, "BLOCK").when(F.col("max_score") >= warn, "WARN").otherwise("PASS")
     return rows.withColumn("outcome", outcome)
 
@@ -70,5 +76,3 @@ def chips(matches: DataFrame) -> DataFrame:
     names = F.array_compact(F.array(*(F.when(has(bit), F.lit(a)) for a, (bit, _) in RANKED.items())))
     return matches.withColumn("chips", F.array_join(names, "+"))
 
-
-__all__ = ["chips", "first_attr", "flagged_matches", "flagged_peers", "outcomes", "passing_attrs"]

@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ligature.functions import messages
-from ligature.functions.profile import device_token
-from ligature.functions.text import clean, email_pattern
-from ligature.runtime import small
+from ligature.functions.profile import profile_errors, profile_key, token_of_key
+from ligature.functions.text import email_pattern, strip, unblank
+from ligature.runtime import cut, small
 
 #: Indexed attributes and the largest number of articles that may share a value.
 CAPS = {"email": 120, "ip": 120, "device": 120, "author_ip": 120, "wd_author": 500, "wd_edited_by": 500, "wd_company": 500, "locale": 25}
@@ -33,32 +33,21 @@ def derive(articles: DataFrame, strict_profile: bool = False) -> DataFrame:
 
     Rows repeated whole count once; rows without article_id are dropped. Every expression is native.
     """
-    langs, zone = clean(F.col("languages")), clean(F.col("timezone"))
-    wd = F.col("wd_message")
-    return (
-        articles.where("article_id is not null")
-        .select(
-            "article_id",
-            F.to_date("created").alias("created_on"),
-            F.substring(clean(F.col("article_title")), 1, TITLE_LENGTH).alias("title"),
-            *(clean(F.col(c)).alias(c) for c in ("author_name", "author_org", "stage_name", "journal", "section", "article_type", "editors", "reviewers", "platform", "ua_family")),
-            messages.risk_score(F.col("pm_message")).alias("pm_score"),
-            messages.risk_band(F.col("pm_message")).alias("pm_band"),
-            messages.status_name(F.col("wd_status")).alias("wd_status"),
-            messages.document_match(wd).alias("wd_match"),
-            email_pattern(F.lower(clean(F.col("author_email")))).alias("email_pattern"),
-            F.lower(clean(F.col("author_email"))).alias("email"),
-            F.substring(clean(F.col("ip_hash")), 1, HASH_LENGTH).alias("ip"),
-            device_token(strict_profile).alias("device"),
-            clean(F.col("author_ip")).alias("author_ip"),
-            messages.document_field(wd, "Author").alias("wd_author"),
-            messages.document_field(wd, "Last modified by").alias("wd_edited_by"),
-            messages.document_field(wd, "Company").alias("wd_company"),
-            F.when((langs != "") & (zone != ""), F.concat_ws("|", langs, zone)).otherwise("").alias("locale"),
-            clean(F.col("asn_hash")).alias("asn"),
-        )
-        .distinct()
-    )
+    wd, pm = F.col("wd_message"), F.col("pm_message")
+    plain = ("author_name", "author_org", "stage_name", "journal", "section", "article_type", "editors", "reviewers", "platform", "ua_family")
+    # Each value is stripped once, cleaned once and then used: the steps keep Catalyst from repeating an expression.
+    stripped = articles.where("article_id is not null").select(
+        "article_id", F.to_date("created").alias("created_on"), *(strip(F.col(c)).alias(c) for c in (*plain, "article_title", "author_email", "ip_hash", "author_ip", "languages", "timezone", "asn_hash")),
+        messages.raw_field(wd, "Author").alias("wd_author"), messages.raw_field(wd, "Last modified by").alias("wd_edited_by"), messages.raw_field(wd, "Company").alias("wd_company"),
+        messages.risk_score(pm).alias("pm_score"), messages.risk_band(pm).alias("pm_band"), messages.status_name(F.col("wd_status")).alias("wd_status"), messages.document_match(wd).alias("wd_match"),
+        (F.when(F.size(profile_errors()) == 0, profile_key()).otherwise("") if strict_profile else profile_key()).alias("_key"), F.lit(None).cast("string").alias("device_id") if strict_profile else F.col("device_id"),
+    )
+    cleaned = stripped.withColumns({c: unblank(F.col(c)) for c in (*plain, "author_ip", "languages", "timezone", "wd_author", "wd_edited_by", "wd_company")}).withColumns({"email": F.lower(unblank(F.col("author_email"))), "ip": unblank(F.col("ip_hash")), "asn": unblank(F.col("asn_hash")), "title": unblank(F.col("article_title"))})
+    return cleaned.select(
+        "article_id", "created_on", F.substring("title", 1, TITLE_LENGTH).alias("title"), *plain, "pm_score", "pm_band", "wd_status", "wd_match",
+        email_pattern(F.col("email")).alias("email_pattern"), "email", F.substring("ip", 1, HASH_LENGTH).alias("ip"), token_of_key("_key", "device_id").alias("device"), "author_ip", "wd_author", "wd_edited_by", "wd_company",
+        F.when((F.col("languages") != "") & (F.col("timezone") != ""), F.concat_ws("|", "languages", "timezone")).otherwise("").alias("locale"), "asn",
+    ).distinct()
 
 
 def unpivot(derived: DataFrame, attrs: tuple[str, ...] = tuple(CAPS), carry: tuple[str, ...] = ()) -> DataFrame:
@@ -93,11 +82,15 @@ def connected(kept_tokens: DataFrame) -> DataFrame:
     return kept_tokens.where(~F.col("attr").isin(*WEAK)).select("article_id").distinct()
 
 
-def index(derived: DataFrame, caps: dict[str, int] = CAPS, carry: tuple[str, ...] = ("author_name", "author_org", "created_on")) -> DataFrame:
+def index(derived: DataFrame, caps: dict[str, int] = CAPS, carry: tuple[str, ...] = ("author_name", "author_org", "created_on", "wd_status")) -> DataFrame:
     """The kept tokens of connected articles, of values that still have two of them."""
-    own = kept(unpivot(derived, carry=carry), caps).drop("df")
-    alive = own.join(connected(own), "article_id", "left_semi")
-    return kept(alive, {a: 1 << 30 for a in caps}).withColumnRenamed("df", "size")
+    # Tokens are written once: deriving them costs more than reading them back for the count and the join.
+    own = cut(kept(cut(unpivot(derived, carry=carry)), caps))
+    # All holders of a kept strong value are connected by it, so only weak values can lose some.
+    strong = own.where(~F.col("attr").isin(*WEAK)).withColumnRenamed("df", "size")
+    weak = own.where(F.col("attr").isin(*WEAK)).drop("df").join(connected(own), "article_id", "left_semi")
+    left = kept(weak, {a: 1 << 30 for a in caps}).withColumnRenamed("df", "size")
+    return strong.unionByName(left)
 
 
 def flagged(flags: DataFrame) -> DataFrame:

@@ -24,9 +24,8 @@ def _flags(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _labels(spark: SparkSession, d: str) -> DataFrame:
-    derived, index = _derived(spark, d), cut(_index(spark, d))
-    alive = derived.join(index.select("article_id").distinct(), "article_id", "left_semi").select("article_id", (F.col("wd_status") == "red").alias("red"))
-    return report.labelled(alive, pairs.peer_counts(pairs.scored_pairs(index)), evaluate.passing_attrs(hubs.passing(index)))
+    index = cut(_index(spark, d))
+    return report.labelled(evaluate.alive(index), pairs.peer_counts(pairs.scored_pairs(index)), evaluate.passing_attrs(hubs.passing(index)))
 
 
 def derived_articles(spark, d):
@@ -132,10 +131,9 @@ def passing_attrs(spark, d):
 
 
 def outcomes_legacy(spark, d):
-    """Outcome and reasons of every connected article. Index and pairs are used several times: written once."""
+    """Outcome and reasons of every connected article. The index is used several times: written once."""
     index = cut(_index(spark, d))
-    scored = cut(pairs.scored_pairs(index))
-    return evaluate.outcomes(_derived(spark, d), index, scored, pairs.peer_counts(scored), _flags(spark, d))
+    return evaluate.outcomes(index, pairs.peer_counts(pairs.scored_pairs(index)), _flags(spark, d))
 
 
 def outcome_rates(spark, d):
