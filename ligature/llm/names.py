@@ -77,6 +77,8 @@ TITLES = set("dr prof professor phd md msc bsc ma ms mr mrs mx sir jr sr ii iii
 TOKEN_OF = {form: word for word, forms in ORG_WORDS.items() for form in forms.split()}
 #: A spelling follows a commoner one if it has at most this share of its uses, plus a few.
 RARE_SHARE, RARE_PLUS = 0.2, 2
+#: The same for family names, which are compared within one institution only and then with the given name.
+RARE_PLUS_FAMILY = 10
 
 
 def fold(text: str) -> str:
@@ -166,13 +168,16 @@ def person_form(name: str) -> tuple[str, str, str, str] | None:
             family, rest = tokens[-1:], tokens[:-1]
     if not rest:
         return None
+    name = "".join(family).lower()
+    if len(name) > 4:  # accents written out
+        name = re.sub("([aou])e", r"\1", name)
     if len(rest[0]) <= 2 and rest[0].isupper():
         letters = "".join(rest)
-        return "".join(family).lower(), "", letters[0].lower(), letters[1:2].lower()
+        return name, "", letters[0].lower(), letters[1:2].lower()
     first, others = rest[0].lower(), rest[1:]
     if len(first) == 1:
-        return "".join(family).lower(), "", first, others[0][0].lower() if others else ""
-    return "".join(family).lower(), first, first[0], others[0][0].lower() if others else ""
+        return name, "", first, others[0][0].lower() if others else ""
+    return name, first, first[0], others[0][0].lower() if others else ""
 
 
 def formals(given: str) -> list[str]:
@@ -200,7 +205,7 @@ def edit_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.filter(pa.array([one_edit(x, y) for x, y in zip(a, b)], pa.bool_()))
 
 
-def heads(words: DataFrame, scope: list[str], all_of_them: bool = False) -> DataFrame:
+def heads(words: DataFrame, scope: list[str], all_of_them: bool = False, plus: int = RARE_PLUS) -> DataFrame:
     """``(scope, word, head)`` of the rare spellings among ``(scope, word, n)`` that follow a commoner one, one edit away.
 
     All forms with one letter left out are exploded and joined to each form's commonest spelling; the
@@ -209,7 +214,7 @@ def heads(words: DataFrame, scope: list[str], all_of_them: bool = False) -> Data
     out = F.transform(F.sequence(F.lit(1), F.length("word")), lambda k: F.concat(F.col("word").substr(F.lit(1), k - 1), F.col("word").substr(k + 1, F.length("word"))))
     forms = words.where(F.length("word") >= 2).select(*scope, "word", "n", F.explode(F.array_distinct(F.concat(F.array("word"), out))).alias("form"))
     best = forms.groupBy(*scope, "form").agg(F.max(F.struct("n", "word")).alias("_h"), F.count("*").alias("_c")).where("_c > 1").select(*scope, "form", F.col("_h.word").alias("head"), F.col("_h.n").alias("head_n"))
-    follows = forms.join(best, [*scope, "form"]).where((F.col("word") != F.col("head")) & (F.col("n") <= F.col("head_n") * RARE_SHARE + RARE_PLUS)).select(*scope, "n", "head_n", "word", "head").distinct()
+    follows = forms.join(best, [*scope, "form"]).where((F.col("word") != F.col("head")) & (F.col("n") <= F.col("head_n") * RARE_SHARE + plus)).select(*scope, "n", "head_n", "word", "head").distinct()
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in follows.schema)
     near = follows.mapInArrow(edit_pairs, schema)
     if all_of_them:
@@ -217,10 +222,10 @@ def heads(words: DataFrame, scope: list[str], all_of_them: bool = False) -> Data
     return near.groupBy(*scope, "word").agg(F.max(F.struct("head_n", "head")).alias("_b")).select(*scope, "word", F.col("_b.head").alias("head"))
 
 
-def rooted(words: DataFrame, scope: list[str]) -> DataFrame:
+def rooted(words: DataFrame, scope: list[str], plus: int = RARE_PLUS) -> DataFrame:
     """``(scope, word, root)`` of every spelling: itself, its head, or its head's head."""
     words = cut(words)
-    first = cut(heads(words, scope))
+    first = cut(heads(words, scope, plus=plus))
     second = first.select(*scope, F.col("word").alias("head"), F.col("head").alias("head2"))
     return words.join(first, [*scope, "word"], "left").join(second, [*scope, "head"], "left").select(*scope, "word", F.coalesce("head2", "head", "word").alias("root"))
 
@@ -240,7 +245,7 @@ def persons(names: DataFrame) -> DataFrame:
     initial stands for the only formal name with it, if need be with the same middle initial.
     """
     forms = cut(names.mapInArrow(person_forms, "inst string, name string, n long, family string, given string, initial string, middle string").where("family is not null"))
-    roots = rooted(forms.groupBy("inst", F.col("family").alias("word")).agg(F.sum("n").alias("n")), ["inst"]).withColumnRenamed("word", "family")
+    roots = rooted(forms.groupBy("inst", F.col("family").alias("word")).agg(F.sum("n").alias("n")), ["inst"], RARE_PLUS_FAMILY).withColumnRenamed("word", "family")
     forms = cut(forms.join(roots, ["inst", "family"]).select("inst", "name", "n", F.col("root").alias("family"), "given", "initial", "middle"))
     # Formal names of a given name: through nicknames, and through the commoner names it may be an error for.
     given = cut(forms.where("given <> ''").groupBy(F.col("given").alias("word")).agg(F.sum("n").alias("n")))
