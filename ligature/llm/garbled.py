@@ -1,7 +1,7 @@
 """Text decoded with the wrong character encoding: found and restored by noisy-channel decoding.
 
 The unit is the chunk, a run of characters without ASCII white space that holds a character outside
-ASCII; every distinct chunk of the corpus is judged once. A channel says which encoding the bytes
+ASCII, cut into pieces if it is very long; every distinct chunk of the corpus is judged once. A channel says which encoding the bytes
 were written in and which they were read in. Under a channel a chunk is a byte lattice: an edge
 keeps a character as it is or turns the bytes behind one or more characters into the character they
 stood for; a lost byte (U+FFFD, or a space or question mark where a byte must be) is a wildcard that
@@ -28,7 +28,10 @@ READ_AS = ("cp1252", "cp437", "cp850", "mac_roman", "cp1251", "koi8-r", "cp866",
 SINGLE = ("cp1252", "cp1251", "koi8-r", "cp866", "iso8859-5", "mac_roman", "cp437", "cp850", "cp1250", "iso8859-2", "mac_cyrillic", "cp1253")
 MULTI = ("utf-8", "cp932", "euc_jp", "gb18030", "euc_kr", "big5")
 LOST = "�"
-CHUNK = r"[^\x00-\x20]*[^\x00-\x7f][^\x00-\x20]*"
+#: A chunk: the ASCII characters before the first other one, and at most so many after it; a longer run goes on in the next chunk.
+CHUNK = r"(?:(?<![^\x00-\x20])|\G)[\x21-\x7f]*+[^\x00-\x7f][^\x00-\x20]{0,150}"
+#: ASCII characters kept before the first other one.
+LEAD = r"^[\x21-\x7f]*(?=[\x21-\x7f]{60}[^\x00-\x7f])"
 #: Cost of leaving or entering the damaged state within a chunk, and of a wildcard byte.
 SWITCH, WILD = 3.0, 2.5
 #: What an explanation must gain (natural logarithm): characters alone for multi-byte encodings, words for single-byte ones.
@@ -68,7 +71,7 @@ def multi(written_in: str, raw: bytes) -> str | None:
         text = raw.decode(written_in)
     except UnicodeError:
         return None
-    return text if len(text) == 1 and (text > "\x9f") else None
+    return text if len(text) == 1 and text > "\x7f" else None
 
 
 def kind(ch: str) -> str:
@@ -338,7 +341,8 @@ def explain(chars: Characters):
 
 def document_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Distinct ``(doc_id, chunk)`` of the chunks with characters outside ASCII."""
-    found = F.array_distinct(F.regexp_extract_all(F.col(text_col), F.lit(CHUNK), F.lit(0)))
+    whole = F.regexp_extract_all(F.col(text_col), F.lit(CHUNK), F.lit(0))
+    found = F.array_distinct(F.transform(whole, lambda c: F.when(F.length(c) > 220, F.regexp_replace(c, LEAD, "")).otherwise(c)))
     return docs.where(F.col(id_col).isNotNull() & F.col(text_col).rlike(r"[^\x00-\x7f]")).select(F.col(id_col).cast("long").alias("doc_id"), F.explode(found).alias("chunk"))
 
 

@@ -81,6 +81,15 @@ def test_empty(spark, archive):
     assert garbled.garbled(docs.where(F.col("text") == "plain ascii"))[0].count() == 0
 
 
+def test_long_runs_are_cut_without_loss(spark):
+    text = "x" * 500 + "é" * 1000 + "abc " + "y" * 300 + " züü"
+    f = spark.createDataFrame([(1, text), (2, text), (None, text), (3, None)], "doc_id long, text string")
+    got = garbled.document_chunks(f).where("doc_id = 1").collect()
+    assert max(len(r.chunk) for r in got) <= 220 and all(r.chunk in text for r in got)
+    assert {"é", "ü"} <= {c for r in got for c in r.chunk} and any(r.chunk.endswith("abc") for r in got)
+    assert garbled.document_chunks(f).select("doc_id").distinct().count() == 2
+
+
 def test_wildcard():
     chars = garbled.Characters({"é": 50, "ã": 5, "©": 2, "Ã": 3}, {"al": 40, "la": 40, "pa": 60, "ap": 60, "aa": 300})
     assert garbled.wildcards("cafÃ�", "cp1252", chars) == [(3, 5, "é")]
