@@ -153,6 +153,25 @@ def flags_history(spark, d):
     return read(spark, d, "flags").join(inside, "article_id", "left").withColumn("in_index", F.coalesce("in_index", F.lit(False)))
 
 
+def flags_summary(spark, d):
+    """Flag events per status, with articles and comments."""
+    f = read(spark, d, "flags")
+    return f.groupBy("status").agg(F.count("*").alias("n"), F.count_distinct("article_id").alias("n_articles"), F.count_if(F.coalesce("comment", F.lit("")) != "").alias("n_comments"))
+
+
+def device_reuse(spark, d):
+    """Articles, organisations, languages and time zones seen with each device."""
+    one = _derived(spark, d).where("device <> ''").withColumn("org", F.nullif("author_org", F.lit(""))).withColumn("loc", F.nullif("locale", F.lit("")))
+    return one.groupBy("device").agg(F.count("*").alias("n_articles"), F.count_distinct("org").alias("n_orgs"), F.count_distinct("loc").alias("n_locales"))
+
+
+def cap_skips(spark, d):
+    """Per attribute the values above the cap and their share of all."""
+    f = token_df(spark, d)
+    over = (F.col("df") > tokens.cap_of(tokens.CAPS)).cast("int")
+    return f.groupBy("attr").agg(F.sum(over).alias("n_over"), report.half_up(F.avg(over), 6).alias("skip_rate"))
+
+
 def ops_metrics(spark, d):
     """Share of values above the cap, and shares of articles by what marks them."""
     o = outcomes_legacy(spark, d)
@@ -210,7 +229,7 @@ def email_similarity_scores(spark, d):
 def queries() -> dict:
     fs = (
         derived_articles, token_unpivot, token_df, token_df_stats, token_top_sizes, kept_buckets, connected_articles, hub_stats, hub_eligible, hub_author_share, hub_adjacency, hub_drilldown, compare_shared,
-        pair_bitmask, pair_scores, pair_score_summary, peer_topk, best_peer, peer_counts, passing_attrs, outcomes_legacy, outcome_rates, flagged_matches, flags_history, ops_metrics,
+        pair_bitmask, pair_scores, pair_score_summary, peer_topk, best_peer, peer_counts, passing_attrs, outcomes_legacy, outcome_rates, flagged_matches, flags_history, flags_summary, device_reuse, cap_skips, ops_metrics,
         score_by_label, label_prevalence, warn_sweep, best_threshold, type_lift, match_patterns, kept_bucket_sizes, snapshot_meta, email_similarity_scores,
     )
     return {f.__name__: f for f in fs}
@@ -275,6 +294,9 @@ select attr, cap, count(*) as n_values, cast(sum(df) as bigint) as n_articles, {
         "ops_metrics": u("flag") + outcomes + "select count(*) as n, round(avg(cast(outcome = 'BLOCK' as int)), 4) as block_rate, round(avg(b1), 4) as b1_rate, round(avg(b2), 4) as b2_rate from oo",
         "flagged_matches": flagged,
         "flags_history": u("idx") + "select flags.*, flags.article_id in (select article_id from idx) as in_index from flags",
+        "flags_summary": "select status, count(*) as n, count(distinct article_id) as n_articles, count(*) filter (where coalesce(comment, '') <> '') as n_comments from flags group by 1",
+        "device_reuse": u("art") + "select device, count(*) as n_articles, count(distinct nullif(author_org, '')) as n_orgs, count(distinct nullif(locale, '')) as n_locales from art where device <> '' group by 1",
+        "cap_skips": u("freq") + f"select attr, cast(sum(cast(df > {sql.CAP} as int)) as bigint) as n_over, round(avg(cast(df > {sql.CAP} as int)), 6) as skip_rate from freq group by 1",
         "score_by_label": u("lab") + f"select label, count(*) as n, {_q('max_all', (10, 25, 50, 75, 90, 95), 2)}, round(avg(max_all), 2) as mean from ({grouped}) group by 1",
         "label_prevalence": u("lab") + "select " + ", ".join(f"round(avg(cast({c} as int)), 4) as {c}" for c in ("b0", "near", "net_doc", "structural", "red", "any_hub")) + " from lab",
         "warn_sweep": u("lab") + swept,

@@ -83,6 +83,11 @@ def author_json_pick(spark, d):
     return tables.author_pick(nested.flatten(read(spark, d, "resource_version")))
 
 
+def submitting_author(spark, d):
+    """Name, e-mail and affiliation of the submitting author of each record's JSON."""
+    return tables.submitting_author(nested.flatten(read(spark, d, "resource_version")))
+
+
 def clean_placeholders(spark, d):
     """Placeholders of the typed columns emptied."""
     return _articles(spark, d).select("article_id", *(clean(F.col(c)).alias(c) for c in ("author_name", "author_email", "author_org", "ip_hash", "languages"))).distinct()
@@ -185,7 +190,7 @@ def latest_line_per_order(spark, d):
 
 def queries() -> dict:
     fs = (
-        recent_articles_window, aged_articles, latest_fingerprint, indicators_latest_row, indicators_latest_non_null, primary_author_pick, author_ip, author_display_names, latest_version, model_scalars, author_json_pick,
+        recent_articles_window, aged_articles, latest_fingerprint, indicators_latest_row, indicators_latest_non_null, primary_author_pick, author_ip, author_display_names, latest_version, model_scalars, author_json_pick, submitting_author,
         clean_placeholders, email_patterns, papermill_message_parse, worddoc_message_parse, device_profile_hash, assembled_articles, incremental_splice, archive_dedup, context_replace, fill_if_empty, rotate_shifted,
         context_coverage, editorial_context_star, json_props_extract, latest_line_per_order,
     )

@@ -7,7 +7,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ligature.operators.latest import best_row, first_non_null, latest_non_null, latest_row
+from ligature.operators.latest import best_row, first_non_null, latest_row
 from ligature.operators.refresh import within
 from ligature.schema import FINGERPRINT
 
@@ -130,6 +130,17 @@ def author_pick(nodes: DataFrame, slots: int = 4) -> DataFrame:
     return picked.join(orgs, ["version_id", "author_pos"], "left").select("version_id", "author_pos", "name", "email", F.coalesce(clean(F.col("org")), F.lit("")).alias("org"))
 
 
+def submitting_author(nodes: DataFrame) -> DataFrame:
+    """``(version_id, name, email, affiliation)`` of the submitting, else the first author of each record: the primary affiliation, else the first one."""
+    from ligature.functions.text import display_name
+
+    name = display_name(F.col("first_name"), F.col("middle_name"), F.col("last_name"), F.col("full_name"))
+    authors = nodes.where("node = 'author'").select("version_id", "author_pos", F.nullif(name, F.lit("")).alias("name"), F.nullif("email", F.lit("")).alias("email"), "is_submitting").distinct()
+    one = best_row(authors, ["version_id"], [F.when(F.col("is_submitting"), 0).otherwise(1), F.col("author_pos"), F.col("name")])
+    orgs = nodes.where("node = 'primary' or (node = 'affiliation' and affil_pos = 0)").groupBy("version_id", "author_pos").agg(F.min_by("name", F.struct(F.when(F.col("node") == "primary", 0).otherwise(1), "name")).alias("affiliation"))
+    return one.join(orgs, ["version_id", "author_pos"], "left").select("version_id", "name", "email", F.nullif("affiliation", F.lit("")).alias("affiliation"))
+
+
 def assemble(resources: DataFrame, fingerprints: DataFrame, indicator_rows: DataFrame, authors: DataFrame, context: DataFrame, as_of: str, days: int) -> DataFrame:
     """The article table of a window from its parts, each joined once on article_id. Addresses are joined to the articles directly."""
     articles = recent_articles(resources, as_of, days)
@@ -139,5 +150,3 @@ def assemble(resources: DataFrame, fingerprints: DataFrame, indicator_rows: Data
         out = out.join(p, "article_id", "left")
     return out
 
-
-__all__ = ["latest_non_null"]
