@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ligature.functions.text import normal
+from ligature.runtime import cut
 
 PAIRS = "left_id long, right_id long, overlap int"
 
@@ -144,14 +145,38 @@ def merge(num: int, den: int):
     return run
 
 
-def similar_pairs(sets: DataFrame, num: int = 3, den: int = 5, min_size: int = 4, hot: int = 1000) -> DataFrame:
+def giant_pairs(clean: DataFrame, sizes: DataFrame, num: int, den: int, large: int) -> DataFrame:
+    """Similar pairs of which one set has more than ``large`` values.
+
+    Partners have at least num/den of that size, so there are few sets; their overlaps are counted by
+    joining values and partial sums, never in one task.
+    """
+    near = sizes.where(F.col("n") * den >= F.lit(large) * num)
+    own = clean.join(near, "id")
+    a, b = own.select("value", F.col("id").alias("left_id"), F.col("n").alias("na")), own.select("value", F.col("id").alias("right_id"), F.col("n").alias("nb"))
+    met = a.join(b, "value").where((F.col("left_id") < F.col("right_id")) & (F.greatest("na", "nb") > large) & (F.least("na", "nb") * den >= F.greatest("na", "nb") * num))
+    counted = met.groupBy("left_id", "right_id", "na", "nb").agg(F.count("*").cast("int").alias("overlap"))
+    return counted.where(F.col("overlap") * (num + den) >= (F.col("na") + F.col("nb")) * num).select("left_id", "right_id", "overlap")
+
+
+def similar_pairs(sets: DataFrame, num: int = 3, den: int = 5, min_size: int = 4, hot: int = 1000, large: int = 50_000) -> DataFrame:
     """``(left_id, right_id, overlap)`` of all pairs with a Jaccard similarity of at least num/den.
 
     ``sets`` are ``(id, value)`` rows, repeated ones allowed; records of fewer than ``min_size``
     values take no part. left_id is the smaller one. Null ids and values are left out; an empty
-    table gives no rows. ``hot`` only decides how a list is split, never what is found.
+    table gives no rows. ``hot`` only decides how a list is split and ``large`` which sets are too
+    large for one row, never what is found.
     """
-    clean = sets.where("id is not null and value is not null").select("id", "value").distinct()
+    if needed(min_size, min_size, num, den) < 2 or -(-min_size * num // den) < 2:
+        raise ValueError("min_size must be large enough that similar sets share two values")
+    clean = cut(sets.where("id is not null and value is not null").select("id", "value").distinct())
+    # Sets too large for one row are joined value by value; as a rule there is none.
+    sizes = clean.groupBy("id").agg(F.count("*").alias("n"))
+    giants = sizes.where(F.col("n") > large)
+    large_pairs = None
+    if not giants.isEmpty():
+        large_pairs = giant_pairs(clean, sizes, num, den, large)
+        clean = clean.join(giants, "id", "left_anti")
     ranked = clean.join(clean.groupBy("value").agg(F.count("*").alias("df")), "value")
     entry = F.sort_array(F.collect_list(F.struct("df", "value")))
     records = ranked.groupBy("id").agg(entry.alias("e"), F.count("*").cast("int").alias("size")).where(F.col("size") >= min_size)
@@ -171,4 +196,5 @@ def similar_pairs(sets: DataFrame, num: int = 3, den: int = 5, min_size: int = 4
     cells = F.transform(F.sequence(F.lit(0), F.col("b") - 1), lambda j: F.struct((F.least("own", j) * F.col("b") + F.greatest("own", j)).alias("cell"), F.when(j == F.col("own"), 2).when(F.col("own") < j, 0).otherwise(1).alias("side")))
     split = heavy.join(counts, ["k1", "k2"]).withColumn("b", blocks).withColumn("own", own).select("k1", "k2", F.explode(cells).alias("_c"), "id", "values").select("k1", "k2", "_c.cell", "id", "_c.side", "values")
     parts = light.unionByName(split).repartition("k1", "k2", "cell").sortWithinPartitions("k1", "k2", "cell")
-    return parts.mapInArrow(merge(num, den), PAIRS)
+    found = parts.mapInArrow(merge(num, den), PAIRS)
+    return found if large_pairs is None else found.unionByName(large_pairs)

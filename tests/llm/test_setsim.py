@@ -43,6 +43,17 @@ def test_only_hot_values(spark):
     assert found(spark, rows, hot=3) == brute(rows)
 
 
+def test_sets_too_large_for_a_row(spark):
+    rng = random.Random(6)
+    rows = [(k, v) for k in range(12) for v in rng.sample(range(60), 12 + 3 * k)]
+    assert found(spark, rows, large=25) == brute(rows) == found(spark, rows)
+
+
+def test_too_small_sets_are_refused(spark):
+    with pytest.raises(ValueError, match="min_size"):
+        found(spark, [(1, 1)], min_size=1)
+
+
 def test_large_list_without_pairs(spark):
     rows = [(k, v) for k in range(400) for v in (0, 1000 + 3 * k, 1001 + 3 * k, 1002 + 3 * k)]
     assert found(spark, rows, hot=1000) == set()
