@@ -28,10 +28,11 @@ GENERIC = (
 TITLE_LENGTH, HASH_LENGTH = 60, 16
 
 
-def derive(articles: DataFrame, strict_profile: bool = False) -> DataFrame:
+def derive(articles: DataFrame, strict_profile: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
     """One row per article with its display, score and token columns; empty string where there is nothing.
 
     Rows repeated whole count once; rows without article_id are dropped. Every expression is native.
+    ``keep`` names the columns wanted, so that only what they need is read and compared.
     """
     wd, pm = F.col("wd_message"), F.col("pm_message")
     plain = ("author_name", "author_org", "stage_name", "journal", "section", "article_type", "editors", "reviewers", "platform", "ua_family")
@@ -43,11 +44,16 @@ def derive(articles: DataFrame, strict_profile: bool = False) -> DataFrame:
         (F.when(F.size(profile_errors()) == 0, profile_key()).otherwise("") if strict_profile else profile_key()).alias("_key"), F.lit(None).cast("string").alias("device_id") if strict_profile else F.col("device_id"),
     )
     cleaned = stripped.withColumns({c: unblank(F.col(c)) for c in (*plain, "author_ip", "languages", "timezone", "wd_author", "wd_edited_by", "wd_company")}).withColumns({"email": F.lower(unblank(F.col("author_email"))), "ip": unblank(F.col("ip_hash")), "asn": unblank(F.col("asn_hash")), "title": unblank(F.col("article_title"))})
-    return cleaned.select(
+    out = cleaned.select(
         "article_id", "created_on", F.substring("title", 1, TITLE_LENGTH).alias("title"), *plain, "pm_score", "pm_band", "wd_status", "wd_match",
         email_pattern(F.col("email")).alias("email_pattern"), "email", F.substring("ip", 1, HASH_LENGTH).alias("ip"), token_of_key("_key", "device_id").alias("device"), "author_ip", "wd_author", "wd_edited_by", "wd_company",
         F.when((F.col("languages") != "") & (F.col("timezone") != ""), F.concat_ws("|", "languages", "timezone")).otherwise("").alias("locale"), "asn",
-    ).distinct()
+    )
+    return (out.select(*keep) if keep else out).distinct()
+
+
+#: Columns that the index needs.
+INDEXED = ("article_id", *CAPS, "author_name", "author_org", "created_on", "wd_status")
 
 
 def unpivot(derived: DataFrame, attrs: tuple[str, ...] = tuple(CAPS), carry: tuple[str, ...] = ()) -> DataFrame:

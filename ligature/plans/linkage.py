@@ -11,12 +11,12 @@ from ligature.plans import sql
 from ligature.runtime import cut, read
 
 
-def _derived(spark: SparkSession, d: str) -> DataFrame:
-    return tokens.derive(read(spark, d, "articles_raw"))
+def _derived(spark: SparkSession, d: str, *keep: str) -> DataFrame:
+    return tokens.derive(read(spark, d, "articles_raw"), keep=keep)
 
 
 def _index(spark: SparkSession, d: str) -> DataFrame:
-    return tokens.index(_derived(spark, d))
+    return tokens.index(_derived(spark, d, *tokens.INDEXED))
 
 
 def _flags(spark: SparkSession, d: str) -> DataFrame:
@@ -35,7 +35,7 @@ def derived_articles(spark, d):
 
 def token_unpivot(spark, d):
     """Tokens before any filter on frequency."""
-    return tokens.unpivot(_derived(spark, d))
+    return tokens.unpivot(_derived(spark, d, "article_id", *tokens.CAPS))
 
 
 def token_df(spark, d):
@@ -92,7 +92,7 @@ def hub_drilldown(spark, d):
 
 def compare_shared(spark, d):
     """Tokens of the flagged articles, marked where two of them share one."""
-    return hubs.compare(_derived(spark, d), _flags(spark, d))
+    return hubs.compare(_derived(spark, d, "article_id", *tokens.CAPS), _flags(spark, d))
 
 
 def pair_bitmask(spark, d):
@@ -144,7 +144,7 @@ def outcome_rates(spark, d):
 
 def flagged_matches(spark, d):
     """Best flagged matches of every article, with the number of all of them and their attributes."""
-    return evaluate.chips(evaluate.flagged_matches(_derived(spark, d), _flags(spark, d)))
+    return evaluate.chips(evaluate.flagged_matches(_derived(spark, d, *tokens.INDEXED), _flags(spark, d)))
 
 
 def flags_history(spark, d):
@@ -161,7 +161,7 @@ def flags_summary(spark, d):
 
 def device_reuse(spark, d):
     """Articles, organisations, languages and time zones seen with each device."""
-    one = _derived(spark, d).where("device <> ''").withColumn("org", F.nullif("author_org", F.lit(""))).withColumn("loc", F.nullif("locale", F.lit("")))
+    one = _derived(spark, d, "article_id", "device", "author_org", "locale").where("device <> ''").withColumn("org", F.nullif("author_org", F.lit(""))).withColumn("loc", F.nullif("locale", F.lit("")))
     return one.groupBy("device").agg(F.count("*").alias("n_articles"), F.count_distinct("org").alias("n_orgs"), F.count_distinct("loc").alias("n_locales"))
 
 
@@ -222,7 +222,7 @@ def snapshot_meta(spark, d):
 
 def email_similarity_scores(spark, d):
     """Similarity of name and e-mail of every article."""
-    rows = _derived(spark, d).select("article_id", "author_name", "email")
+    rows = _derived(spark, d, "article_id", "author_name", "email")
     return email_similarity(rows, "author_name", "email").withColumn("name_email_sim", report.half_up("name_email_sim", 6))
 
 

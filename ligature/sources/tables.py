@@ -60,7 +60,7 @@ def recent_articles(resources: DataFrame, as_of: str, days: int) -> DataFrame:
 def latest_fingerprints(fingerprints: DataFrame, articles: DataFrame) -> DataFrame:
     """The latest fingerprint of each article, by time and then id; the window function gets only rows of wanted articles."""
     own = fingerprints.join(articles.select("article_id").distinct(), "article_id", "left_semi")
-    return latest_row(own.select("article_id", "id", "last_enrich_utc", *FINGERPRINT).distinct(), ["article_id"], "last_enrich_utc", "id").select("article_id", *FINGERPRINT)
+    return latest_row(own.select("article_id", "id", "last_enrich_utc", *FINGERPRINT), ["article_id"], "last_enrich_utc", "id").select("article_id", *FINGERPRINT)
 
 
 def indicators(rows: DataFrame, articles: DataFrame, whole_rows: bool = True) -> DataFrame:

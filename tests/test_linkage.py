@@ -3,8 +3,6 @@
 import datetime as dt
 
 import pytest
-from pyspark.sql import functions as F
-
 from ligature.operators import evaluate, hubs, pairs, tokens
 
 COLS = "article_id long, created_on date, author_name string, author_org string, wd_status string, " + ", ".join(f"{a} string" for a in tokens.CAPS)
@@ -95,4 +93,12 @@ def test_plans(spark):
     rows = [{"article_id": i, "ip": str(i % 4)} for i in range(20)]
     plan = pairs.scored_pairs(tokens.index(corpus(spark, rows)))._jdf.queryExecution().toString()
     assert "EvalPython" not in plan and "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
-    assert F is not None
+
+
+def test_scans_read_what_is_needed(spark, sf):
+    from ligature.plans import linkage, sourcing
+
+    columns = linkage.token_df(spark, sf)._jdf.queryExecution().sparkPlan().collectLeaves().head().output().mkString(" ")
+    assert "device_pixel_ratio" in columns and not any(c in columns for c in ("article_title", "editors", "journal"))
+    plan = sourcing.recent_articles_window(spark, sf)._jdf.queryExecution().toString()
+    assert "GreaterThanOrEqual(created" in plan and "EqualTo(resource_type_definition_id,1)" in plan
