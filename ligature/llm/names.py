@@ -16,7 +16,7 @@ import unicodedata
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ligature.functions.text import is_blank
@@ -281,17 +281,28 @@ def variants(articles: DataFrame, id_col: str = "article_id", name_col: str = "a
 
 
 def linked(inst: DataFrame, people: DataFrame) -> DataFrame:
-    """``(entity_kind, left_key, right_key, score)`` of all links: org strings of one institution, articles of one person.
+    """``(entity_kind, left_key, right_key)`` of all links: org strings of one institution, articles of one person.
 
-    The score is the rarity of the shared rewriting: the logarithm of the number of spellings (or of
-    articles) over the number that share it.
+    The pairs are those of an equi-join on the entity; a large entity is split by AQE's skew join.
     """
-    o = inst.where("inst is not null").withColumn("size", F.count("*").over(Window.partitionBy("inst")))
-    total = inst.count()
-    p = people.where("person is not null").withColumn("size", F.count("*").over(Window.partitionBy("person")))
-    articles = people.count()
+    o, p = inst.where("inst is not null"), people.where("person is not null")
     a, b = o.alias("a"), o.alias("b")
-    orgs = a.join(b, (F.col("a.inst") == F.col("b.inst")) & (F.col("a.org") < F.col("b.org"))).select(F.lit("org").alias("entity_kind"), F.col("a.org").alias("left_key"), F.col("b.org").alias("right_key"), F.log(F.lit(float(total or 1)) / F.col("a.size")).alias("score"))
+    orgs = a.join(b, (F.col("a.inst") == F.col("b.inst")) & (F.col("a.org") < F.col("b.org"))).select(F.lit("org").alias("entity_kind"), F.col("a.org").alias("left_key"), F.col("b.org").alias("right_key"))
     a, b = p.alias("a"), p.alias("b")
-    pairs = a.join(b, (F.col("a.person") == F.col("b.person")) & (F.col("a.id") < F.col("b.id")) & (F.col("a.name") != F.col("b.name"))).select(F.lit("person").alias("entity_kind"), F.col("a.id").cast("string").alias("left_key"), F.col("b.id").cast("string").alias("right_key"), F.log(F.lit(float(articles or 1)) / F.col("a.size")).alias("score"))
+    pairs = a.join(b, (F.col("a.person") == F.col("b.person")) & (F.col("a.id") < F.col("b.id")) & (F.col("a.name") != F.col("b.name"))).select(F.lit("person").alias("entity_kind"), F.col("a.id").cast("string").alias("left_key"), F.col("b.id").cast("string").alias("right_key"))
     return orgs.unionByName(pairs)
+
+
+def rarity(inst: DataFrame, people: DataFrame) -> DataFrame:
+    """``(entity_kind, member_key, entity, score)`` of every linked spelling or article.
+
+    The score is the rarity of the rewriting its entity shares: the logarithm of the number of
+    spellings (or articles) over the number that share it. What links alone is left out.
+    """
+    total = {"org": float(inst.count() or 1), "person": float(people.count() or 1)}
+    out = None
+    for kind, df, key, member in (("org", inst, "inst", F.col("org")), ("person", people, "person", F.col("id").cast("string"))):
+        sizes = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("size")).where("size > 1")
+        part = df.join(sizes, key).select(F.lit(kind).alias("entity_kind"), member.alias("member_key"), F.col(key).alias("entity"), F.log(F.lit(total[kind]) / F.col("size")).alias("score"))
+        out = part if out is None else out.unionByName(part)
+    return out

@@ -9,14 +9,14 @@ from ligature.llm import components, garbled, leaks, names, setsim, terms, token
 from ligature.runtime import read
 
 
-def p1_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Linked spellings of institutions and rows of authors, with the rarity of what links them."""
-    return names.linked(*names.variants(read(spark, sf_dir, "articles_raw")))
+def p1_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per linked spelling or article with its entity and the rarity of what links it."""
+    return names.rarity(*names.variants(read(spark, sf_dir, "articles_raw")))
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Linked spellings of institutions and rows of authors."""
-    return p1_links(spark, sf_dir).select("entity_kind", "left_key", "right_key")
+    return names.linked(*names.variants(read(spark, sf_dir, "articles_raw")))
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,7 +64,7 @@ def p9_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_links, p2_found, p5_found, p5_counts, p6_found, p7_ids, p8_found, p9_found, p9_restored)}
+    return {f.__name__: f for f in (p1_found, p1_entities, p2_found, p5_found, p5_counts, p6_found, p7_ids, p8_found, p9_found, p9_restored)}
 
 
 def _norm(column: str) -> str:
