@@ -4,8 +4,8 @@ The unit is the chunk, a run of characters without ASCII white space that holds
 ASCII, cut into pieces if it is very long; every distinct chunk of the corpus is judged once. A channel says which encoding the bytes
 were written in and which they were read in. Under a channel a chunk is a byte lattice: an edge
 keeps a character as it is or turns the bytes behind one or more characters into the character they
-stood for; a lost byte (U+FFFD, or a space or question mark where a byte must be) is a wildcard that
-matches every byte. Viterbi search finds the likeliest original under character frequencies of the
+stood for; a lost byte (U+FFFD, or a question mark or the space after the chunk where a byte must be) is a
+wildcard. Viterbi search finds the likeliest original under character frequencies of the
 corpus; the candidates of all channels then compete with the chunk itself under the corpus'
 word frequencies, which are joined, never sent around as a whole.
 """
@@ -173,6 +173,10 @@ def wildcards(chunk: str, read_as: str, chars: Characters) -> list[tuple[int, in
             continue
         n = 2 if table[c] < 0xE0 else 3 if table[c] < 0xF0 else 4
         part = chunk[i : i + n]
+        if n == 2 and len(part) == 1:  # at the end: a no-break space that was stored as a space
+            d = multi("utf-8", bytes([table[c], 0xA0]))
+            out += [(i, i + 1, d)] if d in chars.known else []
+            continue
         gaps = [k for k, x in enumerate(part) if x == LOST or (x == "?" and k)]
         if len(gaps) == 1 and len(part) == n and all(x in table for k, x in enumerate(part) if k not in gaps):
             raw = [table.get(x, 0) for x in part]
