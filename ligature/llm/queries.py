@@ -48,6 +48,11 @@ def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenize.encode_corpus(read(spark, sf_dir, "documents"))
 
 
+def p7_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The texts decoded from their ids again."""
+    return tokenize.decode_corpus(p7_ids(spark, sf_dir))
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mails that hold ten words in a row of an evaluation item."""
     return leaks.leaked(read(spark, sf_dir, "documents"), read(spark, sf_dir, "eval_items"), window=10, similarity=1.0)
@@ -64,7 +69,7 @@ def p9_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_entities, p2_found, p5_found, p5_counts, p6_found, p7_ids, p8_found, p9_found, p9_restored)}
+    return {f.__name__: f for f in (p1_found, p1_entities, p2_found, p5_found, p5_counts, p6_found, p7_ids, p7_decoded, p8_found, p9_found, p9_restored)}
 
 
 def _norm(column: str) -> str:
@@ -100,6 +105,7 @@ select a as article_id, min(b) as group_id from reach group by 1
 """,
         "p5_found": _P5 + "select attr_name, term, mark from marked where mark is not null",
         "p5_counts": _P5 + "select attr_name, term, occurrences, records, mark from marked",
+        "p7_decoded": "select doc_id, coalesce(text, '') as text from documents",
         "p6_found": f"""
 with v as (
   select distinct article_id, k, v from (

@@ -17,10 +17,10 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ligature.runtime import estimated_bytes, small
+from ligature.runtime import estimated_bytes
 
 #: Folder of the vocabulary files; a parameter, never copied into the repository.
 TOKENIZERS = os.environ.get("LIGATURE_TOKENIZERS", "/opt/tokenizers")
@@ -120,20 +120,30 @@ def encode_corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return ids.unionByName(both.where(blank).select("doc_id", F.array().cast("array<int>").alias("ids")))
 
 
-def token_bytes(spark: SparkSession, folder: str = TOKENIZERS) -> DataFrame:
-    """The table ``(id, bytes)`` of the vocabulary; its size is that of the vocabulary."""
-    rows = [(int(b), bytearray(base64.b64decode(a))) for a, b in map(bytes.split, open(f"{folder}/{VOCABULARY}", "rb"))]
-    return spark.createDataFrame(rows, "id int, bytes binary")
+@lru_cache(2)
+def token_bytes(path: str) -> dict[int, bytes]:
+    """The table of token bytes by id; its size is that of the vocabulary."""
+    return {int(b): base64.b64decode(a) for a, b in map(bytes.split, open(path, "rb"))}
 
 
 def decode_corpus(encoded: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", folder: str = TOKENIZERS) -> DataFrame:
-    """``(doc_id, text)`` of ``(doc_id, ids)``: joins the token-byte table, reassembles by position.
+    """``(doc_id, text)`` of ``(doc_id, ids)``: each id is joined to its bytes, which are put together by position.
 
-    Null and empty lists give the empty text, ids outside the vocabulary an error when the bytes are
-    joined. ``doc_id`` must be unique.
+    The table is bounded by the vocabulary, so the join is done where the ids lie and nothing is
+    shuffled. Null and empty lists give the empty text, ids outside the vocabulary an error; rows keep
+    their number.
     """
-    parts = encoded.select(F.col(id_col).alias("doc_id"), F.posexplode_outer(ids_col).alias("pos", "id"))
-    joined = parts.join(small(token_bytes(encoded.sparkSession, folder)), "id", "left")
-    known = F.when(F.col("id").isNotNull() & F.col("bytes").isNull(), F.raise_error(F.lit("id outside the vocabulary"))).otherwise(F.col("bytes"))
-    whole = F.sort_array(F.collect_list(F.struct("pos", known.alias("bytes"))))
-    return joined.groupBy("doc_id").agg(whole.alias("_w")).select("doc_id", F.decode(F.aggregate("_w", F.lit(b""), lambda acc, x: F.concat(acc, F.coalesce(x.bytes, F.lit(b"")))), "utf-8").alias("text"))
+    path = f"{folder}/{VOCABULARY}"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = token_bytes(path)
+        for batch in batches:
+            texts = []
+            for ids in batch.column(1).to_pylist():
+                try:
+                    texts.append(b"".join(map(table.__getitem__, ids or ())).decode("utf-8", "replace"))
+                except KeyError as e:
+                    raise ValueError(f"id {e} outside the vocabulary") from e
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
+
+    return encoded.select(F.col(id_col).cast("long").alias("doc_id"), F.col(ids_col).alias("ids")).mapInArrow(run, "doc_id long, text string")
