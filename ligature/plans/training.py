@@ -42,7 +42,25 @@ def _norm(column: str) -> str:
 
 def oracle_sql() -> dict[str, str]:
     keyed = " union all ".join(f"select '{a}' as attr_name, {_norm(a)} as key_value, ts, id from once" for a in BURST_ATTRS)
+    around = "chr(65279) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' '"
+    unwrap = lambda j: f"case when json_type({j}) = 'VARCHAR' then try_cast(trim(json_extract_string({j}, '$'), {around}) as json) else {j} end"
+    items = lambda j: f"case json_type({j}) when 'ARRAY' then cast({j} as json[]) when 'OBJECT' then [{j}] else cast([] as json[]) end"
     return {
+        "p3_found": f"""
+with v as (select distinct id, try_cast(trim(resource_model, {around}) as json) as j from resource_version where id is not null),
+r as (select id, {unwrap("j")} as j from v),
+s as (select id, json_extract(j, '$.submission') as s from r where json_type(j) = 'OBJECT'),
+u as (select id, {unwrap("s")} as s from s),
+a as (select id, json_extract(s, '$.authors') as a from u where json_type(s) = 'OBJECT'),
+l as (select id, {items("a")} as l from a),
+e as (select id, cast(i - 1 as int) as author_pos, l[i] as e from (select id, l, unnest(range(1, len(l) + 1)) as i from l)),
+o as (select * from e where json_type(e) = 'OBJECT'),
+f as (select id, author_pos, {items("json_extract(e, '$.affiliations')")} as l from o),
+g as (select id, author_pos, cast(i - 1 as int) as affil_pos, l[i] as e from (select id, author_pos, l, unnest(range(1, len(l) + 1)) as i from f))
+select distinct id as version_id, author_pos, 'author' as node, -1 as affil_pos from o
+union select id, author_pos, 'primary', -1 from o where json_type(json_extract(e, '$.primaryAffiliation')) = 'OBJECT'
+union select id, author_pos, 'affiliation', affil_pos from g where json_type(e) = 'OBJECT'
+""",
         "p4_found": f"""
 with once as (
   select id, min(last_enrich_utc) as ts, min(asn_hash) as asn_hash, min(ip_hash) as ip_hash, min(timezone) as timezone
