@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ligature.runtime import spread
+
 #: Supertype keys first, then the union of the subtypes' columns.
 NODES = (
     "version_id long, author_pos int, node string, affil_pos int, item_pos int, shape string, "
@@ -152,7 +154,7 @@ def flatten(models: DataFrame, id_col: str = "id", model_col: str = "resource_mo
             yield pa.RecordBatch.from_arrays([pa.array(columns[f], schema.field(f).type) for f in FIELDS], schema=schema)
 
     source = models.where(F.col(id_col).isNotNull() & F.col(model_col).isNotNull()).select(F.col(id_col).cast("long").alias("version_id"), F.col(model_col).alias("model"))
-    return source.mapInArrow(run, NODES)
+    return spread(source).mapInArrow(run, NODES)
 
 
 def positions(models: DataFrame, id_col: str = "id", model_col: str = "resource_model") -> DataFrame:
@@ -170,7 +172,7 @@ def positions(models: DataFrame, id_col: str = "id", model_col: str = "resource_
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.string(), pa.int32()))], names=["version_id", "author_pos", "node", "affil_pos"])
 
     source = models.where(F.col(id_col).isNotNull() & F.col(model_col).isNotNull()).select(F.col(id_col).cast("long").alias("version_id"), F.col(model_col).alias("model"))
-    return source.mapInArrow(run, "version_id long, author_pos int, node string, affil_pos int").distinct()
+    return spread(source).mapInArrow(run, "version_id long, author_pos int, node string, affil_pos int").distinct()
 
 
 def subtype(nodes: DataFrame, kind: str) -> DataFrame:

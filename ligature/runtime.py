@@ -63,6 +63,16 @@ def small(df: DataFrame, limit: int = BROADCAST_LIMIT_BYTES) -> DataFrame:
     return F.broadcast(df) if estimated_bytes(df) <= limit else df
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt out over the cores if it comes in fewer splits than there are cores, else as it is.
+
+    For maps that cost much more than moving their input: a small file is one split. Large inputs
+    have more splits than cores and are left where they lie.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One table of the test data."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
