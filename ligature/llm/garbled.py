@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ligature.runtime import cut
+from ligature.runtime import cut, spread
 
 #: How bytes were read (outer) and what they were written in (inner).
 READ_AS = ("cp1252", "cp437", "cp850", "mac_roman", "cp1251", "koi8-r", "cp866", "iso8859-5", "cp1250", "iso8859-15", "cp1253", "cp1254", "mac_cyrillic", "iso8859-2", "iso8859-7", "cp1257")
@@ -347,7 +347,7 @@ def document_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """Distinct ``(doc_id, chunk)`` of the chunks with characters outside ASCII."""
     whole = F.regexp_extract_all(F.col(text_col), F.lit(CHUNK), F.lit(0))
     found = F.array_distinct(F.transform(whole, lambda c: F.when(F.length(c) > 220, F.regexp_replace(c, LEAD, "")).otherwise(c)))
-    return docs.where(F.col(id_col).isNotNull() & F.col(text_col).rlike(r"[^\x00-\x7f]")).select(F.col(id_col).cast("long").alias("doc_id"), F.explode(found).alias("chunk"))
+    return spread(docs.where(F.col(id_col).isNotNull() & F.col(text_col).rlike(r"[^\x00-\x7f]"))).select(F.col(id_col).cast("long").alias("doc_id"), F.explode(found).alias("chunk"))
 
 
 def verdicts(chunks: DataFrame) -> DataFrame:

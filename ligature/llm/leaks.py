@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ligature.llm.mail import segments
+from ligature.runtime import spread
 
 WORD = re.compile(r"[^\W_]+")
 BLOCKS = 4
@@ -173,7 +174,7 @@ def leaked(docs: DataFrame, items: DataFrame, window: int = 10, radius: int = 1,
     items = items.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text").distinct()
     total = items.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(1, -(-total // (6 * index_words)))
-    source = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    source = spread(docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
     found = None
     for b in range(blocks):
         own = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b)
