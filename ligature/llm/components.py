@@ -10,8 +10,6 @@ held by one task; every step is a partial aggregation and a join that AQE may sp
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -71,8 +69,3 @@ def fingerprint(state: DataFrame) -> tuple[int, int, int]:
 def groups(rows: DataFrame, id_col: str, value_cols: list[str], excluded: DataFrame | None = None) -> DataFrame:
     """``(id, group_id)`` of every record that shares a value with another, directly or through others."""
     return hash_to_min(stars(value_links(rows, id_col, value_cols, excluded)))
-
-
-def union_edges(*edges: DataFrame) -> DataFrame:
-    """Edges of several match operators as one relation."""
-    return reduce(DataFrame.unionByName, edges)

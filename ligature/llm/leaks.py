@@ -126,19 +126,19 @@ def find(index: Index):
         def flush() -> pa.RecordBatch:
             nonlocal values, docs, lengths
             found: set[tuple[int, int]] = set()
-            if len(values) >= window:
-                h = np.array(values, np.uint64)
-                n = np.array(lengths)
-                owner = np.repeat(np.arange(len(n)), n)
-                inside = owner[: len(h) - window + 1] == owner[window - 1 :]
-                at = np.flatnonzero(inside)
-                left, right = index.candidates(fingerprints(h, window)[at])
+            h = np.array(values, np.uint64)
+            owner = np.repeat(np.arange(len(lengths)), lengths)
+            # A very long document is taken in slices that overlap by all but one word of a window.
+            for start in range(0, len(h) - window + 1, CHUNK_WORDS):
+                part, of = h[start : start + CHUNK_WORDS + window - 1], owner[start : start + CHUNK_WORDS + window - 1]
+                at = np.flatnonzero(of[: len(part) - window + 1] == of[window - 1 :])
+                left, right = index.candidates(fingerprints(part, window)[at])
                 if index.similarity >= 1 and len(left):
-                    same = (h[at[left][:, None] + np.arange(window)] == index.words[right]).all(axis=1)
+                    same = (part[at[left][:, None] + np.arange(window)] == index.words[right]).all(axis=1)
                     left, right = left[same], right[same]
                 for a, b in zip(left.tolist(), right.tolist()):
-                    pair = (docs[owner[at[a]]], int(index.items[b]))
-                    if pair not in found and index.similar(h[at[a] : at[a] + window], index.words[b]):
+                    pair = (docs[of[at[a]]], int(index.items[b]))
+                    if pair not in found and index.similar(part[at[a] : at[a] + window], index.words[b]):
                         found.add(pair)
             values, docs, lengths = [], [], []
             cols = list(zip(*found)) or [(), ()]

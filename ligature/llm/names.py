@@ -79,6 +79,8 @@ TOKEN_OF = {form: word for word, forms in ORG_WORDS.items() for form in forms.sp
 RARE_SHARE, RARE_PLUS = 0.2, 2
 #: The same for family names, which are compared within one institution only and then with the given name.
 RARE_PLUS_FAMILY = 10
+#: Longer words are no names; they link only to their equals.
+LONGEST = 64
 
 
 def fold(text: str) -> str:
@@ -209,10 +211,10 @@ def heads(words: DataFrame, scope: list[str], all_of_them: bool = False, plus: i
     """``(scope, word, head)`` of the rare spellings among ``(scope, word, n)`` that follow a commoner one, one edit away.
 
     All forms with one letter left out are exploded and joined to each form's commonest spelling; the
-    commonest head wins (or all are kept). Single letters follow nobody.
+    commonest head wins (or all are kept). Single letters and words of more than ``LONGEST`` letters follow nobody.
     """
     out = F.transform(F.sequence(F.lit(1), F.length("word")), lambda k: F.concat(F.col("word").substr(F.lit(1), k - 1), F.col("word").substr(k + 1, F.length("word"))))
-    forms = words.where(F.length("word") >= 2).select(*scope, "word", "n", F.explode(F.array_distinct(F.concat(F.array("word"), out))).alias("form"))
+    forms = words.where(F.length("word").between(2, LONGEST)).select(*scope, "word", "n", F.explode(F.array_distinct(F.concat(F.array("word"), out))).alias("form"))
     best = forms.groupBy(*scope, "form").agg(F.max(F.struct("n", "word")).alias("_h"), F.count("*").alias("_c")).where("_c > 1").select(*scope, "form", F.col("_h.word").alias("head"), F.col("_h.n").alias("head_n"))
     follows = forms.join(best, [*scope, "form"]).where((F.col("word") != F.col("head")) & (F.col("n") <= F.col("head_n") * RARE_SHARE + plus)).select(*scope, "n", "head_n", "word", "head").distinct()
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in follows.schema)

@@ -84,6 +84,13 @@ def test_fingerprint_is_the_majority():
         assert (bits(p) == (np.sum([bits(x) for x in h[k : k + 10]], axis=0) * 2 > 10)).all()
 
 
+def test_very_long_text(spark, items):
+    filler = " ".join(f"w{k % 9973}" for k in range(150_000))
+    at = " ".join(f"w{k % 9973}" for k in range(leaks.CHUNK_WORDS - 5))
+    got = found(frame(spark, [f"{filler} {TEN} {filler}", f"{at} {TEN} {filler}", filler, "x" * 2_000_000]), items)
+    assert got == {(k, i) for k in (0, 1) for i in (1, 4)}
+
+
 def test_segments_never_fail():
     for text in ("\n\n", ":", "From:", "Content-Type: multipart/mixed; boundary=\n\n--", "Content-Type: multipart/mixed; boundary=x\n\n--x", "a: b\nContent-Transfer-Encoding: base64\n\n=", "a: b\nContent-Transfer-Encoding: quoted-printable\n\n=ZZ=", "=?x?b?!!?=", "\r"):
         list(segments(text))

@@ -65,6 +65,12 @@ def test_forms():
     assert names.person_form("PhD") is None and names.person_form("") is None and names.person_form("x") is None
 
 
+def test_very_long_and_odd_names(spark):
+    rows = [("x" * 200_000 + " y", "University of " + "z" * 200_000), ("y " * 5000, "," * 1000), ("\x00", "()"), ("A. B.", "Univ"), ("O'Neil-Smith, Mary-Ann", "Univ. of X")]
+    inst, people = names.variants(frame(spark, rows + rows))
+    assert inst.count() == 5 and people.count() <= 5
+
+
 def test_empty(spark):
     f = frame(spark, [("a b", "c")]).limit(0)
     inst, people = names.variants(f)

@@ -46,6 +46,13 @@ def test_decode_lists(spark):
         tokenize.decode_corpus(spark.createDataFrame([(1, [99_999])], "doc_id long, ids array<int>")).collect()
 
 
+def test_very_long_text(spark):
+    texts = ["word " * 200_000, "x" * 300_000, "é" * 100_000]
+    encode = tokenize.encoder(f"{tokenize.TOKENIZERS}/{tokenize.VOCABULARY}")
+    got = {r.doc_id: list(r.ids) for r in tokenize.encode_corpus(frame(spark, texts)).collect()}
+    assert got == {k: encode(t) for k, t in enumerate(texts)}
+
+
 def test_rows_keep_their_number(spark):
     f = frame(spark, ["a b"]).unionByName(frame(spark, ["c"])).unionByName(frame(spark, [None]).withColumn("doc_id", F.lit(None).cast("long")))
     assert sorted(len(r.ids) for r in tokenize.encode_corpus(f).collect()) == [0, 1, 2]
