@@ -34,6 +34,7 @@ SUBTYPES = {
     "role": ["version_id", "author_pos", "item_pos", "name", "extra"],
 }
 #: Automaton: leaf states by the value's type; an object's state is the sorted list of member states.
+DEEPEST = 40
 LEAF = {type(None): "0", bool: "b", int: "n", float: "n", str: "s"}
 KNOWN = {
     "author": {"fullName", "firstName", "middleName", "lastName", "primaryEmail", "email", "isSubmittingAuthor", "isCorrespondingAuthor", "primaryAffiliation", "affiliations", "roles"},
@@ -45,14 +46,19 @@ KNOWN = {
 AROUND = re.compile(r"^[\s\ufeff]+|[\s\ufeff]+$")
 
 
-def state(value: object) -> str:
-    """The automaton's state of ``value``: leaves by type, arrays by their elements' set of states, objects by their members."""
+def state(value: object, depth: int = 0) -> str:
+    """The automaton's state of ``value``: leaves by type, arrays by their elements' set of states, objects by their members.
+
+    Below ``DEEPEST`` levels all values share one state.
+    """
     leaf = LEAF.get(type(value))
     if leaf is not None:
         return leaf
+    if depth > DEEPEST:
+        return "*"
     if isinstance(value, list):
-        return "[" + "|".join(sorted({state(v) for v in value})) + "]"
-    return "{" + ",".join([f"{k}:{LEAF.get(type(v)) or state(v)}" for k, v in sorted(value.items())]) + "}"
+        return "[" + "|".join(sorted({state(v, depth + 1) for v in value})) + "]"
+    return "{" + ",".join([f"{k}:{LEAF.get(type(v)) or state(v, depth + 1)}" for k, v in sorted(value.items())]) + "}"
 
 
 def unwrap(text: str | None, depth: int = 8) -> object:

@@ -47,6 +47,12 @@ def test_states():
     assert nested.state({"a": True, "b": {"c": 1.5}}) == nested.state({"b": {"c": 2}, "a": False})
 
 
+def test_deep_records(spark):
+    deep = '{"a":' * 700 + "1" + "}" * 700
+    model = '{"submission": {"authors": [{"fullName": "A", "new": ' + deep + "}]}}"
+    assert keys(nested.positions(frame(spark, model, "[" * 100_000))) == [(0, 0, "author", -1)]
+
+
 def test_empty(spark):
     f = frame(spark, "x").limit(0)
     assert nested.positions(f).count() == 0 and nested.flatten(f).count() == 0
