@@ -17,10 +17,9 @@ def half_up(col, digits: int) -> Column:
     return F.floor(col * F.lit(scale) + F.lit(0.5)) / F.lit(scale)
 
 
-def percentiles(col: str, points: tuple[int, ...], digits: int | None = None) -> list[Column]:
+def percentiles(col: str, points: tuple[int, ...], digits: int = 6) -> list[Column]:
     """``p10``-style columns by linear interpolation."""
-    value = lambda p: F.percentile(F.col(col), F.lit(p / 100))
-    return [(half_up(value(p), digits) if digits is not None else value(p)).alias(f"p{p}") for p in points]
+    return [half_up(F.percentile(F.col(col), F.lit(p / 100)), digits).alias(f"p{p}") for p in points]
 
 
 def df_stats(frequencies: DataFrame, caps: dict[str, int] = CAPS) -> DataFrame:

@@ -235,9 +235,8 @@ def queries() -> dict:
     return {f.__name__: f for f in fs}
 
 
-def _q(col: str, points, digits=None) -> str:
-    one = lambda p: f"quantile_cont({col}, {p / 100})"
-    return ", ".join((f"round({one(p)}, {digits})" if digits is not None else f"cast({one(p)} as double)") + f" as p{p}" for p in points)
+def _q(col: str, points, digits=6) -> str:
+    return ", ".join(f"round(quantile_cont({col}, {p / 100}), {digits}) as p{p}" for p in points)
 
 
 def oracle_sql() -> dict[str, str]:
