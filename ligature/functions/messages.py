@@ -9,6 +9,21 @@ from ligature.functions.text import clean, strip
 
 # Status codes of the document check.
 STATUS = {1: "green", 2: "yellow", 3: "red", 4: "n/a", 7: "gold", 9: "unchecked"}
+# Codes of the exported enumerations.
+BAND_CODE = {"": 0, "low": 1, "medium": 2, "high": 3}
+STATUS_CODE = {"": 0, "green": 1, "yellow": 2, "red": 3, "gold": 4, "n/a": 5, "unchecked": 6}
+PATTERN_CODE = {"": 0, "all-digits": 1, "name.surname": 2, "all-alpha": 3, "alpha+digits": 4, "other": 5}
+
+
+def code_of(name: Column, codes: dict[str, int]) -> Column:
+    """Code of an enumeration's name; 0 for null and unknown ones."""
+    table = F.create_map(*(x for k, v in codes.items() for x in (F.lit(k), F.lit(v))))
+    return F.coalesce(table[name], F.lit(0))
+
+
+def tri_state(flag: Column) -> Column:
+    """1 for true, 0 for false, -1 for null."""
+    return F.coalesce(flag.cast("int"), F.lit(-1))
 
 
 def risk_score(message: Column) -> Column:

@@ -51,6 +51,14 @@ def drilldown(index: DataFrame, attr: str, value: str) -> DataFrame:
     return index.join(papers, "article_id", "left_semi").select("article_id", "attr", "value")
 
 
+def filtered(index: DataFrame, articles: DataFrame | None = None, attrs: tuple[str, ...] | None = None, different_authors: bool = False, different_orgs: bool = False) -> DataFrame:
+    """Hubs of the chosen attributes over the chosen articles, if wanted only those of two authors or organisations; of two articles at least."""
+    own = index if articles is None else index.join(articles.select("article_id").distinct(), "article_id", "left_semi")
+    h = stats(own if attrs is None else own.where(F.col("attr").isin(*attrs))).where(F.col("size") >= 2)
+    h = h.where(F.col("n_authors") >= 2) if different_authors else h
+    return h.where(F.col("n_orgs") >= 2) if different_orgs else h
+
+
 def compare(derived: DataFrame, articles: DataFrame) -> DataFrame:
     """``(article_id, attr, value, shared)``: the tokens of chosen articles, marked where another of them has the same."""
     from pyspark.sql import Window

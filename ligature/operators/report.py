@@ -59,6 +59,17 @@ def pattern() -> Column:
     return F.concat_ws("+", *(F.when(F.col("matched").bitwiseAND(F.lit(bit)) > 0, F.lit(a)) for a, (bit, _) in names))
 
 
+def attr_marginals(pairs: DataFrame) -> DataFrame:
+    """Pairs that share each ranked attribute: conditional sums of one pass, turned into rows."""
+    counts = [F.struct(F.lit(a).alias("attr"), F.count_if(F.col("matched").bitwiseAND(F.lit(bit)) > 0).alias("n_pairs")) for a, (bit, _) in RANKED.items()]
+    return pairs.agg(F.array(*counts).alias("_c")).select(F.inline("_c"))
+
+
+def sample(articles: DataFrame, n: int, seed: int = 42) -> DataFrame:
+    """``n`` articles without replacement: those with the smallest hashes of seed and id, the same on every run."""
+    return articles.select("article_id").distinct().orderBy(F.md5(F.concat(F.lit(f"{seed}|"), F.col("article_id").cast("string"))), "article_id").limit(n)
+
+
 def patterns(pairs: DataFrame, k: int = 25) -> DataFrame:
     """The ``k`` commonest patterns with mean, median and the score if all agree. Grouped by the bits, named at the end."""
     g = pairs.groupBy("matched").agg(F.count("*").alias("n_pairs"), half_up(F.avg("score"), 2).alias("score_mean"), half_up(F.percentile("score", F.lit(0.5)), 2).alias("score_p50"), F.min("score").alias("lo"), F.max("score").alias("hi"))

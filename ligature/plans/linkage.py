@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ligature.functions import messages
 from ligature.functions.similarity import email_similarity
 from ligature.operators import evaluate, hubs, pairs, report, tokens
 from ligature.plans import sql
@@ -213,6 +214,29 @@ def kept_bucket_sizes(spark, d):
     return report.bucket_sizes(hub_stats(spark, d))
 
 
+def encoded_enums(spark, d):
+    """Enumerations of the export as numbers."""
+    a = _derived(spark, d, "article_id", "pm_score", "pm_band", "wd_status", "wd_match", "email_pattern")
+    code = messages.code_of
+    return a.select("article_id", report.half_up("pm_score", 2).alias("pm_score"), code(F.col("pm_band"), messages.BAND_CODE).alias("pm_band"), code(F.col("wd_status"), messages.STATUS_CODE).alias("wd_status"), messages.tri_state(F.col("wd_match")).alias("wd_match"), code(F.col("email_pattern"), messages.PATTERN_CODE).alias("email_pattern"))
+
+
+def explorer_hubs(spark, d):
+    """Network hubs of different authors and organisations within one article type."""
+    articles = _derived(spark, d, "article_id", "article_type").where("article_type = 'Original Research'")
+    return hubs.filtered(_index(spark, d), articles, ("ip", "device"), different_authors=True, different_orgs=True)
+
+
+def pair_attr_counts(spark, d):
+    """Pairs that share each attribute."""
+    return report.attr_marginals(pair_scores(spark, d))
+
+
+def sample_articles(spark, d):
+    """Up to 15,000 articles of the index, chosen by hash."""
+    return report.sample(_index(spark, d), 15_000)
+
+
 def snapshot_meta(spark, d):
     """Articles, buckets and active flags of the index."""
     index = _index(spark, d)
@@ -230,7 +254,7 @@ def queries() -> dict:
     fs = (
         derived_articles, token_unpivot, token_df, token_df_stats, token_top_sizes, kept_buckets, connected_articles, hub_stats, hub_eligible, hub_author_share, hub_adjacency, hub_drilldown, compare_shared,
         pair_bitmask, pair_scores, pair_score_summary, peer_topk, best_peer, peer_counts, passing_attrs, outcomes_legacy, outcome_rates, flagged_matches, flags_history, flags_summary, device_reuse, cap_skips, ops_metrics,
-        score_by_label, label_prevalence, warn_sweep, best_threshold, type_lift, match_patterns, kept_bucket_sizes, snapshot_meta, email_similarity_scores,
+        score_by_label, label_prevalence, warn_sweep, best_threshold, type_lift, match_patterns, kept_bucket_sizes, encoded_enums, explorer_hubs, pair_attr_counts, sample_articles, snapshot_meta, email_similarity_scores,
     )
     return {f.__name__: f for f in fs}
 
@@ -239,6 +263,10 @@ def _q(col: str, points, digits=6) -> str:
     return ", ".join(f"round(quantile_cont({col}, {p / 100}), {digits}) as p{p}" for p in points)
 
 
+def _code(col: str, codes: dict[str, int]) -> str:
+    return f"(case {col} " + " ".join(f"when '{k}' then {v}" for k, v in codes.items()) + " else 0 end)"
+
+
 def oracle_sql() -> dict[str, str]:
     u = sql.upto
     ranked = tokens.RANKED
@@ -307,6 +335,10 @@ hit as (select attr, weight, cast(structural or b0 as int) as y from best join l
 select attr, count(*) as n, round(avg(y), 4) as rate, round((select r from base), 4) as baseline, round(avg(y) / nullif((select r from base), 0), 3) as lift, weight from hit group by attr, weight""",
         "match_patterns": u("pair") + f"select {named} as pattern, count(*) as n_pairs, round(avg(score), 2) as score_mean, round(quantile_cont(score, 0.5), 2) as score_p50, case when round(min(score), 2) = round(max(score), 2) then round(min(score), 2) end as score_fixed from pair group by 1 order by 2 desc, 1 limit 25",
         "kept_bucket_sizes": u("hub") + f"select attr, {sql.CAP} as cap, count(*) as buckets, {_q('size', (50, 90, 99))}, max(size) as size_max, round(avg(cast(size >= {sql.CAP} * 0.8 as int)), 4) as pct_near_cap from hub where attr in ({sql.RANKED_LIST}) group by 1, 2",
+        "encoded_enums": u("art") + f"select article_id, round(pm_score, 2) as pm_score, {_code('pm_band', messages.BAND_CODE)} as pm_band, {_code('wd_status', messages.STATUS_CODE)} as wd_status, coalesce(cast(wd_match as int), -1) as wd_match, {_code('email_pattern', messages.PATTERN_CODE)} as email_pattern from art",
+        "explorer_hubs": u("idx") + "select attr, value, count(*) as size, count(distinct nullif(author_name, '')) as n_authors, count(distinct nullif(author_org, '')) as n_orgs from idx where attr in ('ip', 'device') and article_id in (select article_id from art where article_type = 'Original Research') group by 1, 2 having count(*) >= 2 and count(distinct nullif(author_name, '')) >= 2 and count(distinct nullif(author_org, '')) >= 2",
+        "pair_attr_counts": u("pair") + " union all ".join(f"select '{a}' as attr, count(*) filter (where matched & {b} > 0) as n_pairs from pair" for a, (b, _) in ranked.items()),
+        "sample_articles": u("idx") + "select article_id from (select distinct article_id from idx) order by md5('42|' || article_id), article_id limit 15000",
         "snapshot_meta": sql.with_(sql.ART, sql.TOK, sql.FREQ, sql.KEPT, sql.ALIVE, sql.IDX, sql.FLAGS) + "select (select count(distinct article_id) from idx) as articles, (select count(*) from (select distinct attr, value from idx)) as buckets, (select count(*) from flag) as flags",
     }
     return {name: sql.half_up(text) for name, text in checks.items()}
