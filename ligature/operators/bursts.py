@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 
 from ligature.functions.text import normal
 
+#: Rows that are reduced together; a split of a task's rows, whatever the key.
+SPLIT_ROWS = 200_000
 CELLS = "attr_name string, key_value string, block long, slot long, n long, first_us long, first_id long, last_us long"
 
 
@@ -56,13 +58,23 @@ def scatter(attrs: tuple[str, ...], gap_us: int, block_slots: int):
             names=["attr_name", "key_value", "block", "slot", "n", "first_us", "first_id", "last_us"],
         )
 
+    def reduced(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(held)
+        ids = table.column("id").to_numpy()
+        ts = table.column("ts").cast(pa.timestamp("us")).cast(pa.int64()).to_numpy()
+        for attr in attrs:
+            if (cells := one(attr, ids, ts, table.column(attr).combine_chunks())) is not None:
+                yield cells
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
         for batch in batches:
-            ids = batch.column("id").to_numpy(zero_copy_only=False)
-            ts = batch.column("ts").cast(pa.timestamp("us")).cast(pa.int64()).to_numpy(zero_copy_only=False)
-            for attr in attrs:
-                if (cells := one(attr, ids, ts, batch.column(attr))) is not None:
-                    yield cells
+            held.append(batch)
+            if sum(b.num_rows for b in held) >= SPLIT_ROWS:
+                yield from reduced(held)
+                held = []
+        if held:
+            yield from reduced(held)
 
     return run
 
