@@ -67,9 +67,12 @@ def spread(df: DataFrame) -> DataFrame:
     """``df`` dealt out over the cores if it comes in fewer splits than there are cores, else as it is.
 
     For maps that cost much more than moving their input: a small file is one split. Large inputs
-    have more splits than cores and are left where they lie.
+    have more splits than cores and are left where they lie. So is what isn't read straight from a
+    source: counting its splits would run its shuffles.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
+    if "AdaptiveSparkPlan" in df._jdf.queryExecution().executedPlan().nodeName():
+        return df
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 

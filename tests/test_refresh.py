@@ -112,3 +112,14 @@ def test_stream_windows(spark, tmp_path):
     q = stream.writeStream.format("memory").queryName("windows").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     q.awaitTermination()
     assert [(r.k, r.n) for r in spark.table("windows").collect()] == [("a", 2)]
+
+
+def test_spread_leaves_shuffles_alone(spark, tmp_path):
+    from ligature.runtime import spread
+
+    path = str(tmp_path / "one")
+    spark.range(10).coalesce(1).write.parquet(path)
+    one = spark.read.parquet(path)
+    assert spread(one).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism and spread(one).count() == 10
+    grouped = one.groupBy("id").count()
+    assert spread(grouped) is grouped
