@@ -270,14 +270,14 @@ def persons(names: DataFrame) -> DataFrame:
 def variants(articles: DataFrame, id_col: str = "article_id", name_col: str = "author_name", org_col: str = "author_org") -> tuple[DataFrame, DataFrame]:
     """``(org, inst)`` of every distinct institution string and ``(id, name, inst, person)`` of every article.
 
-    Blank institutions and those that hold an e-mail address don't count, nor do blank names; a null id
-    takes no part; repeated rows count once. An empty table gives no rows.
+    Blank institutions and those that hold an e-mail address don't count, nor do blank names; a row with a null
+    id only adds its institution; repeated rows count once. An empty table gives no rows.
     """
-    rows = articles.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(name_col).alias("name"), F.col(org_col).alias("org")).distinct()
+    rows = articles.select(F.col(id_col).cast("long").alias("id"), F.col(name_col).alias("name"), F.col(org_col).alias("org")).distinct()
     rows = rows.where(~is_blank(F.col("org")) & ~F.col("org").contains("@"))
     rows = cut(rows)
     inst = cut(institutions(rows.groupBy("org").agg(F.count("*").alias("n"))))
-    named = rows.where(~is_blank(F.col("name"))).join(inst.where("inst is not null"), "org")
+    named = rows.where(F.col("id").isNotNull() & ~is_blank(F.col("name"))).join(inst.where("inst is not null"), "org")
     people = persons(named.groupBy("inst", "name").agg(F.count("*").alias("n")))
     return inst, cut(named.join(people, ["inst", "name"]).select("id", "name", "inst", "person"))
 
