@@ -320,7 +320,7 @@ select attr, cap, count(*) as n_values, cast(sum(df) as bigint) as n_articles, {
         "outcome_rates": u("flag") + outcomes + "select outcome, count(*) as n, cast(sum(b0) as bigint) as n_b0, cast(sum(b1) as bigint) as n_b1, cast(sum(b2) as bigint) as n_b2 from oo group by 1",
         "ops_metrics": u("flag") + outcomes + "select count(*) as n, round(avg(cast(outcome = 'BLOCK' as int)), 4) as block_rate, round(avg(b1), 4) as b1_rate, round(avg(b2), 4) as b2_rate from oo",
         "flagged_matches": flagged,
-        "flags_history": u("idx") + "select flags.*, flags.article_id in (select article_id from idx) as in_index from flags",
+        "flags_history": u("idx") + "select flags.*, coalesce(flags.article_id in (select article_id from idx), false) as in_index from flags",
         "flags_summary": "select status, count(*) as n, count(distinct article_id) as n_articles, count(*) filter (where coalesce(comment, '') <> '') as n_comments from flags group by 1",
         "device_reuse": u("art") + "select device, count(*) as n_articles, count(distinct nullif(author_org, '')) as n_orgs, count(distinct nullif(locale, '')) as n_locales from art where device <> '' group by 1",
         "cap_skips": u("freq") + f"select attr, cast(sum(cast(df > {sql.CAP} as int)) as bigint) as n_over, round(avg(cast(df > {sql.CAP} as int)), 6) as skip_rate from freq group by 1",

@@ -233,9 +233,9 @@ def oracle_sql() -> dict[str, str]:
         "primary_author_pick": w(PRIMARY) + "select * from prim",
         "author_ip": w(IP) + "select * from ip",
         "author_display_names": f"select distinct article_id, email, {names} as display_name, nullif(trim(regexp_replace(coalesce(first_name, '') || ' ' || coalesce(middle_name, '') || ' ' || coalesce(last_name, ''), ' +', ' ', 'g')), '') as full_name, case when contains(coalesce(email, ''), '@') then split_part(email, '@', 1) else '' end as local_part from author_metadata where article_id is not null",
-        "latest_version": "select distinct resource_id, id, version from (select *, row_number() over (partition by resource_id order by coalesce(version, -1) desc, id desc) as rn from (select distinct id, resource_id, version from resource_version where resource_id is not null)) where rn = 1",
+        "latest_version": "select distinct resource_id, id, version from (select *, row_number() over (partition by resource_id order by coalesce(version, -1) desc, id desc) as rn from (select distinct id, resource_id, version from resource_version where resource_id is not null and id is not null)) where rn = 1",
         "model_scalars": """
-with t as (select distinct resource_id, id, trim(resource_model, chr(65279) || chr(9) || chr(10) || chr(13) || ' ') as text from (select *, row_number() over (partition by resource_id order by coalesce(version, -1) desc, id desc) as rn from (select distinct id, resource_id, version, resource_model from resource_version where resource_id is not null)) where rn = 1),
+with t as (select distinct resource_id, id, trim(resource_model, chr(65279) || chr(9) || chr(10) || chr(13) || ' ') as text from (select *, row_number() over (partition by resource_id order by coalesce(version, -1) desc, id desc) as rn from (select distinct id, resource_id, version, resource_model from resource_version where resource_id is not null and id is not null)) where rn = 1),
 v as (select *, try_cast(text as json) as j from t),
 r as (select resource_id, id, case when json_type(j) = 'VARCHAR' then try_cast(json_extract_string(j, '$') as json) else j end as j from v)
 select resource_id, id, try_cast(json_extract_string(j, '$.review.stage.id') as int) as stage_id, json_extract_string(j, '$.review.stage.name') as stage_name, json_extract_string(j, '$.submission.manuscriptDetails.title') as title, json_extract_string(j, '$.submission.manuscriptDetails.journalName') as journal, json_extract_string(j, '$.submission.manuscriptDetails.sectionName') as section from r

@@ -95,13 +95,13 @@ def primary_author(authors: DataFrame) -> DataFrame:
 
 def author_ip(authors: DataFrame) -> DataFrame:
     """One address per article that isn't blank: of the first author by role."""
-    own = authors.where(F.coalesce(F.trim("ip_address"), F.lit("")) != "").select("article_id", author_rank().alias("r"), "ip_address")
+    own = authors.where(F.col("article_id").isNotNull() & (F.coalesce(F.trim("ip_address"), F.lit("")) != "")).select("article_id", author_rank().alias("r"), "ip_address")
     return own.groupBy("article_id").agg(F.min(F.struct("r", "ip_address")).alias("_m")).select("article_id", F.col("_m.ip_address").alias("author_ip"))
 
 
 def latest_versions(versions: DataFrame) -> DataFrame:
-    """The latest version of each resource, by version and then id: found on the keys alone, the text is joined to the winners."""
-    keys = versions.where("resource_id is not null").groupBy("resource_id").agg(F.max(F.struct(F.coalesce("version", F.lit(-1)).alias("version"), "id")).alias("_m")).select("resource_id", F.col("_m.id").alias("id"))
+    """The latest version of each resource, by version and then id: found on the keys alone, the text is joined to the winners. Rows without either id take no part."""
+    keys = versions.where("resource_id is not null and id is not null").groupBy("resource_id").agg(F.max(F.struct(F.coalesce("version", F.lit(-1)).alias("version"), "id")).alias("_m")).select("resource_id", F.col("_m.id").alias("id"))
     return versions.join(keys, ["resource_id", "id"], "left_semi").select("resource_id", "id", "version", "resource_model").distinct()
 
 
