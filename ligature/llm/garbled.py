@@ -241,18 +241,18 @@ def eastern(original: str, chunk: str, written_in: str) -> bool:
     return "k" in kinds or (not old & set("bcCg") and len(new) * 3 >= len(chunk) - len(chunk.encode("ascii", "ignore")))
 
 
-def candidates(chunk: str, chars: Characters, keep: int = 6) -> list[tuple[str, str, float, float]]:
-    """``(encoding written in, channel, original, gain in log-probability)`` of the likeliest explanations, best first.
+def candidates(chunk: str, chars: Characters) -> list[tuple[str, str, str, float]]:
+    """``(encoding written in, channel, original, gain in log-probability)`` of all explanations that gain, best first.
 
-    UTF-8 may have been misread up to ``MAX_TIMES`` times, other encodings once.
+    None is left out here: for single-byte encodings only the corpus' words can tell which is right. UTF-8 may have been misread up to ``MAX_TIMES`` times, other encodings once.
     """
     plain = chars.score(chunk)
     foreign = {c for c in chunk if c > "\x7f"} - {LOST}
-    found: dict[str, tuple[str, str, float]] = {}
+    found: dict[tuple[str, str], tuple[str, float]] = {}
 
     def add(written_in: str, channel: str, original: str, gain: float) -> None:
-        if original != chunk and gain > 0 and all(c in chars.known or c < "\x80" or c in chunk for c in original) and (original not in found or found[original][2] < gain):
-            found[original] = (written_in, channel, gain)
+        if original != chunk and gain > 0 and all(c in chars.known or c < "\x80" or c in chunk for c in original) and ((written_in, original) not in found or found[written_in, original][1] < gain):
+            found[written_in, original] = (channel, gain)
 
     for read_as in READ_AS:
         table = byte_of(read_as)
@@ -282,7 +282,7 @@ def candidates(chunk: str, chars: Characters, keep: int = 6) -> list[tuple[str,
             original, score = viterbi(chunk, edges, chars)
             if written_in in SINGLE or eastern(original, chunk, written_in):
                 add("eastern" if written_in in MULTI else "single", f"{written_in} read as {read_as}", original, score - plain)
-    return sorted(((w, c, o, g) for o, (w, c, g) in found.items()), key=lambda x: -x[3])[:keep]
+    return sorted(((w, c, o, g) for (w, o), (c, g) in found.items()), key=lambda x: -x[3])
 
 
 WORD = re.compile(r"[^\W\d_]+")
@@ -331,7 +331,7 @@ def explain(chars: Characters):
             rows = []
             for chunk in batch.column(0).to_pylist():
                 found = candidates(chunk, chars)
-                if LOST in chunk and not any(LOST not in o for _, _, o, _ in found):
+                if LOST in chunk:  # whatever becomes of the others
                     found.append(("lost", "bytes lost", chunk, 0.0))
                 for written_in, channel, original, gain in found:
                     head = (chunk, written_in, channel, original, gain)
@@ -382,7 +382,7 @@ def verdicts(chunks: DataFrame) -> DataFrame:
     for written_in, gain in GAIN.items():
         need = need.when(F.col("written_in") == written_in, F.col("gain") >= gain)
     need = need.otherwise((word_gain >= WORD_GAIN) & (F.col("known") == 1))
-    rank = F.struct((F.col("gain") + word_gain).alias("score"), "written_in", "channel", "original")
+    rank = F.struct((F.col("written_in") != "lost").alias("read"), (F.col("gain") + word_gain).alias("score"), "written_in", "channel", "original")
     return scored.where(need).groupBy("chunk").agg(F.max(rank).alias("_v")).select("chunk", "_v.written_in", "_v.channel", "_v.original")
 
 

@@ -93,3 +93,17 @@ def test_long_runs_are_cut_without_loss(spark):
 def test_wildcard():
     chars = garbled.Characters({"é": 50, "ã": 5, "©": 2, "Ã": 3}, {"al": 40, "la": 40, "pa": 60, "ap": 60, "aa": 300})
     assert garbled.wildcards("cafÃ�", "cp1252", chars) == [(3, 5, "é")]
+
+
+def test_words_decide_among_all_originals(spark):
+    # Russian letters beside ASCII ones: by characters six of them explain the odd one better than the rare à does.
+    letters = [t for c in "абвгдежзийклмнопрстуфхцчшщъыьэюя" for t in (f"{c}xy", f"x{c}y", f"xy{c}") for _ in range(30)]
+    texts = [*letters, *["voilà"] * 8, *["VOILÀ"] * 60, damage("voilà", "cp1252", "cp850")]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert [(r.doc_id, r.original) for r in garbled.garbled(docs)[0].collect()] == [(len(texts) - 1, "voilà")]
+
+
+def test_lost_bytes_are_found_whatever_else_fails(spark):
+    # é for Ã and the lost byte explains it, but gains too little for UTF-8.
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(["éa"] * 3 + ["Ã"] * 3 + ["Ã�"])], "doc_id long, text string")
+    assert [(r.doc_id) for r in garbled.garbled(docs)[0].collect()] == [6]
