@@ -13,6 +13,8 @@ word frequencies, which are joined, never sent around as a whole.
 from __future__ import annotations
 
 import re
+import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 from math import log
@@ -100,6 +102,12 @@ def kind(ch: str) -> str:
     return "o" if ch.isalpha() else "s"
 
 
+@lru_cache(20_000)
+def pool(ch: str) -> str:
+    """What an unseen character may be mistaken for: its class, or any code point that stands for nothing."""
+    return "u" if unicodedata.category(ch) in ("Cn", "Co", "Cs") else kind(ch)
+
+
 class Characters:
     """Log-probabilities of characters and of class transitions in the corpus' chunks.
 
@@ -108,7 +116,8 @@ class Characters:
 
     def __init__(self, chars: dict[str, float], pairs: dict[str, float]):
         total = sum(chars.values()) + 1.0
-        self.floor = log(0.05 / total)
+        # The share of what the corpus doesn't hold is divided among all code points of a class.
+        self.floor = {p: log(0.05 / total / n) for p, n in Counter(pool.__wrapped__(chr(o)) for o in range(0x80, 0x110000)).items()}
         self.char = {c: log(n / total) for c, n in chars.items()}
         sums: dict[str, float] = {}
         for p, n in pairs.items():
@@ -124,7 +133,9 @@ class Characters:
                 self.wild.setdefault((raw[:k], raw[k + 1 :]), []).append(c)
 
     def one(self, ch: str) -> float:
-        return self.char.get(ch, self.floor) if ch > "\x7f" else -3.2
+        if ch <= "\x7f":
+            return -3.2
+        return self.char[ch] if ch in self.char else self.floor[pool(ch)]
 
     def step(self, a: str, b: str) -> float:
         p = a + b
@@ -251,7 +262,7 @@ def candidates(chunk: str, chars: Characters) -> list[tuple[str, str, str, float
     found: dict[tuple[str, str], tuple[str, float]] = {}
 
     def add(written_in: str, channel: str, original: str, gain: float) -> None:
-        if original != chunk and gain > 0 and all(c in chars.known or c < "\x80" or c in chunk for c in original) and ((written_in, original) not in found or found[written_in, original][1] < gain):
+        if original != chunk and gain > 0 and ((written_in, original) not in found or found[written_in, original][1] < gain):
             found[written_in, original] = (channel, gain)
 
     for read_as in READ_AS:
@@ -277,7 +288,7 @@ def candidates(chunk: str, chars: Characters) -> list[tuple[str, str, str, float
             if written_in == read_as:
                 continue
             edges = lattice(chunk, read_as, written_in)
-            if sum(d in chars.known for e in edges for _, d, _ in e) * 2 < len(foreign):
+            if not any(edges):
                 continue
             original, score = viterbi(chunk, edges, chars)
             if written_in in SINGLE or eastern(original, chunk, written_in):

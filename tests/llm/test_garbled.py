@@ -107,3 +107,12 @@ def test_lost_bytes_are_found_whatever_else_fails(spark):
     # é for Ã and the lost byte explains it, but gains too little for UTF-8.
     docs = spark.createDataFrame([(k, t) for k, t in enumerate(["éa"] * 3 + ["Ã"] * 3 + ["Ã�"])], "doc_id long, text string")
     assert [(r.doc_id) for r in garbled.garbled(docs)[0].collect()] == [6]
+
+
+def test_rare_characters_pay_but_do_not_forbid(archive):
+    # Of none of these is the first character (the fifth kanji, the face) anywhere else in the archive.
+    docs, texts, *_ = archive
+    odd = [("Щука", "utf-8", "cp1252"), ("会議資料鱻を確認", "utf-8", "cp1252"), ("😀", "utf-8", "cp1252")]
+    more = docs.sparkSession.createDataFrame([(len(texts) + k, damage(*x), "") for k, x in enumerate(odd)], docs.schema)
+    got = {r.doc_id: r.original for r in garbled.garbled(docs.unionByName(more))[0].where(F.col("doc_id") >= len(texts)).collect()}
+    assert got == {len(texts) + k: t for k, (t, _, _) in enumerate(odd)}
