@@ -30,7 +30,7 @@ FIELDS = [f.split()[0] for f in NODES.split(", ")]
 SUBTYPES = {
     "author": ["version_id", "author_pos", "shape", "full_name", "first_name", "middle_name", "last_name", "email", "is_submitting", "is_corresponding", "extra"],
     "affiliation": ["version_id", "author_pos", "node", "affil_pos", "shape", "name", "city", "country_code", "extra"],
-    "department": ["version_id", "author_pos", "affil_pos", "item_pos", "name"],
+    "department": ["version_id", "author_pos", "affil_pos", "item_pos", "name", "extra"],
     "role": ["version_id", "author_pos", "item_pos", "name", "extra"],
 }
 #: Automaton: leaf states by the value's type; an object's state is the sorted list of member states.
@@ -39,8 +39,21 @@ LEAF = {type(None): "0", bool: "b", int: "n", float: "n", str: "s"}
 KNOWN = {
     "author": {"fullName", "firstName", "middleName", "lastName", "primaryEmail", "email", "isSubmittingAuthor", "isCorrespondingAuthor", "primaryAffiliation", "affiliations", "roles"},
     "affiliation": {"name", "organisationName", "address", "departments"},
+    "department": {"name"},
     "role": {"credit"},
 }
+#: Types under which a known member is taken over; one of another type is kept in ``extra``. Text members take any value.
+TAKEN = {
+    "author": {"isSubmittingAuthor": (bool,), "isCorrespondingAuthor": (bool,), "primaryAffiliation": (dict, str), "affiliations": (list, dict, str), "roles": (list, dict)},
+    "affiliation": {"address": (dict,), "departments": (list, dict)},
+    "role": {"credit": (dict,)},
+}
+#: Members that are text in one column and of which the first that isn't null counts.
+EITHER = {"author": ("primaryEmail", "email"), "affiliation": ("organisationName", "name")}
+#: Members of which some members are taken over.
+INNER = {"affiliation": ("address", {"city", "countryCode"}), "role": ("credit", {"term"})}
+#: Arrays and the types of elements that have rows of their own.
+ARRAYS = {"author": {"affiliations": (dict, str), "roles": (dict,)}, "affiliation": {"departments": (dict,)}}
 
 #: What may stand around a record: white space and byte-order marks.
 AROUND = re.compile(r"^[\s\ufeff]+|[\s\ufeff]+$")
@@ -84,8 +97,29 @@ def text_of(value: object) -> str | None:
 
 
 def extra(kind: str, value: dict) -> str | None:
-    """Members that the subtype doesn't know, kept as JSON so that nothing is lost."""
-    rest = {k: v for k, v in value.items() if k not in KNOWN[kind]}
+    """What the subtype's columns and rows don't take over, kept as JSON so that nothing is lost.
+
+    Unknown members; known ones of an unexpected type; the second of two names for one column; what else
+    an address or a credit holds; the elements of arrays that have no row, by position.
+    """
+    rest = {}
+    for k, v in value.items():
+        if k not in KNOWN[kind]:
+            rest[k] = v
+        elif v is None:
+            continue
+        elif not isinstance(v, TAKEN.get(kind, {}).get(k, object)):
+            rest[k] = v
+        elif kind in INNER and k == INNER[kind][0]:
+            if more := {m: x for m, x in v.items() if m not in INNER[kind][1]}:
+                rest[k] = more
+        elif isinstance(v, list) and k in ARRAYS.get(kind, {}):
+            if more := {str(i): x for i, x in enumerate(v) if x is not None and not isinstance(x, ARRAYS[kind][k])}:
+                rest[k] = more
+    if kind in EITHER:
+        first, second = EITHER[kind]
+        if value.get(first) is not None and value.get(second) not in (None, value[first]):
+            rest[second] = value[second]
     return json.dumps(rest, ensure_ascii=False, sort_keys=True) if rest else None
 
 
@@ -113,7 +147,10 @@ def nodes_of(version_id: int, model: str | None, shapes: dict[str, str]) -> Iter
         }
         for k, item in enumerate(elements(value.get("departments"))):
             if isinstance(item, dict):
-                yield {"version_id": version_id, "author_pos": a, "node": "department", "affil_pos": pos, "item_pos": k, "shape": shape(item), "name": text_of(item.get("name"))}
+                yield {"version_id": version_id, "author_pos": a, "node": "department", "affil_pos": pos, "item_pos": k, "shape": shape(item), "name": text_of(item.get("name")), "extra": extra("department", item)}
+
+    def named(a: int, node: str, pos: int, value: str) -> dict:
+        return {"version_id": version_id, "author_pos": a, "node": node, "affil_pos": pos, "item_pos": -1, "shape": shape(value), "name": value}
 
     for a, author in enumerate(elements(submission.get("authors"))):
         if not isinstance(author, dict):
@@ -126,11 +163,16 @@ def nodes_of(version_id: int, model: str | None, shapes: dict[str, str]) -> Iter
             "email": text_of(email if email is not None else author.get("email")),
             "is_submitting": flag("isSubmittingAuthor"), "is_corresponding": flag("isCorrespondingAuthor"), "extra": extra("author", author),
         }
-        if isinstance(author.get("primaryAffiliation"), dict):
-            yield from affiliation(a, "primary", -1, author["primaryAffiliation"])
-        for p, value in enumerate(elements(author.get("affiliations"))):
+        primary, others = author.get("primaryAffiliation"), author.get("affiliations")
+        if isinstance(primary, dict):
+            yield from affiliation(a, "primary", -1, primary)
+        elif isinstance(primary, str):
+            yield named(a, "primary_text", -1, primary)
+        for p, value in enumerate([others] if isinstance(others, str) else elements(others)):
             if isinstance(value, dict):
                 yield from affiliation(a, "affiliation", p, value)
+            elif isinstance(value, str):
+                yield named(a, "affiliation_text", p, value)
         for k, item in enumerate(elements(author.get("roles"))):
             if isinstance(item, dict):
                 credit = item.get("credit")
@@ -142,7 +184,8 @@ def flatten(models: DataFrame, id_col: str = "id", model_col: str = "resource_mo
 
     ``author_pos``, ``affil_pos`` and ``item_pos`` are positions in the parent's array from 0, null
     elements counted, -1 where the level doesn't apply; an object where an array is expected is an
-    array of one. ``shape`` is the automaton's state of the object. Null, empty or broken JSON, a null
+    array of one. An affiliation that is a plain string is a row ``primary_text`` or ``affiliation_text`` with
+    the string as its name. ``shape`` is the automaton's state of the object. Null, empty or broken JSON, a null
     id and non-object elements give no rows; rows repeated with the same id and content give their
     rows once. Columns other than the two named are ignored.
     """
@@ -182,6 +225,6 @@ def positions(models: DataFrame, id_col: str = "id", model_col: str = "resource_
 
 
 def subtype(nodes: DataFrame, kind: str) -> DataFrame:
-    """One typed table of :func:`flatten`'s rows: ``author``, ``affiliation`` (primary ones too), ``department`` or ``role``."""
-    kinds = ["primary", "affiliation"] if kind == "affiliation" else [kind]
+    """One typed table of :func:`flatten`'s rows: ``author``, ``affiliation`` (primary ones and plain strings too), ``department`` or ``role``."""
+    kinds = ["primary", "affiliation", "primary_text", "affiliation_text"] if kind == "affiliation" else [kind]
     return nodes.where(F.col("node").isin(kinds)).select(*SUBTYPES[kind]).distinct()

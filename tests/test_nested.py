@@ -56,3 +56,27 @@ def test_deep_records(spark):
 def test_empty(spark):
     f = frame(spark, "x").limit(0)
     assert nested.positions(f).count() == 0 and nested.flatten(f).count() == 0
+
+
+def test_plain_strings_are_affiliations(spark):
+    nodes = nested.flatten(frame(spark, json.dumps({"submission": {"authors": [{"primaryAffiliation": "P", "affiliations": ["A", {"name": "B"}, 7]}, {"affiliations": "C"}]}})))
+    got = [(r.author_pos, r.node, r.affil_pos, r.name) for r in nested.subtype(nodes, "affiliation").orderBy("author_pos", "affil_pos").collect()]
+    assert got == [(0, "primary_text", -1, "P"), (0, "affiliation_text", 0, "A"), (0, "affiliation", 1, "B"), (1, "affiliation_text", 0, "C")]
+    assert json.loads(nested.subtype(nodes, "author").where("author_pos = 0").first().extra) == {"affiliations": {"2": 7}}
+    assert keys(nested.positions(frame(spark, json.dumps({"submission": {"authors": {"primaryAffiliation": "P"}}})))) == [(0, 0, "author", -1)]
+
+
+def test_nothing_known_is_lost(spark):
+    role = {"credit": {"term": "t", "uri": "u"}}
+    aff = {"name": "N", "organisationName": "O", "address": {"city": "C", "street": "S"}, "departments": ["D", {"name": "E", "code": 3}]}
+    author = {"primaryEmail": "p", "email": "e", "isSubmittingAuthor": "yes", "isCorrespondingAuthor": None, "primaryAffiliation": 5, "affiliations": [aff, {"address": "here", "departments": "X"}], "roles": [role, "r", {"credit": "c"}]}
+    nodes = nested.flatten(frame(spark, json.dumps({"submission": {"authors": [author]}})))
+    got = {(r.node, r.affil_pos, r.item_pos): json.loads(r.extra) for r in nodes.where("extra is not null").collect()}
+    assert got == {
+        ("author", -1, -1): {"email": "e", "isSubmittingAuthor": "yes", "primaryAffiliation": 5, "roles": {"1": "r"}},
+        ("affiliation", 0, -1): {"name": "N", "address": {"street": "S"}, "departments": {"0": "D"}},
+        ("affiliation", 1, -1): {"address": "here", "departments": "X"},
+        ("department", 0, 1): {"code": 3},
+        ("role", -1, 0): {"credit": {"uri": "u"}},
+        ("role", -1, 2): {"credit": "c"},
+    }
