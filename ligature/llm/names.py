@@ -121,7 +121,10 @@ def org_word(token: str) -> str | None:
 
 
 def org_form(org: str) -> tuple[str, str]:
-    """``(kind, place)``: the sorted kind words and the sorted other words of an institution, without departments and legal forms."""
+    """``(kind, place)``: the sorted kind words and the sorted other words of an institution, without departments and legal forms.
+
+    Where these leave nothing at all, all words are the place.
+    """
     text = fold(org).lower()
     parts = []
     for part in re.split(r"[,;()/|]+", text):
@@ -140,6 +143,8 @@ def org_form(org: str) -> tuple[str, str]:
             places.append(token)
     if any(len(p) > 2 for p in places):  # what is left of a mistyped small word isn't a place
         places = [p for p in places if len(p) > 2]
+    if not kinds and not places:
+        places = re.findall(r"[^\W_]+", text)
     return " ".join(sorted(kinds)), " ".join(sorted(places))
 
 
@@ -233,10 +238,10 @@ def rooted(words: DataFrame, scope: list[str], plus: int = RARE_PLUS) -> DataFra
 
 
 def institutions(orgs: DataFrame) -> DataFrame:
-    """``(org, inst)`` of the distinct spellings ``(org, n)``; inst is null where nothing but kind words is left."""
+    """``(org, inst)`` of the distinct spellings ``(org, n)``; its kind words where no place is left, null for a single kind word, which names none, or no word."""
     forms = cut(orgs.mapInArrow(org_forms, "org string, kind string, place string, n long"))
     roots = rooted(forms.where("place <> ''").groupBy(F.col("place").alias("word")).agg(F.sum("n").alias("n")), [])
-    return forms.join(roots, forms.place == roots.word, "left").select("org", F.when(F.col("root").isNotNull(), F.concat_ws("|", "kind", "root")).alias("inst"))
+    return forms.join(roots, forms.place == roots.word, "left").select("org", F.when(F.col("kind").contains(" ") | (F.col("place") != ""), F.concat_ws("|", "kind", F.coalesce("root", F.lit("")))).alias("inst"))
 
 
 def persons(names: DataFrame) -> DataFrame:

@@ -75,3 +75,12 @@ def test_empty(spark):
     f = frame(spark, [("a b", "c")]).limit(0)
     inst, people = names.variants(f)
     assert inst.count() == 0 and people.count() == 0 and names.linked(inst, people).count() == 0
+
+
+def test_institutions_without_a_place(spark):
+    same = [["National Institute of Public Health", "Natl. Inst. of Public Health"], ["Medical Research Institute", "Institute for Medical Research"], ["Dept. of Ecology", "Dept of Ecology"], ["University of Marina", "Univ. of Marina"]]
+    rows = [(n, o) for orgs in same for o, n in zip(orgs, ("Ann Lumvinges", "A. Lumvinges"))]
+    inst, people = names.variants(frame(spark, rows))
+    got = {r.org: r.inst for r in inst.collect()}
+    assert all(got[a] == got[b] is not None for a, b in same) and len(set(got.values())) == len(same)
+    assert sum(r.entity_kind == "person" for r in names.linked(inst, people).collect()) == len(same)
