@@ -215,13 +215,17 @@ def edit_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def heads(words: DataFrame, scope: list[str], all_of_them: bool = False, plus: int = RARE_PLUS) -> DataFrame:
     """``(scope, word, head)`` of the rare spellings among ``(scope, word, n)`` that follow a commoner one, one edit away.
 
-    All forms with one letter left out are exploded and joined to each form's commonest spelling; the
-    commonest head wins (or all are kept). Single letters and words of more than ``LONGEST`` letters follow nobody.
+    All forms with one letter left out are exploded (as hashes) and joined; of the commoner spellings one edit
+    away the commonest wins, or all are kept. Distinct spellings of one form differ in one letter, so they are
+    few. Single letters and spellings with a word of more than ``LONGEST`` letters follow nobody.
     """
-    out = F.transform(F.sequence(F.lit(1), F.length("word")), lambda k: F.concat(F.col("word").substr(F.lit(1), k - 1), F.col("word").substr(k + 1, F.length("word"))))
-    forms = words.where(F.length("word").between(2, LONGEST)).select(*scope, "word", "n", F.explode(F.array_distinct(F.concat(F.array("word"), out))).alias("form"))
-    best = forms.groupBy(*scope, "form").agg(F.max(F.struct("n", "word")).alias("_h"), F.count("*").alias("_c")).where("_c > 1").select(*scope, "form", F.col("_h.word").alias("head"), F.col("_h.n").alias("head_n"))
-    follows = forms.join(best, [*scope, "form"]).where((F.col("word") != F.col("head")) & (F.col("n") <= F.col("head_n") * RARE_SHARE + plus)).select(*scope, "n", "head_n", "word", "head").distinct()
+    out = F.transform(F.sequence(F.lit(1), F.length("word")), lambda k: F.xxhash64(F.concat(F.col("word").substr(F.lit(1), k - 1), F.col("word").substr(k + 1, F.length("word")))))
+    able = (F.length("word") >= 2) & ~F.col("word").rlike(f"[^ ]{{{LONGEST + 1}}}")
+    forms = words.where(able).select(*scope, "word", "n", F.explode(F.array_distinct(F.concat(F.array(F.xxhash64("word")), out))).alias("form"))
+    shared = cut(forms.join(forms.groupBy(*scope, "form").agg(F.count("*").alias("_c")).where("_c > 1").drop("_c"), [*scope, "form"]))
+    other = shared.select(*scope, "form", F.col("word").alias("head"), F.col("n").alias("head_n"))
+    commoner = F.struct(F.col("head_n").alias("n"), F.col("head").alias("word")) > F.struct("n", "word")
+    follows = shared.join(other, [*scope, "form"]).where(commoner & (F.col("n") <= F.col("head_n") * RARE_SHARE + plus)).select(*scope, "n", "head_n", "word", "head").distinct()
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in follows.schema)
     near = follows.mapInArrow(edit_pairs, schema)
     if all_of_them:
@@ -230,11 +234,19 @@ def heads(words: DataFrame, scope: list[str], all_of_them: bool = False, plus: i
 
 
 def rooted(words: DataFrame, scope: list[str], plus: int = RARE_PLUS) -> DataFrame:
-    """``(scope, word, root)`` of every spelling: itself, its head, or its head's head."""
+    """``(scope, word, root)`` of every spelling: itself, or the last of the heads that follow one another from it.
+
+    Heads are ever commoner, so there are no circles; each round doubles the steps taken.
+    """
     words = cut(words)
-    first = cut(heads(words, scope, plus=plus))
-    second = first.select(*scope, F.col("word").alias("head"), F.col("head").alias("head2"))
-    return words.join(first, [*scope, "word"], "left").join(second, [*scope, "head"], "left").select(*scope, "word", F.coalesce("head2", "head", "word").alias("root"))
+    links = cut(heads(words, scope, plus=plus))
+    while True:
+        next_ = links.select(*scope, F.col("word").alias("head"), F.col("head").alias("head2"))
+        links = cut(links.join(next_, [*scope, "head"], "left").select(*scope, "word", F.coalesce("head2", "head").alias("head"), F.col("head2").isNotNull().alias("moved")))
+        if not links.where("moved").take(1):
+            break
+        links = links.drop("moved")
+    return words.join(links, [*scope, "word"], "left").select(*scope, "word", F.coalesce("head", "word").alias("root"))
 
 
 def institutions(orgs: DataFrame) -> DataFrame:
@@ -260,8 +272,8 @@ def persons(names: DataFrame) -> DataFrame:
     stands = lambda c: F.coalesce(nick[F.col(c)], F.array(F.col(c)))
     formal = given.select(F.col("word").alias("given"), F.explode(stands("word")).alias("formal"), F.lit(1).alias("plain")).unionByName(heads(given, [], all_of_them=True).select(F.col("word").alias("given"), F.explode(stands("head")).alias("formal"), F.lit(0).alias("plain"))).groupBy("given", "formal").agg(F.max("plain").alias("plain"))
     options = forms.where("given <> ''").join(formal, "given")
-    support = options.groupBy("inst", "family", "formal").agg(F.sum("n").alias("support"))
-    choice = cut(options.join(support, ["inst", "family", "formal"]).groupBy("inst", "name", "family", "middle").agg(F.max(F.struct("support", "plain", "formal")).alias("_b")).select("inst", "name", "family", "middle", F.col("_b.formal").alias("formal")))
+    support = options.groupBy("inst", "family", "formal").agg(F.sum("n").alias("support"), F.sum(F.col("n") * F.col("plain")).alias("typed"))
+    choice = cut(options.join(support, ["inst", "family", "formal"]).groupBy("inst", "name", "family", "middle").agg(F.max(F.struct("support", "typed", "plain", "formal")).alias("_b")).select("inst", "name", "family", "middle", F.col("_b.formal").alias("formal")))
     short = forms.where("given = ''")
     own = choice.select("inst", "family", F.substring("formal", 1, 1).alias("initial"), "formal", "middle")
     by_initial = own.groupBy("inst", "family", "initial").agg(F.min("formal").alias("lo"), F.max("formal").alias("hi"))

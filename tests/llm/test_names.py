@@ -84,3 +84,15 @@ def test_institutions_without_a_place(spark):
     got = {r.org: r.inst for r in inst.collect()}
     assert all(got[a] == got[b] is not None for a, b in same) and len(set(got.values())) == len(same)
     assert sum(r.entity_kind == "person" for r in names.linked(inst, people).collect()) == len(same)
+
+
+def test_heads_look_past_common_neighbours(spark):
+    words = spark.createDataFrame([("anne", 50), ("jane", 20), ("hane", 1), *((f"{'z' * 60} {'y' * 20}{c}", n) for c, n in (("a", 9), ("b", 1)))], "word string, n long")
+    got = {(r.word, r.head) for r in names.heads(words, []).collect()}
+    assert got == {("hane", "jane"), (f"{'z' * 60} {'y' * 20}b", f"{'z' * 60} {'y' * 20}a")}
+
+
+def test_heads_are_followed_to_the_end(spark):
+    chain = [("abcdefgh", 100000), ("abcdefgx", 10000), ("abcdefyx", 1000), ("abcdeuyx", 100), ("abcdtuyx", 10)]
+    got = {r.word: r.root for r in names.rooted(spark.createDataFrame(chain, "word string, n long"), []).collect()}
+    assert got == {w: "abcdefgh" for w, _ in chain}
