@@ -88,6 +88,11 @@ def submitting_author(spark, d):
     return tables.submitting_author(nested.flatten(read(spark, d, "resource_version")))
 
 
+def all_authors(spark, d):
+    """Name, e-mail, role and organisation of every author of each record's JSON."""
+    return tables.all_authors(nested.flatten(read(spark, d, "resource_version")))
+
+
 def clean_placeholders(spark, d):
     """Placeholders of the typed columns emptied."""
     return _articles(spark, d).select("article_id", *(clean(F.col(c)).alias(c) for c in ("author_name", "author_email", "author_org", "ip_hash", "languages"))).distinct()
@@ -190,7 +195,7 @@ def latest_line_per_order(spark, d):
 
 def queries() -> dict:
     fs = (
-        recent_articles_window, aged_articles, latest_fingerprint, indicators_latest_row, indicators_latest_non_null, primary_author_pick, author_ip, author_display_names, latest_version, model_scalars, author_json_pick, submitting_author,
+        recent_articles_window, aged_articles, latest_fingerprint, indicators_latest_row, indicators_latest_non_null, primary_author_pick, author_ip, author_display_names, latest_version, model_scalars, author_json_pick, submitting_author, all_authors,
         clean_placeholders, email_patterns, papermill_message_parse, worddoc_message_parse, device_profile_hash, assembled_articles, incremental_splice, archive_dedup, context_replace, fill_if_empty, rotate_shifted,
         context_coverage, editorial_context_star, json_props_extract, latest_line_per_order,
     )
@@ -240,6 +245,16 @@ v as (select *, try_cast(text as json) as j from t),
 r as (select resource_id, id, case when json_type(j) = 'VARCHAR' then try_cast(json_extract_string(j, '$') as json) else j end as j from v)
 select resource_id, id, try_cast(json_extract_string(j, '$.review.stage.id') as int) as stage_id, json_extract_string(j, '$.review.stage.name') as stage_name, json_extract_string(j, '$.submission.manuscriptDetails.title') as title, json_extract_string(j, '$.submission.manuscriptDetails.journalName') as journal, json_extract_string(j, '$.submission.manuscriptDetails.sectionName') as section from r
 """,
+        "author_json_pick": f"""{sql.JSON_AUTHORS},
+named as (select id, author_pos, {c("json_extract_string(e, '$.fullName')")} as name, {c("json_extract_string(e, '$.primaryEmail')")} as email, json_extract_string(e, '$.isSubmittingAuthor') as s, json_extract_string(e, '$.isCorrespondingAuthor') as k from o),
+one as (select *, row_number() over (partition by id order by case when s = 'true' then 0 when k = 'true' then 1 else 2 end, author_pos) as rn from named where name <> '' or email <> ''),
+org as (select id, author_pos, json_extract_string(e, '$.name') as org from g where affil_pos = 0 and json_type(e) = 'OBJECT')
+select one.id as version_id, one.author_pos, name, email, {c("org")} as org from one left join org using (id, author_pos) where rn = 1""",
+        "submitting_author": f"""{sql.JSON_AUTHORS}, {sql.JSON_NAMED},
+one as (select *, row_number() over (partition by id order by case when s then 0 else 1 end, author_pos) as rn from named)
+select id as version_id, nullif(name, '') as name, email, case when has_primary then primary_org else first_org end as affiliation from one where rn = 1""",
+        "all_authors": f"""{sql.JSON_AUTHORS}, {sql.JSON_NAMED}
+select id as version_id, author_pos, name, coalesce(trim(email, {sql.W}), '') as email, case when s then 'Submitting author' else 'Author' end as role, coalesce(nullif(trim(primary_org, {sql.W}), ''), trim(first_org, {sql.W}), '') as org from named""",
         "clean_placeholders": "select distinct article_id, " + ", ".join(f"{c(x)} as {x}" for x in ("author_name", "author_email", "author_org", "ip_hash", "languages")) + " from articles_raw where article_id is not null",
         "email_patterns": f"select pattern, count(*) as n from (select distinct article_id, {sql.pattern(sql.EMAIL)} as pattern from articles_raw where article_id is not null) group by 1",
         "papermill_message_parse": w(sql.ART) + "select art.article_id, pm_score as score, pm_band as band, s.status from art join (select distinct article_id, " + sql.STATUS_NAME.replace("wd_status", "pm_status") + " as status from articles_raw) s using (article_id)",

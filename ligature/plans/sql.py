@@ -32,6 +32,35 @@ def field(label: str) -> str:
     return clean(f"regexp_extract(wd_message, '{label}:\\s*(.*?)\\s*</li>', 1, 'is')")
 
 
+_AROUND = "chr(65279) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' '"
+
+
+def _unwrap(j: str) -> str:
+    return f"case when json_type({j}) = 'VARCHAR' then try_cast(trim(json_extract_string({j}, '$'), {_AROUND}) as json) else {j} end"
+
+
+def _items(j: str) -> str:
+    return f"case json_type({j}) when 'ARRAY' then cast({j} as json[]) when 'OBJECT' then [{j}] else cast([] as json[]) end"
+
+
+#: ``o``: the author objects of each record; ``g``: the elements of their affiliations.
+JSON_AUTHORS = f"""with v as (select distinct id, try_cast(trim(resource_model, {_AROUND}) as json) as j from resource_version where id is not null),
+r as (select id, {_unwrap("j")} as j from v),
+s as (select id, json_extract(j, '$.submission') as s from r where json_type(j) = 'OBJECT'),
+u as (select id, {_unwrap("s")} as s from s),
+a as (select id, json_extract(s, '$.authors') as a from u where json_type(s) = 'OBJECT'),
+l as (select id, {_items("a")} as l from a),
+e as (select id, cast(i - 1 as int) as author_pos, l[i] as e from (select id, l, unnest(range(1, len(l) + 1)) as i from l)),
+o as (select * from e where json_type(e) = 'OBJECT'),
+f as (select id, author_pos, {_items("json_extract(e, '$.affiliations')")} as l from o),
+g as (select id, author_pos, cast(i - 1 as int) as affil_pos, l[i] as e from (select id, author_pos, l, unnest(range(1, len(l) + 1)) as i from f))"""
+_text = lambda m, e="e": f"json_extract_string({e}, '$.{m}')"
+_joined = f"trim(concat_ws(' ', nullif({_text('firstName')}, ''), nullif({_text('middleName')}, ''), nullif({_text('lastName')}, '')), {W})"
+JSON_NAMED = f"""first_ as (select id, author_pos, coalesce(nullif({_text("name")}, ''), nullif({_text("organisationName")}, '')) as first_org from g where affil_pos = 0 and json_type(e) = 'OBJECT'),
+named as (select id, author_pos, case when coalesce({_text("fullName")}, '') <> '' then trim({_text("fullName")}, {W}) else {_joined} end as name, coalesce(nullif({_text("primaryEmail")}, ''), nullif({_text("email")}, '')) as email,
+  coalesce({_text("isSubmittingAuthor")} = 'true', false) as s, coalesce(json_type(json_extract(e, '$.primaryAffiliation')) = 'OBJECT', false) as has_primary,
+  coalesce(nullif({_text("primaryAffiliation.organisationName")}, ''), nullif({_text("primaryAffiliation.name")}, '')) as primary_org, first_org from o left join first_ using (id, author_pos))"""
+
 KEY = f"({part('canvas_hash')} || '|' || {part('webgl_hash')} || '|' || {part('hw_id_hash')} || '|' || {part('ua_family_hash')} || '|' || {part('platform')} || '|' || (case when screen_width is not null and screen_height is not null then screen_width || 'x' || screen_height else '' end) || '|' || coalesce(format('{{:g}}', device_pixel_ratio), ''))"
 DEVICE = f"(case when not regexp_full_match({KEY}, '\\|*') then left(sha256({KEY}), 16) when regexp_full_match({part('device_id')}, '[a-f0-9]{{64}}') then left({part('device_id')}, 16) else '' end)"
 EMAIL = f"lower({clean('author_email')})"

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ligature.operators import nested
 from ligature.operators.bursts import bursts
+from ligature.plans import sql
 from ligature.runtime import read
 
 BURST_ATTRS = ("asn_hash", "ip_hash", "timezone")
@@ -18,12 +19,18 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p3_authors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The author table."""
-    return nested.subtype(nested.flatten(read(spark, sf_dir, "resource_version")), "author")
+    return nested.subtype(nested.flatten(read(spark, sf_dir, "resource_version")), "author").drop("shape", "extra").distinct()
 
 
 def p3_affiliations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The affiliation table, primary ones included."""
-    return nested.subtype(nested.flatten(read(spark, sf_dir, "resource_version")), "affiliation")
+    """The affiliation table, primary ones and plain strings included."""
+    return nested.subtype(nested.flatten(read(spark, sf_dir, "resource_version")), "affiliation").drop("shape", "extra").distinct()
+
+
+def p3_unknown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Objects under members that no variant knows, with their parents' keys, and the parts of known rows that no column takes."""
+    nodes = nested.flatten(read(spark, sf_dir, "resource_version"))
+    return nodes.where("extra is not null").select("version_id", "author_pos", "node", "affil_pos", "item_pos", "shape", "name", "extra").distinct()
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,7 +39,7 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p3_found, p3_authors, p3_affiliations, p4_found)}
+    return {f.__name__: f for f in (p3_found, p3_authors, p3_affiliations, p3_unknown, p4_found)}
 
 
 def _norm(column: str) -> str:
@@ -42,24 +49,27 @@ def _norm(column: str) -> str:
 
 def oracle_sql() -> dict[str, str]:
     keyed = " union all ".join(f"select '{a}' as attr_name, {_norm(a)} as key_value, ts, id from once" for a in BURST_ATTRS)
-    around = "chr(65279) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' '"
-    unwrap = lambda j: f"case when json_type({j}) = 'VARCHAR' then try_cast(trim(json_extract_string({j}, '$'), {around}) as json) else {j} end"
-    items = lambda j: f"case json_type({j}) when 'ARRAY' then cast({j} as json[]) when 'OBJECT' then [{j}] else cast([] as json[]) end"
+    text = lambda m: f"json_extract_string(e, '$.{m}')"
+    flag = lambda m: f"case json_type(json_extract(e, '$.{m}')) when 'BOOLEAN' then cast(json_extract_string(e, '$.{m}') as boolean) end"
+    place = ", ".join(f"{text(m)} as {n}" for m, n in (("name", "name"), ("organisationName", "organisation"), ("address.city", "city"), ("address.countryCode", "country_code")))
+    bare = "json_extract_string(e, '$') as name, null as organisation, null as city, null as country_code"
     return {
-        "p3_found": f"""
-with v as (select distinct id, try_cast(trim(resource_model, {around}) as json) as j from resource_version where id is not null),
-r as (select id, {unwrap("j")} as j from v),
-s as (select id, json_extract(j, '$.submission') as s from r where json_type(j) = 'OBJECT'),
-u as (select id, {unwrap("s")} as s from s),
-a as (select id, json_extract(s, '$.authors') as a from u where json_type(s) = 'OBJECT'),
-l as (select id, {items("a")} as l from a),
-e as (select id, cast(i - 1 as int) as author_pos, l[i] as e from (select id, l, unnest(range(1, len(l) + 1)) as i from l)),
-o as (select * from e where json_type(e) = 'OBJECT'),
-f as (select id, author_pos, {items("json_extract(e, '$.affiliations')")} as l from o),
-g as (select id, author_pos, cast(i - 1 as int) as affil_pos, l[i] as e from (select id, author_pos, l, unnest(range(1, len(l) + 1)) as i from f))
+        "p3_found": f"""{sql.JSON_AUTHORS}
 select distinct id as version_id, author_pos, 'author' as node, -1 as affil_pos from o
 union select id, author_pos, 'primary', -1 from o where json_type(json_extract(e, '$.primaryAffiliation')) = 'OBJECT'
 union select id, author_pos, 'affiliation', affil_pos from g where json_type(e) = 'OBJECT'
+""",
+        "p3_authors": f"""{sql.JSON_AUTHORS}
+select distinct id as version_id, author_pos, {", ".join(f"{text(m)} as {n}" for m, n in (("fullName", "full_name"), ("firstName", "first_name"), ("middleName", "middle_name"), ("lastName", "last_name"), ("primaryEmail", "primary_email"), ("email", "email")))}, {flag("isSubmittingAuthor")} as is_submitting, {flag("isCorrespondingAuthor")} as is_corresponding from o
+""",
+        "p3_affiliations": f"""{sql.JSON_AUTHORS},
+p as (select id, author_pos, json_extract(e, '$.primaryAffiliation') as e from o),
+t as (select id, author_pos, json_extract(e, '$.affiliations') as e from o)
+select distinct id as version_id, author_pos, 'primary' as node, -1 as affil_pos, {place} from p where json_type(e) = 'OBJECT'
+union select id, author_pos, 'affiliation', affil_pos, {place} from g where json_type(e) = 'OBJECT'
+union select id, author_pos, 'primary_text', -1, {bare} from p where json_type(e) = 'VARCHAR'
+union select id, author_pos, 'affiliation_text', affil_pos, {bare} from g where json_type(e) = 'VARCHAR'
+union select id, author_pos, 'affiliation_text', 0, {bare} from t where json_type(e) = 'VARCHAR'
 """,
         "p4_found": f"""
 with once as (

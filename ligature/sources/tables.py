@@ -118,27 +118,53 @@ def model_scalars(latest: DataFrame) -> DataFrame:
     return rows.select("resource_id", "id", *(F.try_variant_get("_r", p, t).alias(n) for n, (p, t) in paths.items()))
 
 
-def author_pick(nodes: DataFrame, slots: int = 4) -> DataFrame:
-    """Name, e-mail and organisation of one author per record: submitting, then corresponding, then first, among the first ``slots`` with a name or an e-mail."""
-    from ligature.functions.text import clean, display_name
+def author_pick(nodes: DataFrame, slots: int | None = None) -> DataFrame:
+    """Name, e-mail and organisation of one author per record: submitting, then corresponding, then first, among those with a name or an e-mail.
 
-    name = clean(display_name(F.col("first_name"), F.col("middle_name"), F.col("last_name"), F.col("full_name")))
-    authors = nodes.where((F.col("node") == "author") & (F.col("author_pos") < slots)).select("version_id", "author_pos", name.alias("name"), clean(F.col("email")).alias("email"), "is_submitting", "is_corresponding").distinct()
+    Read are the full name, the primary e-mail and the ``name`` of the first affiliation, as a scan of fixed paths reads
+    them; no other member stands in for one that is missing. ``slots`` may bound the positions looked at; by default all are.
+    """
+    from ligature.functions.text import clean
+
+    authors = nodes.where("node = 'author'").select("version_id", "author_pos", clean(F.col("full_name")).alias("name"), clean(F.col("primary_email")).alias("email"), "is_submitting", "is_corresponding").distinct()
+    if slots is not None:
+        authors = authors.where(F.col("author_pos") < slots)
     rank = F.when(F.col("is_submitting"), 0).when(F.col("is_corresponding"), 1).otherwise(2)
-    picked = best_row(authors.where("name <> '' or email <> ''"), ["version_id"], [rank, F.col("author_pos"), F.col("name")])
-    orgs = nodes.where(F.col("node").isin("primary", "affiliation") & (F.col("affil_pos") <= 0)).groupBy("version_id", "author_pos").agg(F.min_by("name", F.struct(F.when(F.col("node") == "primary", 0).otherwise(1), "name")).alias("org"))
+    picked = best_row(authors.where("name <> '' or email <> ''"), ["version_id"], [rank, F.col("author_pos"), F.col("name"), F.col("email")])
+    orgs = nodes.where("node = 'affiliation' and affil_pos = 0").groupBy("version_id", "author_pos").agg(F.min("name").alias("org"))
     return picked.join(orgs, ["version_id", "author_pos"], "left").select("version_id", "author_pos", "name", "email", F.coalesce(clean(F.col("org")), F.lit("")).alias("org"))
 
 
-def submitting_author(nodes: DataFrame) -> DataFrame:
-    """``(version_id, name, email, affiliation)`` of the submitting, else the first author of each record: the primary affiliation, else the first one."""
+def author_orgs(nodes: DataFrame) -> DataFrame:
+    """``(version_id, author_pos, has_primary, primary_org, first_org)``: of the primary affiliation the organisation name before the name, of the first one the name before the organisation name; empty ones are null."""
+    full = lambda c: F.nullif(F.col(c), F.lit(""))
+    own = nodes.where("node = 'primary' or (node = 'affiliation' and affil_pos = 0)").select("version_id", "author_pos", "node", F.when(F.col("node") == "primary", F.coalesce(full("organisation"), full("name"))).otherwise(F.coalesce(full("name"), full("organisation"))).alias("org"))
+    return own.groupBy("version_id", "author_pos").agg(F.max(F.col("node") == "primary").alias("has_primary"), F.min(F.when(F.col("node") == "primary", F.col("org"))).alias("primary_org"), F.min(F.when(F.col("node") != "primary", F.col("org"))).alias("first_org"))
+
+
+def named_authors(nodes: DataFrame) -> DataFrame:
+    """``(version_id, author_pos, name, email, is_submitting)`` of every author; name and e-mail are null where there is none."""
     from ligature.functions.text import display_name
 
     name = display_name(F.col("first_name"), F.col("middle_name"), F.col("last_name"), F.col("full_name"))
-    authors = nodes.where("node = 'author'").select("version_id", "author_pos", F.nullif(name, F.lit("")).alias("name"), F.nullif("email", F.lit("")).alias("email"), "is_submitting").distinct()
-    one = best_row(authors, ["version_id"], [F.when(F.col("is_submitting"), 0).otherwise(1), F.col("author_pos"), F.col("name")])
-    orgs = nodes.where("node = 'primary' or (node = 'affiliation' and affil_pos = 0)").groupBy("version_id", "author_pos").agg(F.min_by("name", F.struct(F.when(F.col("node") == "primary", 0).otherwise(1), "name")).alias("affiliation"))
-    return one.join(orgs, ["version_id", "author_pos"], "left").select("version_id", "name", "email", F.nullif("affiliation", F.lit("")).alias("affiliation"))
+    email = F.coalesce(F.nullif("primary_email", F.lit("")), F.nullif("email", F.lit("")))
+    return nodes.where("node = 'author'").select("version_id", "author_pos", F.nullif(name, F.lit("")).alias("name"), email.alias("email"), F.coalesce("is_submitting", F.lit(False)).alias("is_submitting")).distinct()
+
+
+def submitting_author(nodes: DataFrame) -> DataFrame:
+    """``(version_id, name, email, affiliation)`` of the submitting, else the first author of each record: of the primary affiliation if it is an object, else of the first one."""
+    one = best_row(named_authors(nodes), ["version_id"], [F.when(F.col("is_submitting"), 0).otherwise(1), F.col("author_pos"), F.col("name"), F.col("email")])
+    org = F.when(F.col("has_primary"), F.col("primary_org")).otherwise(F.col("first_org"))
+    return one.join(author_orgs(nodes), ["version_id", "author_pos"], "left").select("version_id", "name", "email", org.alias("affiliation"))
+
+
+def all_authors(nodes: DataFrame) -> DataFrame:
+    """``(version_id, author_pos, name, email, role, org)`` of every author; the first affiliation stands in where the primary one gives no organisation; nothing is the empty string."""
+    from ligature.functions.text import strip
+
+    role = F.when(F.col("is_submitting"), "Submitting author").otherwise("Author")
+    org = F.coalesce(F.nullif(strip(F.col("primary_org")), F.lit("")), strip(F.col("first_org")), F.lit(""))
+    return named_authors(nodes).join(author_orgs(nodes), ["version_id", "author_pos"], "left").select("version_id", "author_pos", F.coalesce("name", F.lit("")).alias("name"), F.coalesce(strip(F.col("email")), F.lit("")).alias("email"), role.alias("role"), org.alias("org"))
 
 
 def assemble(resources: DataFrame, fingerprints: DataFrame, indicator_rows: DataFrame, authors: DataFrame, context: DataFrame, as_of: str, days: int) -> DataFrame:

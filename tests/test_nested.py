@@ -37,20 +37,72 @@ def test_subtypes(spark):
     a = {r.author_pos: r for r in nested.subtype(nodes, "author").collect()}
     assert a[1].full_name == "A" and a[1].is_submitting and a[3].email == "e" and a[3].is_submitting is None
     f = nested.subtype(nodes, "affiliation").collect()
-    assert len(f) == 3 and all(r.name == "N" and r.city == "C" and json.loads(r.extra) == {"new": 1} for r in f)
+    assert len(f) == 3 and all(r.name == "N" and r.organisation is None and r.city == "C" and json.loads(r.extra) == {"new": 1} for r in f)
     assert [(r.affil_pos, r.item_pos, r.name) for r in nested.subtype(nodes, "department").orderBy("affil_pos", "author_pos").collect()] == [(-1, 0, "D"), (0, 0, "D"), (1, 0, "D")]
     assert [r.name for r in nested.subtype(nodes, "role").collect()] == ["t"]
 
 
 def test_states():
-    assert nested.state({"b": [1, "x", 2], "a": None}) == "{a:0,b:[n|s]}"
-    assert nested.state({"a": True, "b": {"c": 1.5}}) == nested.state({"b": {"c": 2}, "a": False})
+    assert nested.state({"b": [1, "x", 2], "a": None}).name == "{a:0,b:[n|s]}"
+    assert nested.state({"a": True, "b": {"c": 1.5}}).name == nested.state({"b": {"c": 2}, "a": False}).name
+    a = nested.Automaton()
+    first, second = a.read({"x": [1], "y": "t"}), a.read({"y": "u", "x": [2, 3]})
+    assert first is second and nested.plan("author", first) is nested.plan("author", second)
+    assert len(nested.state([[["x" * 300]], {"k" * 300: 1}]).name) <= nested.LONGEST_NAME
+
+
+def test_rows_are_routed_by_their_states(spark, monkeypatch):
+    """With every state the same, nothing has a transition and no row comes out."""
+    automaton = nested.Automaton()
+    assert len(list(nested.nodes_of(1, json.dumps(MODEL), automaton))) > 5
+    monkeypatch.setattr(nested.Automaton, "step", lambda self, value: nested.LEAVES[str])
+    assert not list(nested.nodes_of(1, json.dumps(MODEL), nested.Automaton()))
+
+
+def test_unknown_variants_have_their_table(spark):
+    model = {"submission": {"authors": [{"fullName": "A", "employer": {"name": "X"}, "links": [{"u": 1}], "plain": [1], "affiliations": [{"parent": {"name": "Y"}}]}]}}
+    nodes = nested.flatten(frame(spark, json.dumps(model)))
+    got = sorted((r.author_pos, r.affil_pos, r.name, r.extra) for r in nested.subtype(nodes, "other").collect())
+    assert got == [(0, -1, "author.employer", '{"name": "X"}'), (0, -1, "author.links", '[{"u": 1}]'), (0, 0, "affiliation.parent", '{"name": "Y"}')]
+    assert json.loads(nested.subtype(nodes, "author").first().extra) == {"plain": [1]}
 
 
 def test_deep_records(spark):
     deep = '{"a":' * 700 + "1" + "}" * 700
     model = '{"submission": {"authors": [{"fullName": "A", "new": ' + deep + "}]}}"
-    assert keys(nested.positions(frame(spark, model, "[" * 100_000))) == [(0, 0, "author", -1)]
+    arrays = '{"submission": {"authors": [{"fullName": "B", "new": ' + "[" * 50_000 + "]" * 50_000 + "}]}}"
+    f = frame(spark, model, "[" * 100_000, arrays, arrays[:-1])
+    assert keys(nested.positions(f)) == [(0, 0, "author", -1), (2, 0, "author", -1)]
+    got = {r.version_id: r.extra for r in nested.subtype(nested.flatten(f), "other").collect()}
+    assert json.loads(got[0]) == json.loads(deep) and got[2] == "[" * 50_000 + "]" * 50_000
+
+
+def test_wrapped_many_times(spark):
+    model = json.dumps({"submission": json.dumps(json.dumps(MODEL["submission"]))})
+    for _ in range(10):
+        model = json.dumps(model)
+    assert keys(nested.positions(frame(spark, model))) == sorted((0, *w) for w in WANT)
+
+
+def test_deep_reader_reads_what_the_plain_one_does():
+    texts = ['{"a": [1, -2.5e3, "x\\"y", null, true, {}], "b": [], "c": {"d": [[]]}}', " [1] ", '"x"', "5", "[1,]", '{"a"}', '{"a":1,}', "[1 2]", "]", "", "[}", '{"a":1}}', "[", "tru", '{1:2}', "[,1]"]
+    for text in texts:
+        try:
+            want = json.loads(text)
+        except ValueError:
+            want = "broken"
+        try:
+            got = nested.deep_loads(text)
+        except ValueError:
+            got = "broken"
+        assert got == want, text
+        if want != "broken":
+            assert nested.deep_dumps(want) == json.dumps(want, sort_keys=True)
+
+
+def test_odd_texts(spark):
+    model = '{"submission": {"authors": [{"fullName": "\\ud800x", "n": ' + "9" * 5000 + "}]}}"
+    assert nested.subtype(nested.flatten(frame(spark, model)), "author").first().full_name == "?x"
 
 
 def test_empty(spark):
@@ -73,8 +125,8 @@ def test_nothing_known_is_lost(spark):
     nodes = nested.flatten(frame(spark, json.dumps({"submission": {"authors": [author]}})))
     got = {(r.node, r.affil_pos, r.item_pos): json.loads(r.extra) for r in nodes.where("extra is not null").collect()}
     assert got == {
-        ("author", -1, -1): {"email": "e", "isSubmittingAuthor": "yes", "primaryAffiliation": 5, "roles": {"1": "r"}},
-        ("affiliation", 0, -1): {"name": "N", "address": {"street": "S"}, "departments": {"0": "D"}},
+        ("author", -1, -1): {"isSubmittingAuthor": "yes", "primaryAffiliation": 5, "roles": {"1": "r"}},
+        ("affiliation", 0, -1): {"address": {"street": "S"}, "departments": {"0": "D"}},
         ("affiliation", 1, -1): {"address": "here", "departments": "X"},
         ("department", 0, 1): {"code": 3},
         ("role", -1, 0): {"credit": {"uri": "u"}},
