@@ -73,8 +73,8 @@ union select id, author_pos, 'affiliation_text', 0, {bare} from t where json_typ
 """,
         "p4_found": f"""
 with once as (
-  select id, min(last_enrich_utc) as ts, min(asn_hash) as asn_hash, min(ip_hash) as ip_hash, min(timezone) as timezone
-  from device_fingerprints where id is not null and last_enrich_utc is not null group by id
+  select * from (select id, last_enrich_utc as ts, asn_hash, ip_hash, timezone, row_number() over (partition by id order by last_enrich_utc, {", ".join(f"{_norm(a)} nulls first" for a in BURST_ATTRS)}) as rn
+    from device_fingerprints where id is not null and last_enrich_utc is not null) where rn = 1
 ),
 keyed as (select * from ({keyed}) where key_value is not null),
 gaps as (select *, case when ts - lag(ts) over w <= interval 10 minute then 0 else 1 end as new_run from keyed window w as (partition by attr_name, key_value order by ts, id)),

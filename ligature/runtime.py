@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -43,6 +45,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         if not sc.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="ligature-checkpoint-")
+        atexit.register(shutil.rmtree, configured, ignore_errors=True)
     sc.setCheckpointDir(configured)
     return configured
 
@@ -76,6 +79,36 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+#: A key is dealt out if it has more rows than ``hot_limit``; then so many keys at most are, which bounds what is broadcast.
+HOT_KEYS = 500_000
+
+
+def hot_limit(total: int, least: int, keys: int = HOT_KEYS) -> int:
+    """Rows above which a key is hot, of ``total`` rows: never under ``least``, and such that at most ``keys`` keys are above it."""
+    return max(least, -(-total // keys))
+
+
+def join_counted(rows: DataFrame, counted: DataFrame, on: list[str], total: int, least: int = 100_000, keys: int = HOT_KEYS) -> DataFrame:
+    """``rows`` joined to ``counted``, which has one row per key with ``n``, the key's number of rows.
+
+    Rows of keys above ``hot_limit`` stay where they are and get their counted row by broadcast: at most
+    ``keys`` rows, as ``n`` sums up to ``total``. All others meet by key. ``n`` is kept.
+    """
+    limit = hot_limit(total, least, keys)
+    hot = counted.where(F.col("n") > limit)
+    light = rows.join(F.broadcast(hot.select(*on)), on, "left_anti").join(counted.where(F.col("n") <= limit), on)
+    return light.unionByName(rows.join(F.broadcast(hot), on))
+
+
+def release(df: DataFrame) -> None:
+    """Delete the checkpoint files of a frame made by :func:`cut`; nothing that is still to run may read it."""
+    plan = df._jdf.queryExecution().analyzed()
+    rdd = plan.rdd() if plan.nodeName() == "LogicalRDD" else None
+    if rdd is not None and rdd.isCheckpointed():
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(rdd.getCheckpointFile().get())
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One table of the test data."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
