@@ -4,8 +4,9 @@ Matches come as a bipartite relation (record, value): records that hold the same
 Each value is turned into a star around its smallest record, so a value held by a third of all
 records adds one edge per record and never a pair of records. Hash-to-min then keeps a cluster
 set per vertex as rows ``(v, u)``: every vertex sends its set to the set's minimum, and the
-minimum to all others, until nothing changes. Sets are rows, never arrays, so no component is
-held by one task; every step is a partial aggregation and a join that AQE may split.
+minimum to all others, until nothing changes. Sets are rows, never arrays. Minima are partial
+aggregations; the rows of a value or vertex that has very many (the minimum of a giant component
+holds all of it) are not gathered for the join but get their minimum where they lie.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ligature.functions.text import normal
-from ligature.runtime import cut
+from ligature.runtime import cut, join_counted, release
 
 
 def value_links(rows: DataFrame, id_col: str, value_cols: list[str], excluded: DataFrame | None = None) -> DataFrame:
@@ -31,28 +32,35 @@ def value_links(rows: DataFrame, id_col: str, value_cols: list[str], excluded: D
     return links.join(gone, ["attr_name", "attr_value"], "left_anti")
 
 
-def stars(links: DataFrame) -> DataFrame:
-    """Edges ``(a, b)``, a > b, from each record to the smallest record with the same value."""
-    heads = links.groupBy("attr_name", "attr_value").agg(F.min("id").alias("b"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
-    return links.join(heads, ["attr_name", "attr_value"]).where(F.col("id") > F.col("b")).select(F.col("id").alias("a"), "b").distinct()
+def stars(links: DataFrame, total: int, least: int = 100_000) -> DataFrame:
+    """Edges ``(a, b)``, a > b, from each record to the smallest record with the same value. ``total`` is at least the number of links."""
+    heads = links.groupBy("attr_name", "attr_value").agg(F.min("id").alias("b"), F.count("*").alias("n")).where("n > 1")
+    return join_counted(links, heads, ["attr_name", "attr_value"], total, least).where(F.col("id") > F.col("b")).select(F.col("id").alias("a"), "b").distinct()
 
 
-def hash_to_min(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def sent(state: DataFrame, total: int, least: int = 100_000) -> DataFrame:
+    """One round: the set of each vertex to its minimum, the minimum to the set. ``total`` is the number of rows of ``state``."""
+    minima = state.groupBy("v").agg(F.min("u").alias("m"), F.count("*").alias("n"))
+    edge = lambda v, u: F.struct(F.col(v).alias("v"), F.col(u).alias("u"))
+    return join_counted(state, minima, ["v"], total, least).select(F.explode(F.array(edge("m", "u"), edge("u", "m"))).alias("_e")).select("_e.*").distinct()
+
+
+def hash_to_min(edges: DataFrame, max_rounds: int = 60, least: int = 100_000) -> DataFrame:
     """One row ``(id, group_id)`` per vertex of ``edges(a, b)``; group_id is the component's smallest id.
 
     Null ends and self-edges link nothing, repeated and reversed edges count once, an empty table
     gives no rows. Each round is written to the shared checkpoint folder, which bounds the lineage
-    and survives lost executors. Rounds grow with the logarithm of the longest chain; more than
-    ``max_rounds`` raises an error instead of returning unfinished groups.
+    and survives lost executors; the round before is then deleted. Rounds grow with the logarithm of the
+    longest chain; more than ``max_rounds`` raises an error instead of returning unfinished groups.
+    ``least`` is the number of rows from which a vertex may be dealt out.
     """
-    both = edges.where("a is not null and b is not null and a <> b").select(F.explode(F.array(F.struct(F.col("a").alias("v"), F.col("b").alias("u")), F.struct(F.col("b").alias("v"), F.col("a").alias("u")), F.struct(F.col("a").alias("v"), F.col("a").alias("u")), F.struct(F.col("b").alias("v"), F.col("b").alias("u")))).alias("_e")).select("_e.*").distinct()
-    state = cut(both)
+    edge = lambda v, u: F.struct(F.col(v).alias("v"), F.col(u).alias("u"))
+    state = cut(edges.where("a is not null and b is not null and a <> b").select(F.explode(F.array(edge("a", "b"), edge("b", "a"), edge("a", "a"), edge("b", "b"))).alias("_e")).select("_e.*").distinct())
     seen = fingerprint(state)
     for _ in range(max_rounds):
-        least = state.groupBy("v").agg(F.min("u").alias("m"))
-        sent = state.join(least, "v").select(F.explode(F.array(F.struct(F.col("m").alias("v"), F.col("u").alias("u")), F.struct(F.col("u").alias("v"), F.col("m").alias("u")))).alias("_e")).select("_e.*").distinct()
-        state = cut(sent)
-        now = fingerprint(state)
+        after = cut(sent(state, seen[0], least))
+        release(state)
+        state, now = after, fingerprint(after)
         if now == seen:
             return state.groupBy(F.col("v").alias("id")).agg(F.min("u").alias("group_id"))
         seen = now
@@ -68,4 +76,4 @@ def fingerprint(state: DataFrame) -> tuple[int, int, int]:
 
 def groups(rows: DataFrame, id_col: str, value_cols: list[str], excluded: DataFrame | None = None) -> DataFrame:
     """``(id, group_id)`` of every record that shares a value with another, directly or through others."""
-    return hash_to_min(stars(value_links(rows, id_col, value_cols, excluded)))
+    return hash_to_min(stars(value_links(rows, id_col, value_cols, excluded), rows.count() * len(value_cols)))
