@@ -5,7 +5,8 @@ so they meet in one of the |x| - T + 1 rarest values of each: only those inverte
 and partitioned by value; the T - 1 longest lists of a record are never merged, only searched.
 Inside a list the records are joined by DivideSkip: short lists of the remaining values are merged
 by a heap that skips ahead to the next record that can still reach T, the longest ones are
-binary-searched.
+binary-searched. Values are numbered exactly, once for the whole table, and values of one record only
+count for the size of its set but join nothing.
 
 A list longer than ``hot`` is not merged as a whole: since the values are ranked, two sets that
 first meet in a hot value share T values that are all hot, hence two of the |x| - T + 2 rarest, and
@@ -25,18 +26,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ligature.functions.text import normal
-from ligature.runtime import cut
+from ligature.runtime import cut, join_counted, release
 
 PAIRS = "left_id long, right_id long, overlap int"
 
 
 def value_sets(rows: DataFrame, id_col: str, value_cols: list[str]) -> DataFrame:
-    """Distinct ``(id, value)``: 64-bit hashes of each record's non-blank (column, value) pairs over all its rows.
-
-    Two different values of one table share a hash with a chance below 2**-64; a pair's overlap
-    could change only if both also belonged to sets that are similar otherwise.
-    """
-    values = F.array(*(F.when(normal(F.col(c)).isNotNull(), F.xxhash64(F.lit(c), normal(F.col(c)))) for c in value_cols))
+    """Distinct ``(id, value)``: each record's non-blank values over all its rows, marked with the number of their column."""
+    values = F.array(*(F.concat(F.lit(f"{k}:"), normal(F.col(c))) for k, c in enumerate(value_cols)))
     return rows.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.explode(values).alias("value")).where("value is not null").distinct()
 
 
@@ -83,36 +80,29 @@ def divide_skip(lists: list[list[int]], t: int, long: int) -> Iterator[tuple[int
                 heapq.heappush(heap, (short[k][at[k]], k))
 
 
-def merge_list(members: list[tuple[int, int, tuple[int, ...]]], key: tuple[int, ...], num: int, den: int) -> Iterator[tuple[int, int, int]]:
-    """Similar pairs of one inverted list's ``(id, side, values)``; side 0 joins 1, side 2 joins itself and both.
+def merge_list(members: list[tuple[int, int, int, tuple[int, ...]]], key: tuple[int, ...], num: int, den: int) -> Iterator[tuple[int, int, int]]:
+    """Similar pairs of one inverted list's ``(id, side, size, values)``; side 0 joins 1, side 2 joins itself and both.
 
-    ``values`` are ranked; a pair counts only if ``key`` are its first common values.
+    ``values`` are ranked, ``size`` also counts those that no other record has; a pair counts only if ``key`` are its first common values.
     """
-    members.sort(key=lambda m: len(m[2]))
+    members.sort(key=lambda m: m[2])
     lists: dict[int, list[int]] = {}
-    brute = len(members) <= 24
-    sets = [frozenset(m[2]) for m in members]
-    for k, (own, side, values) in enumerate(members):
-        size = len(values)
-        if brute:
-            found = ((j, len(sets[j] & sets[k])) for j in range(k))
-        else:  # members so far are no larger, so size * num / den is the least size that can be similar
-            least = needed(-(-size * num // den), size, num, den)
-            found = divide_skip([lists[v] for v in values if v in lists], least, max(0, least - 2))
-        for j, n in found:
-            other, at, theirs = members[j]
-            if other == own or (side == at and side != 2) or n < needed(len(theirs), size, num, den):
+    sets = [frozenset(m[3]) for m in members]
+    for k, (own, side, size, values) in enumerate(members):
+        # Members so far are no larger, so size * num / den is the least size that can be similar.
+        least = needed(-(-size * num // den), size, num, den)
+        for j, n in divide_skip([lists[v] for v in values if v in lists], least, max(0, least - 2)):
+            other, at, theirs, _ = members[j]
+            if other == own or (side == at and side != 2) or n < needed(theirs, size, num, den):
                 continue
-            common = [v for v in values if v in sets[j]][: len(key)]
-            if tuple(common) == key:
+            if tuple([v for v in values if v in sets[j]][: len(key)]) == key:
                 yield (other, own, n) if other < own else (own, other, n)
-        if not brute:
-            for v in values:
-                lists.setdefault(v, []).append(k)
+        for v in values:
+            lists.setdefault(v, []).append(k)
 
 
 def merge(num: int, den: int):
-    """A map over batches of ``(k1, k2, cell, id, side, values)`` ordered by the first three."""
+    """A map over batches of ``(k1, k2, cell, id, side, size, values)`` ordered by the first three."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_key, members = None, []
@@ -127,13 +117,11 @@ def merge(num: int, den: int):
 
         out: list = []
         for batch in batches:
-            k1, k2, cell, ids, side = (batch.column(k).to_pylist() for k in range(5))
-            values = batch.column(5).to_pylist()
-            for row in zip(k1, k2, cell, ids, side, values):
+            for row in zip(*(batch.column(k).to_pylist() for k in range(7))):
                 if row[:3] != open_key:
                     close(out)
                     open_key, members = row[:3], []
-                members.append((row[3], row[4], tuple(row[5])))
+                members.append((row[3], row[4], row[5], tuple(row[6])))
                 if len(out) > 50_000:
                     yield batch_of(out)
                     out = []
@@ -159,42 +147,48 @@ def giant_pairs(clean: DataFrame, sizes: DataFrame, num: int, den: int, large: i
     return counted.where(F.col("overlap") * (num + den) >= (F.col("na") + F.col("nb")) * num).select("left_id", "right_id", "overlap")
 
 
-def similar_pairs(sets: DataFrame, num: int = 3, den: int = 5, min_size: int = 4, hot: int = 1000, large: int = 50_000) -> DataFrame:
+def similar_pairs(sets: DataFrame, num: int = 3, den: int = 5, min_size: int = 4, hot: int = 1000, large: int = 1000) -> DataFrame:
     """``(left_id, right_id, overlap)`` of all pairs with a Jaccard similarity of at least num/den.
 
-    ``sets`` are ``(id, value)`` rows, repeated ones allowed; records of fewer than ``min_size``
-    values take no part. left_id is the smaller one. Null ids and values are left out; an empty
-    table gives no rows. ``hot`` only decides how a list is split and ``large`` which sets are too
-    large for one row, never what is found.
+    ``sets`` are ``(id, value)`` rows, repeated ones allowed, values of any type that can be grouped; records of
+    fewer than ``min_size`` values take no part. left_id is the smaller one. Null ids and values are left out; an
+    empty table gives no rows. ``hot`` only decides how a list is split and ``large`` which sets are too
+    large to travel with each of their lists, never what is found.
     """
     if needed(min_size, min_size, num, den) < 2 or -(-min_size * num // den) < 2:
         raise ValueError("min_size must be large enough that similar sets share two values")
     clean = cut(sets.where("id is not null and value is not null").select("id", "value").distinct())
-    # Sets too large for one row are joined value by value; as a rule there is none.
-    sizes = clean.groupBy("id").agg(F.count("*").alias("n"))
-    giants = sizes.where(F.col("n") > large)
+    sizes = cut(clean.groupBy("id").agg(F.count("*").cast("int").alias("size")).where(F.col("size") >= min_size))
+    # Values of one record join nothing; the others get a number. It is written, so it stays the same.
+    shared = cut(clean.groupBy("value").agg(F.count("*").alias("n")).where("n > 1").withColumn("code", F.monotonically_increasing_id()))
+    ranked = join_counted(clean, shared, ["value"], clean.count()).select("id", F.col("n").alias("df"), "code")
+    # Sets too large to travel are joined value by value; as a rule there is none.
+    giants = sizes.where(F.col("size") > large)
     large_pairs = None
     if not giants.isEmpty():
-        large_pairs = giant_pairs(clean, sizes, num, den, large)
-        clean = clean.join(giants, "id", "left_anti")
-    ranked = clean.join(clean.groupBy("value").agg(F.count("*").alias("df")), "value")
-    entry = F.sort_array(F.collect_list(F.struct("df", "value")))
-    records = ranked.groupBy("id").agg(entry.alias("e"), F.count("*").cast("int").alias("size")).where(F.col("size") >= min_size)
+        large_pairs = giant_pairs(ranked.select("id", F.col("code").alias("value")), sizes.withColumnRenamed("size", "n"), num, den, large)
+        ranked = ranked.join(giants, "id", "left_anti")
+    entry = F.sort_array(F.collect_list(F.struct("df", "code")))
+    m = F.size("e")
     t = F.ceil(F.col("size") * num / F.lit(den)).cast("int")  # the least overlap of a set of this size with any other
-    records = records.select("id", F.transform("e", lambda x: x.value).alias("values"), F.slice("e", F.lit(1), F.col("size") - t + 1).alias("p1"), F.slice("e", F.lit(1), F.least(F.col("size") - t + 2, F.col("size"))).alias("p2"))
-    # Lists of one record join nothing; lists up to ``hot`` are merged whole.
-    single = F.transform(F.filter("p1", lambda x: (x.df > 1) & (x.df <= hot)), lambda x: F.struct(x.value.alias("k1"), F.lit(None).cast("long").alias("k2"), x.df.alias("n")))
-    hots = F.filter("p2", lambda x: x.df > hot)
-    double = F.flatten(F.transform(hots, lambda x, i: F.transform(F.slice(hots, i + 2, F.greatest(F.size(hots) - i - 1, F.lit(0))), lambda y: F.struct(x.value.alias("k1"), y.value.alias("k2"), F.lit(None).cast("long").alias("n")))))
-    lists = records.select("id", "values", F.explode(F.concat(single, double)).alias("_k")).select("id", "values", "_k.*")
-    light = lists.where("k2 is null").select("k1", "k2", F.lit(0).alias("cell"), "id", F.lit(2).alias("side"), "values")
-    heavy = lists.where("k2 is not null").drop("n")
-    counts = heavy.groupBy("k1", "k2").agg(F.count("*").alias("n")).where("n > 1")
-    # A list of n records in b blocks: block i meets block j in cell (i, j), i <= j.
-    blocks = F.ceil(F.col("n") / F.lit(hot)).cast("int")
-    own = F.pmod(F.xxhash64("id"), F.col("b").cast("long")).cast("int")
-    cells = F.transform(F.sequence(F.lit(0), F.col("b") - 1), lambda j: F.struct((F.least("own", j) * F.col("b") + F.greatest("own", j)).alias("cell"), F.when(j == F.col("own"), 2).when(F.col("own") < j, 0).otherwise(1).alias("side")))
-    split = heavy.join(counts, ["k1", "k2"]).withColumn("b", blocks).withColumn("own", own).select("k1", "k2", F.explode(cells).alias("_c"), "id", "values").select("k1", "k2", "_c.cell", "id", "_c.side", "values")
-    parts = light.unionByName(split).repartition("k1", "k2", "cell").sortWithinPartitions("k1", "k2", "cell")
-    found = parts.mapInArrow(merge(num, den), PAIRS)
+    sorted_sets = cut(ranked.groupBy("id").agg(entry.alias("e")).join(sizes, "id").where(m >= t).select("id", "size", "e"))
+    if large_pairs is None:
+        release(clean)
+        release(shared)
+    records = sorted_sets.select("id", "size", F.transform("e", lambda x: x.code).alias("values"), F.slice("e", F.lit(1), m - t + 1).alias("p1"), F.filter(F.slice("e", F.lit(1), F.least(m - t + 2, m)), lambda x: x.df > hot).alias("hots"))
+    # Lists up to ``hot`` are merged whole.
+    single = F.transform(F.filter("p1", lambda x: x.df <= hot), lambda x: x.code)
+    parts = records.select(F.explode(single).alias("k1"), F.lit(None).cast("long").alias("k2"), F.lit(0).alias("cell"), "id", F.lit(2).alias("side"), "size", "values")
+    # Longer ones are split by a second hot value; a list of n records in b blocks: block i meets block j in cell (i, j), i <= j.
+    n_hot = records.agg(F.sum(F.size("hots") * (F.size("hots") - 1) / 2)).first()[0] or 0
+    if n_hot:
+        double = F.flatten(F.transform("hots", lambda x, i: F.transform(F.slice("hots", i + 2, F.greatest(F.size("hots") - i - 1, F.lit(0))), lambda y: F.struct(x.code.alias("k1"), y.code.alias("k2")))))
+        heavy = records.select("id", "size", "values", F.explode(double).alias("_k")).select("id", "size", "values", "_k.*")
+        counts = heavy.groupBy("k1", "k2").agg(F.count("*").alias("n")).where("n > 1")
+        b = F.ceil(F.col("n") / F.lit(hot)).cast("int")
+        own = F.pmod(F.xxhash64("id"), F.col("b").cast("long")).cast("int")
+        cells = F.transform(F.sequence(F.lit(0), F.col("b") - 1), lambda j: F.struct((F.least("own", j) * F.col("b") + F.greatest("own", j)).alias("cell"), F.when(j == F.col("own"), 2).when(F.col("own") < j, 0).otherwise(1).alias("side")))
+        split = join_counted(heavy, counts, ["k1", "k2"], int(n_hot)).withColumn("b", b).withColumn("own", own)
+        parts = parts.unionByName(split.select("k1", "k2", F.explode(cells).alias("_c"), "id", "size", "values").select("k1", "k2", "_c.cell", "id", "_c.side", "size", "values"))
+    found = parts.repartition("k1", "k2", "cell").sortWithinPartitions("k1", "k2", "cell").mapInArrow(merge(num, den), PAIRS)
     return found if large_pairs is None else found.unionByName(large_pairs)

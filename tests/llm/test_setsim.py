@@ -49,6 +49,22 @@ def test_sets_too_large_for_a_row(spark):
     assert found(spark, rows, large=25) == brute(rows) == found(spark, rows)
 
 
+def test_merging_a_list_needs_no_other_way():
+    """Every list is probed by DivideSkip, short ones too."""
+    rng = random.Random(3)
+    for size in (2, 5, 30):
+        sets = {k: tuple(sorted(rng.sample(range(9), rng.randrange(4, 8)))) for k in range(size)}
+        want = brute([(k, v) for k, s in sets.items() for v in s])
+        got = {p for v in range(9) for p in setsim.merge_list([(k, 2, len(s), s) for k, s in sets.items() if v in s], (v,), 3, 5)}
+        assert got == want
+
+
+def test_values_are_compared_themselves(spark):
+    rows = [(k, f"{v}") for k in (1, 2) for v in ("a", "A", "ä", "", " ", "x" * 5000)]
+    got = setsim.similar_pairs(spark.createDataFrame(rows, "id long, value string")).collect()
+    assert [tuple(r) for r in got] == [(1, 2, 6)]
+
+
 def test_too_small_sets_are_refused(spark):
     with pytest.raises(ValueError, match="min_size"):
         found(spark, [(1, 1)], min_size=1)
