@@ -1,10 +1,10 @@
 """Encoding of a corpus with a public byte-level BPE through a global distinct-word shuffle.
 
-Documents are gathered into blocks by a hash of their id. A block's distinct pre-tokens are sent
-once each to the partition of their word, where every distinct word is encoded once however many
-blocks hold it; the ids come back to the block and its documents are reassembled by position (the
-pre-tokens of a text, in order). Only distinct words per block cross the network, not every
-occurrence. Decoding joins the table of token bytes and reassembles by position.
+Texts are split where they lie. The texts read together form a block; every pre-token of a block is
+a distinct word with the positions it stands at, so the exploded corpus is sent as one row per block
+and distinct word. A row goes to the partition of its word, where every distinct word is encoded once
+however many blocks hold it; the ids join the positions, come back to their block and are put into
+place by position. Decoding joins each id with the table of token bytes and reassembles by position.
 """
 
 from __future__ import annotations
@@ -17,10 +17,11 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ligature.runtime import estimated_bytes
+from ligature.runtime import cut, estimated_bytes
 
 #: Folder of the vocabulary files; a parameter, never copied into the repository.
 TOKENIZERS = os.environ.get("LIGATURE_TOKENIZERS", "/opt/tokenizers")
@@ -31,7 +32,12 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 FAST_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+"
 #: Outside of the blocks where the engines' classes are alike (numbers that aren't digits, separators, rarer scripts).
 UNLIKE = "[^\x00-\x1b\x20-\xb1\xb4-\xb8\xba\xbb\xbf-\u024f\u0386-\u03ce\u0400-\u0481\u048a-\u052f\u2010-\u2027\u2030-\u205e\u20a0-\u20bf\u2190-\u23ff\u2500-\u2767\u3001\u3002\u3008-\u3011\u3041-\u3096\u30a0-\u30ff\u4e00-\u9fef]"
-BLOCK_BYTES = 1_500_000
+#: Characters that are split together, rows of words that may share a partition, and bytes of input a partition is meant for.
+BLOCK_CHARS = 1_500_000
+WORD_BLOCKS = 10_000
+PART_BYTES, MANY_PARTS, LARGE_PART_BYTES = 8 << 20, 20_000, 128 << 20
+UNKNOWN = 1 << 60
+ROWS = "block long, word string, ids binary, positions binary"
 
 
 @lru_cache(1)
@@ -56,94 +62,220 @@ def encoder(path: str):
     return tiktoken.Encoding(os.path.basename(path), pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
 
-def distinct_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Batches of ``(block, doc_id, text)`` ordered by block to each block's distinct pre-tokens."""
-    block, words = None, set()
+class Codes(dict):
+    """Number of each word, given when it first comes."""
+
+    def __missing__(self, word: str) -> int:
+        code = self[word] = len(self)
+        return code
+
+
+def packed(codes: np.ndarray, n_words: int) -> pa.Array:
+    """The positions of each code: one byte for the width of the steps, four for the first position, then the steps."""
+    order = np.argsort(codes, kind="stable")
+    count = np.bincount(codes, minlength=n_words)
+    first = np.cumsum(count) - count
+    steps = np.diff(order, prepend=0)
+    steps[first] = 0
+    largest = np.maximum.reduceat(steps, first)
+    width = np.where(largest < 1 << 8, 1, np.where(largest < 1 << 16, 2, 4))
+    offsets = np.concatenate([[0], np.cumsum(5 + (count - 1) * width)])
+    out = np.zeros(offsets[-1], np.uint8)
+    out[offsets[:-1]] = width
+    for k in range(4):
+        out[offsets[:-1] + 1 + k] = (order[first] >> (8 * k)) & 255
+    word = np.repeat(np.arange(n_words), count)
+    nth = np.arange(len(codes)) - first[word]
+    later = nth > 0
+    word, nth, steps = word[later], nth[later], steps[later]
+    at = offsets[word] + 5 + (nth - 1) * width[word]
+    for k in range(4):
+        wide = width[word] > k
+        out[at[wide] + k] = (steps[wide] >> (8 * k)) & 255
+    return pa.Array.from_buffers(pa.binary(), n_words, [None, pa.py_buffer(offsets.astype(np.int32).tobytes()), pa.py_buffer(out.tobytes())])
+
+
+def ragged(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """``(offsets, bytes)`` of a binary column without nulls."""
+    values = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    values = pa.concat_arrays(values.chunks) if isinstance(values, pa.ChunkedArray) else values
+    raw = values.buffers()
+    offsets = np.frombuffer(raw[1], np.int32 if values.type == pa.binary() else np.int64)[values.offset : values.offset + len(values) + 1].astype(np.int64)
+    data = np.frombuffer(raw[2], np.uint8) if raw[2] is not None else np.empty(0, np.uint8)
+    return offsets - offsets[0], data[offsets[0] : offsets[-1]]
+
+
+def unpacked(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``(word, position)`` of every occurrence in the rows of :func:`packed`."""
+    start = offsets[:-1]
+    width = data[start].astype(np.int64)
+    count = 1 + (np.diff(offsets) - 5) // width
+    word = np.repeat(np.arange(len(start)), count)
+    begins = np.cumsum(count) - count
+    nth = np.arange(len(word)) - begins[word]
+    steps = np.zeros(len(word), np.int64)
+    for k in range(4):
+        steps[begins] += data[start + 1 + k].astype(np.int64) << (8 * k)
+    later = np.flatnonzero(nth)
+    at = start[word[later]] + 5 + (nth[later] - 1) * width[word[later]]
+    for k in range(4):
+        wide = width[word[later]] > k
+        steps[later[wide]] += data[at[wide] + k].astype(np.int64) << (8 * k)
+    total = np.cumsum(steps)
+    return word, total - (total - steps)[begins][word]
+
+
+def exploded(block_chars: int):
+    """Batches of ``(doc_id, text)`` to each block's distinct pre-tokens with their positions; a row without a word holds the block's ids and numbers of pre-tokens."""
 
-    def emit() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([block] * len(words), pa.int64()), pa.array(words, pa.string())], names=["block", "word"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
 
-    for batch in batches:
-        for b, text in zip(batch.column("block").to_pylist(), batch.column("text").to_pylist()):
-            if b != block:
-                if words:
+        # Input comes in the same order whenever a task is run again, so its blocks are the same.
+        block = TaskContext.get().partitionId() << 32
+        words, codes, ids, counts, chars = Codes(), [], [], [], 0
+
+        def emit() -> pa.RecordBatch:
+            head = np.array([[i is None, i or 0, n] for i, n in zip(ids, counts)], "<i8").tobytes()
+            positions = packed(np.concatenate(codes), len(words))
+            n = len(words) + 1
+            return pa.RecordBatch.from_arrays([pa.array(np.full(n, block)), pa.array([None, *words], pa.string()), pa.nulls(n, pa.binary()), pa.concat_arrays([pa.array([head], pa.binary()), positions])], names=["block", "word", "ids", "positions"])
+
+        for batch in batches:
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                pieces = pre_tokens(text)
+                codes.append(np.fromiter(map(words.__getitem__, pieces), np.int64, len(pieces)))
+                ids.append(doc)
+                counts.append(len(pieces))
+                chars += len(text)
+                if chars >= block_chars:
                     yield emit()
-                block, words = b, set()
-            words.update(pre_tokens(text))
-    if words:
-        yield emit()
+                    block += 1
+                    words, codes, ids, counts, chars = Codes(), [], [], [], 0
+        if ids:
+            yield emit()
+
+    return run
 
 
 def encode_words(path: str):
-    """Batches of ``(block, word)`` ordered by word, each word encoded when it first comes; ids as 32-bit integers in bytes."""
+    """Batches ordered by word; each word is encoded when it first comes, into 32-bit integers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, last, ids = encoder(path), None, b""
+        encode, last, ids = encoder(path), None, None
         for batch in batches:
             out = []
             for word in batch.column(1).to_pylist():
-                if word != last:
+                if word is not None and word != last:
                     last, ids = word, np.array(encode(word), "<i4").tobytes()
-                out.append(ids)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], names=["block", "word", "ids"])
+                out.append(ids if word is not None else None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.nulls(batch.num_rows, pa.string()), pa.array(out, pa.binary()), batch.column(3)], names=["block", "word", "ids", "positions"])
 
     return run
 
 
-def reassemble(texts: pa.Table, words: pa.Table) -> pa.Table:
-    """One block: the ids of each text's pre-tokens in the order of their positions."""
-    ids_of = dict(zip(words.column("word").to_pylist(), words.column("ids").to_pylist())).__getitem__
-    rows = [b"".join(map(ids_of, pre_tokens(text))) for text in texts.column("text").to_pylist()]
-    offsets = np.concatenate([[0], np.cumsum([len(r) // 4 for r in rows])])
-    values = np.frombuffer(b"".join(rows), "<i4")
+def reassemble(rows: pa.Table) -> pa.Table:
+    """One block: the ids of each word at the positions it stands at, cut into documents."""
+    is_head = rows.column("ids").is_null()
+    head = np.frombuffer(rows.filter(is_head).column("positions")[0].as_py(), "<i8").reshape(-1, 3)
+    words = rows.filter(pc.invert(is_head))
+    id_offsets, id_bytes = ragged(words.column("ids"))
+    word, position = unpacked(*ragged(words.column("positions")))
+    ids = id_bytes.view("<i4")
+    at = np.empty(len(word), np.int64)
+    at[position] = word
+    length = (np.diff(id_offsets) // 4)[at]
+    ends = np.cumsum(length)
+    values = ids[np.repeat(id_offsets[at] // 4 - (ends - length), length) + np.arange(ends[-1])]
     # Lists of 32-bit offsets: a block's ids are far fewer than 2**31.
-    ids = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, pa.int32()))
-    return pa.table({"doc_id": texts.column("doc_id"), "ids": ids})
+    offsets = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(head[:, 2])])]
+    lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, pa.int32()))
+    return pa.table({"doc_id": pa.array(head[:, 1], mask=head[:, 0] == 1), "ids": lists})
+
+
+def settled(texts: DataFrame) -> DataFrame:
+    """``texts`` in splits that come in the same order whenever they are read, dealt out over the cores if they are few.
+
+    A scan of files is that already. Anything behind a shuffle is written first; a small input is dealt out and ordered.
+    """
+    cores = texts.sparkSession.sparkContext.defaultParallelism
+    if "AdaptiveSparkPlan" in texts._jdf.queryExecution().executedPlan().nodeName():
+        return cut(texts)
+    return texts if texts.rdd.getNumPartitions() >= cores else texts.repartition(cores).sortWithinPartitions("doc_id", "text")
 
 
-def encode_corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folder: str = TOKENIZERS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def partitions(spark, size: int) -> int:
+    """Partitions for ``size`` bytes of input: small ones as long as they are not too many, then larger ones."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(size // PART_BYTES, MANY_PARTS), size // LARGE_PART_BYTES)
+
+
+def encode_corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folder: str = TOKENIZERS, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """``(doc_id, ids)`` of every row of ``docs``, without special tokens.
 
     Null and empty texts give the empty list. Text that looks like a special token is ordinary
     text. Rows keep their number: a repeated id is encoded as often as it comes. A null id is
     encoded like any other. An empty table gives no rows; other columns are ignored.
     """
-    blocks = min(max(estimated_bytes(docs) // block_bytes, 8), 1 << 40)
     both = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     blank = F.coalesce(F.col("text"), F.lit("")) == ""
-    block = F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(0))), F.lit(blocks).cast("long")).alias("block")
-    texts = both.where(~blank).select(block, "doc_id", "text").repartition("block")
-    # Both uses of the texts read all their columns, so that one exchange serves them.
-    words = texts.sortWithinPartitions("block").mapInArrow(distinct_words, "block long, word string")
-    coded = words.repartition("word").sortWithinPartitions("word").mapInArrow(encode_words(f"{folder}/{VOCABULARY}"), "block long, word string, ids binary")
-    ids = texts.groupBy("block").cogroup(coded.groupBy("block")).applyInArrow(reassemble, "doc_id long, ids array<int>")
+    texts = settled(both.where(~blank))
+    size = estimated_bytes(docs)
+    if size >= UNKNOWN:  # not read from files: characters, as if compressed five to one
+        size = (texts.agg(F.sum(F.length("text"))).first()[0] or 0) // 5
+    n = partitions(docs.sparkSession, size)
+    rows = texts.mapInArrow(exploded(block_chars), ROWS)
+    # A word of all blocks is dealt out by block; blocks are at least as large as block_chars bytes, so their number is bounded by the size (compressed about five to one).
+    salts = max(1, 5 * size // block_chars // WORD_BLOCKS)
+    salt = F.when(F.col("word").isNull(), F.col("block")).otherwise(F.pmod(F.xxhash64("block"), F.lit(salts).cast("long")))
+    coded = rows.repartition(n, F.col("word"), salt).sortWithinPartitions("word").mapInArrow(encode_words(f"{folder}/{VOCABULARY}"), ROWS)
+    ids = coded.repartition(n, "block").groupBy("block").applyInArrow(reassemble, "doc_id long, ids array<int>")
     return ids.unionByName(both.where(blank).select("doc_id", F.array().cast("array<int>").alias("ids")))
 
 
-@lru_cache(2)
-def token_bytes(path: str) -> dict[int, bytes]:
-    """The table of token bytes by id; its size is that of the vocabulary."""
-    return {int(b): base64.b64decode(a) for a, b in map(bytes.split, open(path, "rb"))}
+def token_table(spark, path: str) -> DataFrame:
+    """``(id, bytes)`` of every token; its size is that of the vocabulary."""
+    rows = [(int(b), base64.b64decode(a)) for a, b in map(bytes.split, open(path, "rb"))]
+    return spark.createDataFrame(pa.table({"id": pa.array([i for i, _ in rows], pa.int32()), "bytes": pa.array([b for _, b in rows], pa.binary())}))
+
+
+def joined_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of ``(row, doc_id, position, bytes)`` in order to ``(doc_id, text)``; the open text goes on in the next batch."""
+    open_row, open_doc, parts, due = None, None, [], 0
+
+    def closed() -> tuple:
+        return open_doc, b"".join(parts).decode("utf-8", "replace")
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        row, position = batch.column(0).to_numpy(), batch.column(2).fill_null(0).to_numpy(zero_copy_only=False)
+        offsets, data = ragged(batch.column(3).fill_null(b""))
+        raw, docs, done = data.tobytes(), batch.column(1), []
+        starts = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
+        for s, e in zip(starts.tolist(), [*starts[1:].tolist(), len(row)]):
+            if row[s] != open_row:
+                if open_row is not None:
+                    done.append(closed())
+                open_row, open_doc, parts, due = row[s], docs[s].as_py(), [], 0
+            if position[s] != due or position[e - 1] != due + e - s - 1:
+                raise RuntimeError("positions out of order")
+            due += e - s
+            parts.append(raw[offsets[s] : offsets[e]])
+        if done:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done), (pa.int64(), pa.string()))], names=["doc_id", "text"])
+    if open_row is not None:
+        yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(closed(), (pa.int64(), pa.string()))], names=["doc_id", "text"])
 
 
 def decode_corpus(encoded: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", folder: str = TOKENIZERS) -> DataFrame:
-    """``(doc_id, text)`` of ``(doc_id, ids)``: each id is joined to its bytes, which are put together by position.
+    """``(doc_id, text)`` of ``(doc_id, ids)``: each id with its position is joined to its bytes, which are put together by position.
 
-    The table is bounded by the vocabulary, so the join is done where the ids lie and nothing is
-    shuffled. Null and empty lists give the empty text, ids outside the vocabulary an error; rows keep
-    their number.
+    The table is bounded by the vocabulary, so it is broadcast and nothing is shuffled: the ids of a row stay
+    in order, which is checked where they are put together. Null and empty lists give the empty text, ids outside
+    the vocabulary an error; rows keep their number.
     """
-    path = f"{folder}/{VOCABULARY}"
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = token_bytes(path)
-        for batch in batches:
-            texts = []
-            for ids in batch.column(1).to_pylist():
-                try:
-                    texts.append(b"".join(map(table.__getitem__, ids or ())).decode("utf-8", "replace"))
-                except KeyError as e:
-                    raise ValueError(f"id {e} outside the vocabulary") from e
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
-
-    return encoded.select(F.col(id_col).cast("long").alias("doc_id"), F.col(ids_col).alias("ids")).mapInArrow(run, "doc_id long, text string")
+    table = token_table(encoded.sparkSession, f"{folder}/{VOCABULARY}")
+    rows = encoded.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(ids_col).alias("ids"))
+    tokens = rows.select("row", "doc_id", F.posexplode_outer("ids").alias("position", "id")).join(F.broadcast(table), "id", "left")
+    known = F.when(F.col("id").isNotNull() & F.col("bytes").isNull(), F.raise_error(F.concat(F.lit("id "), F.col("id").cast("string"), F.lit(" outside the vocabulary")))).otherwise(F.col("bytes"))
+    return tokens.select("row", "doc_id", "position", known.alias("bytes")).mapInArrow(joined_texts, "doc_id long, text string")

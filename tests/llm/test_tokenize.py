@@ -3,6 +3,7 @@
 import os
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -46,6 +47,32 @@ def test_decode_lists(spark):
         tokenize.decode_corpus(spark.createDataFrame([(1, [99_999])], "doc_id long, ids array<int>")).collect()
 
 
+def test_positions_are_packed_and_unpacked():
+    rng = np.random.default_rng(3)
+    for n, words in ((1, 1), (50, 3), (70_000, 5), (200_000, 90_000)):
+        codes = np.append(np.arange(min(words, n)), rng.integers(0, words, max(0, n - words)) ** 2 // max(1, words))
+        codes = rng.permutation(codes)
+        codes = np.unique(codes, return_inverse=True)[1]
+        word, position = tokenize.unpacked(*tokenize.ragged(tokenize.packed(codes, codes.max() + 1)))
+        back = np.full(len(codes), -1)
+        back[position] = word
+        assert (back == codes).all()
+
+
+def test_small_blocks_and_settled_input(spark):
+    encode = tokenize.encoder(f"{tokenize.TOKENIZERS}/{tokenize.VOCABULARY}")
+    f = frame(spark, TEXTS)
+    for docs in (f, f.repartition(3, "doc_id"), f.distinct()):
+        got = {r.doc_id: list(r.ids) for r in tokenize.encode_corpus(docs, block_chars=5).collect()}
+        assert got == {k: encode(t or "") for k, t in enumerate(TEXTS)}
+
+
+def test_partitions_follow_the_size(spark):
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert tokenize.partitions(spark, 0) == least
+    assert tokenize.partitions(spark, 30 << 30) == 3840 and tokenize.partitions(spark, 100 << 40) == 100 << 40 >> 27
+
+
 def test_very_long_text(spark):
     texts = ["word " * 200_000, "x" * 300_000, "é" * 100_000]
     encode = tokenize.encoder(f"{tokenize.TOKENIZERS}/{tokenize.VOCABULARY}")
