@@ -16,6 +16,7 @@ FIELD = re.compile(r"^([!-9;-~]+)[ \t]*:[ \t]*(.*(?:\n[ \t].*)*)", re.M)
 ENCODED_WORD = re.compile(r"=\?([^?\s]+)\?([bBqQ])\?([^?\n]*)\?=(?:\s+(?==\?[^?\s]+\?[bBqQ]\?))?")
 ESCAPES = re.compile(r"(?:=[0-9A-Fa-f]{2})+")
 SOFT_BREAK = re.compile(r"=[ \t]*\n")
+PADDING = re.compile(r"=+")
 NOT_BASE64 = re.compile(r"[^A-Za-z0-9+/]+")
 BOUNDARY = re.compile(r"boundary[ \t]*=[ \t]*(?:\"([^\"\n]+)\"|([^\s;]+))", re.I)
 CHARSET = re.compile(r"charset[ \t]*=[ \t]*\"?([^\s;\"]+)", re.I)
@@ -38,12 +39,12 @@ def unquote(text: str, charset: str = "utf-8") -> str:
 
 
 def unbase(text: str, charset: str = "utf-8") -> str:
-    """Base64 text, cut short or with foreign characters; what follows the padding is dropped."""
-    pure = NOT_BASE64.sub("", text.split("=", 1)[0])
-    try:
-        return decoded(b64decode(pure[: len(pure) - (len(pure) % 4 == 1)] + "=" * (-len(pure) % 4)), charset)
-    except ValueError:
-        return text
+    """Base64 text, cut short or with foreign characters; each padding ends a run, and the runs follow one another."""
+    raw = []
+    for run in PADDING.split(text):
+        pure = NOT_BASE64.sub("", run)
+        raw.append(b64decode(pure[: len(pure) - (len(pure) % 4 == 1)] + "=" * (-len(pure) % 4)))
+    return decoded(b"".join(raw), charset)
 
 
 def header_text(text: str) -> str:
@@ -60,50 +61,51 @@ def html_text(text: str) -> str:
     return unescape(TAG.sub(" ", INLINE.sub("", text)))
 
 
-def part(head: str, body: str, depth: int) -> Iterator[str]:
-    fields = {k.lower(): v for k, v in FIELD.findall(head)} if head else {}
-    kind = fields.get("content-type", "").lower()
-    if kind.startswith("multipart/") and depth < 20 and (m := BOUNDARY.search(fields["content-type"])):
-        mark = "--" + (m[1] or m[2])
-        pieces = re.split(rf"^{re.escape(mark)}(--)?[ \t]*$\n?", body, flags=re.M)
-        yield from part("", pieces[0], depth + 1)
-        # Pieces alternate with what marks a boundary as the last; text after the last is an epilogue.
-        for closed, piece in zip(pieces[1::2], pieces[2::2]):
-            if closed:
-                yield from part("", piece, depth + 1)
-            elif piece.startswith("\n"):
-                yield from part("", piece, depth + 1)
-            else:
-                inner, _, rest = piece.partition("\n\n")
-                yield from part(inner, rest, depth + 1)
-        return
-    if kind.startswith("message/") and depth < 20:
-        yield from segments(body.lstrip("\n"), depth + 1)
-        return
-    if kind and not kind.startswith(("text/", "multipart/")):
-        return
-    how = fields.get("content-transfer-encoding", "").strip().lower()
-    charset = m[1] if how and (m := CHARSET.search(fields.get("content-type", ""))) else "utf-8"
-    if how.startswith("quoted"):
-        body = unquote(body, charset)
-    elif how.startswith("base64"):
-        body = unbase(body, charset)
-    yield html_text(body) if kind.startswith("text/html") else body
-
+def parts(text: str) -> tuple[str, str]:
+    """``(head, body)`` of a mail; a text that doesn't begin with a header line is a body, and no body follows a mail that ends in its header."""
+    if HEADER.match(text):
+        head, _, body = text.partition("\n\n")
+        return head, body
+    return "", text
 
-def segments(text: str | None, depth: int = 0) -> Iterator[str]:
-    """The readable texts of one mail: its header, then each text part. None and empty give none.
 
-    A text that doesn't begin with a header line is a body; a mail that ends within its header has no body.
-    """
+def segments(text: str | None) -> Iterator[str]:
+    """The readable texts of one mail: its header, then each text part, however deeply nested. None and empty give none."""
     if not text:
         return
     if "\r" in text:
         text = text.replace("\r\n", "\n").replace("\r", "\n")
-    if HEADER.match(text):
-        head, _, body = text.partition("\n\n")
-        yield header_text(head)
-    else:
-        head, body = "", text
-    if body:
-        yield from part(head, body, depth)
+    # What is still to be read, last first: whole mails (head is None), and parts of one.
+    open_: list[tuple[str | None, str]] = [(None, text)]
+    while open_:
+        head, body = open_.pop()
+        if head is None:
+            if not body:
+                continue
+            head, body = parts(body)
+            if head:
+                yield header_text(head)
+            if body:
+                open_.append((head, body))
+            continue
+        fields = {k.lower(): v for k, v in FIELD.findall(head)} if head else {}
+        kind = fields.get("content-type", "").lower()
+        if kind.startswith("multipart/") and (m := BOUNDARY.search(fields["content-type"])):
+            mark = "--" + (m[1] or m[2])
+            pieces = re.split(rf"^{re.escape(mark)}(--)?[ \t]*$\n?", body, flags=re.M)
+            below = [("", pieces[0])]
+            # Pieces alternate with what marks a boundary as the last; text after the last is an epilogue.
+            for closed, piece in zip(pieces[1::2], pieces[2::2]):
+                inner, _, rest = ("", "", piece) if closed or piece.startswith("\n") else piece.partition("\n\n")
+                below.append((inner, rest))
+            open_ += reversed(below)
+        elif kind.startswith("message/"):
+            open_.append((None, body.lstrip("\n")))
+        elif not kind or kind.startswith(("text/", "multipart/")):
+            how = fields.get("content-transfer-encoding", "").strip().lower()
+            charset = m[1] if how and (m := CHARSET.search(fields.get("content-type", ""))) else "utf-8"
+            if how.startswith("quoted"):
+                body = unquote(body, charset)
+            elif how.startswith("base64"):
+                body = unbase(body, charset)
+            yield html_text(body) if kind.startswith("text/html") else body

@@ -29,7 +29,7 @@ def p5_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Occurrences and articles of every hash and language tag, with its mark or null."""
     articles = read(spark, sf_dir, "articles_raw")
     total = articles.agg(F.count_distinct("article_id")).first()[0]
-    return terms.marks(terms.frequencies(terms.tokens(articles, "article_id", ["ip_hash", "asn_hash"], ["languages"])), total)
+    return terms.marks(terms.frequencies(terms.tokens(articles, "article_id", ["ip_hash", "asn_hash"], ["languages"]), total), total)
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,7 +55,7 @@ def p7_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mails that hold ten words in a row of an evaluation item."""
-    return leaks.leaked(read(spark, sf_dir, "documents"), read(spark, sf_dir, "eval_items"), window=10, similarity=1.0)
+    return leaks.leaked(read(spark, sf_dir, "documents"), read(spark, sf_dir, "eval_items"), window=10, radius=3, similarity=0.8)
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:

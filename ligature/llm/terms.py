@@ -71,13 +71,14 @@ def last_seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield emit([(*open_term, occurrences, records)])
 
 
-def frequencies(toks: DataFrame, buckets: int = 64) -> DataFrame:
+def frequencies(toks: DataFrame, total_records: int, bucket_records: int = 100_000) -> DataFrame:
     """One row ``(attr_name, term, occurrences, records)`` per distinct term of ``(attr_name, term, id)``.
 
-    Null terms are not counted; an empty table gives no rows. The tokens are shuffled once, and at
-    most about 1/``buckets`` of a term's records meet in one partition.
+    Null terms are not counted; an empty table gives no rows. The tokens are shuffled once; the buckets follow
+    from the number of records, so that about ``bucket_records`` records of a term at most meet in one partition.
     """
-    bucket = F.pmod(F.xxhash64("id"), F.lit(buckets)).cast("int").alias("bucket")
+    buckets = max(64, -(-total_records // bucket_records))
+    bucket = F.pmod(F.xxhash64("id"), F.lit(buckets).cast("long")).alias("bucket")
     ordered = toks.where("term is not null and id is not null").select("attr_name", "term", bucket, "id", F.lit(1).cast("long").alias("n")).repartition("attr_name", "term", "bucket").sortWithinPartitions("attr_name", "term", "bucket", "id")
     parts = ordered.select("attr_name", "term", "id", "n").mapInArrow(last_seen, COUNTS)
     return parts.groupBy("attr_name", "term").agg(F.sum("occurrences").alias("occurrences"), F.sum("records").alias("records"))

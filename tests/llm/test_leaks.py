@@ -59,15 +59,39 @@ def test_blocks_of_items(spark, items):
 
 
 def test_radius_and_similarity(spark, items):
-    changed = " ".join(w if k != 9 else "other" for k, w in enumerate(WORDS[:18]))
+    changed = " ".join(w if k else "other" for k, w in enumerate(WORDS[:18]))
     docs = frame(spark, [changed, " ".join(WORDS[:18]), "nothing alike at all in this text of more than ten words here"])
-    assert found(docs, items, window=18, radius=3, similarity=0.5) >= {(1, 1), (1, 4)}
-    assert not any(d == 2 for d, _ in found(docs, items, window=18, radius=3, similarity=0.5))
+    near = found(docs, items, window=18, radius=3, similarity=0.5, same_words=False)
+    assert near >= {(1, 1), (1, 4)} and not any(d == 2 for d, _ in near)
+    assert found(docs, items, window=18, radius=3, similarity=0.5) == {(1, 1), (1, 4)}
+
+
+def test_similarity_is_that_of_weighted_shingles():
+    index = leaks.Index([(1, ITEM)], 10, 3, 0.8)
+    a = index.passages(np.array([0]))[0]
+    b = a.copy()
+    b[0] = 7
+    assert index.similar(a, a) and not index.similar(a, b)
+    # Five of six shingles are left; the lost one on either side weighs least in a lower threshold.
+    index.similarity = 0.6
+    assert index.similar(a, b)
+
+
+def test_deep_and_split_parts():
+    text = f"Content-Type: text/plain\n\n{TEN}"
+    for k in range(60):
+        text = f"Content-Type: multipart/mixed; boundary=b{k}\n\n--b{k}\n{text}\n--b{k}--\n"
+    assert any(TEN in s for s in segments(text))
+    for k in range(60):
+        text = f"Content-Type: message/rfc822\n\n{text}"
+    assert any(TEN in s for s in segments(text))
+    halves = [base64.b64encode(x.encode()).decode() for x in (TEN[:40], TEN[40:])]
+    assert halves[0].endswith("=") and TEN in list(segments(mail("\n".join(halves), how="base64")))[1]
 
 
 def test_candidates_are_complete():
     rng = np.random.default_rng(1)
-    index = leaks.Index([(k, " ".join(f"w{x}" for x in rng.integers(0, 40, 60))) for k in range(5)], 10, 3, 1.0)
+    index = leaks.Index([(k, " ".join(f"w{x}" for x in rng.integers(0, 40, 60))) for k in range(5)], 10, 3, 0.8)
     prints = index.prints[rng.integers(0, len(index.prints), 500)].copy()
     for k in range(500):
         for bit in rng.integers(0, 64, rng.integers(0, 5)):

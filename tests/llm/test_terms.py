@@ -29,7 +29,7 @@ def test_counts(spark):
             c = want.setdefault(t, [0, set()])
             c[0] += 1
             c[1].add(a)
-    got = terms.frequencies(terms.tokens(f, "article_id", ["h"], ["l"]), buckets=5)
+    got = terms.frequencies(terms.tokens(f, "article_id", ["h"], ["l"]), 5, bucket_records=1)
     assert {(r.attr_name, r.term): (r.occurrences, r.records) for r in got.collect()} == {k: (n, len(s)) for k, (n, s) in want.items()}
 
 
@@ -41,4 +41,4 @@ def test_marks(spark):
 
 def test_empty(spark):
     f = spark.createDataFrame([], "article_id long, h string, l string")
-    assert terms.frequencies(terms.tokens(f, "article_id", ["h"], ["l"])).count() == 0
+    assert terms.frequencies(terms.tokens(f, "article_id", ["h"], ["l"]), 0).count() == 0
