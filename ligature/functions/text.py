@@ -61,6 +61,16 @@ def email_pattern(email: Column) -> Column:
     )
 
 
+def has_letters(email: Column) -> Column:
+    """Whether the local part holds a letter a to z."""
+    return local_part(email).rlike("[a-zA-Z]")
+
+
+def digits_only(email: Column) -> Column:
+    """Whether the local part is digits and nothing else."""
+    return local_part(email).rlike(r"^(?U)\d+$")
+
+
 def letters_and_digits(col: Column) -> Column:
     """Lower case without anything but a-z and 0-9; empty for null."""
     return F.coalesce(F.regexp_replace(F.lower(col), "[^a-z0-9]+", ""), F.lit(""))

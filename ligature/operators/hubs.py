@@ -16,9 +16,9 @@ def stats(index: DataFrame) -> DataFrame:
     return index.groupBy("attr", "value").agg(F.count("*").alias("size"), named("author_name").cast("bigint").alias("n_authors"), named("author_org").cast("bigint").alias("n_orgs"))
 
 
-def eligible(hubs: DataFrame, least: int = 5, caps: dict[str, int] = CAPS) -> DataFrame:
-    """Decision hubs of enough articles, not above the cap, with two authors and two organisations."""
-    return hubs.where(F.col("attr").isin(*DECISION_ATTRS) & (F.col("size") >= least) & (F.col("size") <= cap_of(caps)) & (F.col("n_authors") >= 2) & (F.col("n_orgs") >= 2))
+def eligible(hubs: DataFrame, least: int = 5, caps: dict[str, int] = CAPS, least_names: int = 2) -> DataFrame:
+    """Decision hubs of enough articles, not above the cap, with enough authors and organisations."""
+    return hubs.where(F.col("attr").isin(*DECISION_ATTRS) & (F.col("size") >= least) & (F.col("size") <= cap_of(caps)) & (F.col("n_authors") >= least_names) & (F.col("n_orgs") >= least_names))
 
 
 def author_share(index: DataFrame) -> DataFrame:
@@ -27,12 +27,12 @@ def author_share(index: DataFrame) -> DataFrame:
     return own.where("author_name <> ''").select("attr", "value", "author_name", "n", (F.col("n") / F.col("size")).alias("share"))
 
 
-def passing(index: DataFrame, most_share: float = 0.5) -> DataFrame:
+def passing(index: DataFrame, most_share: float = 0.5, least: int = 5, least_names: int = 2) -> DataFrame:
     """``(article_id, attr, value)``: memberships in eligible hubs that the article's own author doesn't dominate.
 
     All three inputs are grouped by (attr, value), so one partitioning serves them.
     """
-    members = index.where(F.col("attr").isin(*DECISION_ATTRS)).join(eligible(stats(index)).select("attr", "value"), ["attr", "value"])
+    members = index.where(F.col("attr").isin(*DECISION_ATTRS)).join(eligible(stats(index), least, least_names=least_names).select("attr", "value"), ["attr", "value"])
     share = author_share(index).select("attr", "value", "author_name", "share")
     return members.join(share, ["attr", "value", "author_name"], "left").where(F.coalesce("share", F.lit(0.0)) <= most_share).select("article_id", "attr", "value")
 
@@ -45,6 +45,13 @@ def adjacency(index: DataFrame, attrs: tuple[str, ...] = DECISION_ATTRS) -> Data
     return a.join(b, "article_id").where(before).groupBy("attr_a", "value_a", "attr_b", "value_b").agg(F.count("*").alias("shared"))
 
 
+def neighbours(edges: DataFrame, attr: str, value: str) -> DataFrame:
+    """``(attr, value, shared)``: the other ends of the edges at one hub."""
+    first = (F.col("attr_a") == attr) & (F.col("value_a") == value)
+    second = (F.col("attr_b") == attr) & (F.col("value_b") == value)
+    return edges.where(first | second).select(F.when(first, F.col("attr_b")).otherwise(F.col("attr_a")).alias("attr"), F.when(first, F.col("value_b")).otherwise(F.col("value_a")).alias("value"), "shared")
+
+
 def drilldown(index: DataFrame, attr: str, value: str) -> DataFrame:
     """``(article_id, attr, value)`` of all hubs of the articles in one hub."""
     papers = index.where((F.col("attr") == attr) & (F.col("value") == value)).select("article_id")

@@ -28,6 +28,18 @@ def score():
     return weights + time + orgs + F.when(has(NET) & has(DOC), 4.0).otherwise(0.0)
 
 
+def peers_of(index: DataFrame, subjects: DataFrame, k: int = 20, least: float = RETRIEVE) -> DataFrame:
+    """The ``k`` best peers of the given subjects among all articles. Only the subjects' tokens are joined; their peers aren't restricted."""
+    t = index.where(F.col("attr").isin(*RANKED)).select("attr", "value", "article_id", "created_on", "author_org", bit_of().alias("bit"))
+    a = t.join(subjects, "article_id", "left_semi").select("attr", "value", "bit", F.col("article_id").alias("subject"), F.col("created_on").alias("created_a"), F.col("author_org").alias("org_a"))
+    b = t.select("attr", "value", F.col("article_id").alias("peer"), F.col("created_on").alias("created_b"), F.col("author_org").alias("org_b"))
+    met = a.join(b, ["attr", "value"]).where(F.col("subject") != F.col("peer"))
+    merged = met.groupBy("subject", "peer", "created_a", "created_b", "org_a", "org_b").agg(F.bit_or("bit").alias("matched"))
+    by = Window.partitionBy("subject").orderBy(F.desc("score"), first_attr(), "peer")
+    scored = merged.select("subject", "peer", "matched", score().alias("score")).where(F.col("score") >= least)
+    return scored.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
+
+
 def scored_pairs(index: DataFrame) -> DataFrame:
     """``(a, b, matched, score)``, a < b, of all pairs that share a kept value of a ranked attribute.
 

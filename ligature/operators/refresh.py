@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ligature.schema import conform
 
 
 def cutoff(as_of: str, days: int) -> Column:
@@ -28,23 +31,36 @@ def keep_by_priority(df: DataFrame, key: str, priority: str, first: bool = True,
     return df.withColumn("_r", F.row_number().over(by)).where("_r = 1").drop("_r", priority)
 
 
-def splice(cache: DataFrame, fresh: DataFrame, key: str, ts: str, as_of: str, days: int) -> tuple[DataFrame, DataFrame]:
-    """The refreshed window and what aged out of the cache: fresh rows win, cached ones stay where there is none."""
+def splice(cache: DataFrame, fresh: DataFrame, key: str, ts: str, as_of: str, days: int, schema: T.StructType | None = None) -> tuple[DataFrame, DataFrame]:
+    """The refreshed window and what aged out of the cache: fresh rows win, cached ones stay where there is none. Both sides are conformed to ``schema`` if one is given."""
+    if schema is not None:
+        cache, fresh = conform(cache, schema), conform(fresh, schema)
     remainder = within(cache, ts, as_of, days).join(fresh.select(key).distinct(), key, "left_anti")
     merged = fresh.withColumn("_p", F.lit(0)).unionByName(remainder.withColumn("_p", F.lit(1)), allowMissingColumns=True)
     others = tuple(c for c in cache.columns if c != key)
     return within(keep_by_priority(merged, key, "_p", ties=others), ts, as_of, days), aged(cache, ts, as_of, days)
 
 
-def archive(previous: DataFrame, aged_out: DataFrame, key: str) -> DataFrame:
-    """Previous and newly aged rows, each key once; the newer row wins."""
+def archive(previous: DataFrame, aged_out: DataFrame, key: str, schema: T.StructType | None = None) -> DataFrame:
+    """Previous and newly aged rows, each key once; the newer row wins. Both are conformed to ``schema`` if one is given."""
+    if schema is not None:
+        previous, aged_out = conform(previous, schema), conform(aged_out, schema)
     both = previous.withColumn("_p", F.lit(0)).unionByName(aged_out.withColumn("_p", F.lit(1)), allowMissingColumns=True)
     return keep_by_priority(both, key, "_p", first=False, ties=tuple(c for c in previous.columns if c != key))
 
 
-def replace_columns(df: DataFrame, new: DataFrame, key: str) -> DataFrame:
-    """``df`` with every column that ``new`` has taken from it, null where the key is missing there. Key must be unique in ``new``."""
-    return df.drop(*(c for c in new.columns if c != key)).join(new, key, "left")
+def replace_columns(df: DataFrame, new: DataFrame, key: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``df`` with every column that ``new`` has taken from it, null where the key is missing there; columns of ``df`` named in ``keep`` stay. Key must be unique in ``new``."""
+    taken = new.drop(*(c for c in keep if c in df.columns))
+    return df.drop(*(c for c in taken.columns if c != key)).join(taken, key, "left")
+
+
+def needs_backfill(columns: tuple[str, ...], empty) -> Column:
+    """Whether any of the columns is empty."""
+    need = F.lit(False)
+    for c in columns:
+        need = need | empty(F.col(c))
+    return need
 
 
 def fill_if_empty(df: DataFrame, new: DataFrame, key: str, columns: tuple[str, ...], empty) -> DataFrame:

@@ -130,9 +130,9 @@ def sweep(labels: DataFrame, thresholds: tuple[int, ...] = THRESHOLDS) -> DataFr
 
 
 def best_threshold(swept: DataFrame) -> DataFrame:
-    """The most precise threshold with a rate of 3 to 12 % and a precision of 0.4 or more, else the one nearest 7 %."""
-    good = F.col("rate").between(0.03, 0.12) & (F.coalesce("precision_structural", F.lit(0.0)) >= 0.4)
-    order = [F.desc(good), F.when(good, -F.col("precision_structural")), F.when(good, half_up(F.abs(F.col("rate") - 0.06), 6)).otherwise(half_up(F.abs(F.col("rate") - 0.07), 6)), F.col("threshold")]
+    """The most precise threshold that marks 3 to 12 % beside those marked anyway, with a precision of 0.4 or more; else the one nearest 7 %."""
+    good = F.col("warn_rate").between(0.03, 0.12) & (F.coalesce("precision_structural", F.lit(0.0)) >= 0.4)
+    order = [F.desc(good), F.when(good, -F.col("precision_structural")), F.when(good, half_up(F.abs(F.col("warn_rate") - 0.06), 6)).otherwise(half_up(F.abs(F.col("warn_rate") - 0.07), 6)), F.col("threshold")]
     return swept.orderBy(*order).limit(1)
 
 
@@ -147,6 +147,16 @@ def lift(labels: DataFrame, best: DataFrame) -> DataFrame:
     return rows.groupBy("attr").agg(F.count("*").alias("n"), F.avg("y").alias("r")).select("attr", "n", half_up("r", 4).alias("rate"), half_up(base_col, 4).alias("baseline"), half_up(F.try_divide(F.col("r"), base_col), 3).alias("lift"), weight.alias("weight"))
 
 
+def lift_order(lifts: DataFrame, least: int = 100) -> DataFrame:
+    """``(place, attr, lift, weight)``: attributes seen with at least ``least`` articles, by falling lift, then name."""
+    return lifts.where(F.col("n") >= least).select(F.row_number().over(Window.orderBy(F.desc(F.coalesce("lift", F.lit(0.0))), "attr")).alias("place"), "attr", "lift", "weight")
+
+
+def feature_scores(spark) -> DataFrame:
+    """``(attr, score)``: what a match of one attribute alone is worth, without boosts."""
+    return spark.createDataFrame([(a, float(w)) for a, (_, w) in RANKED.items()], "attr string, score double")
+
+
 def coverage(articles: DataFrame, columns: tuple[str, ...]) -> DataFrame:
     """Rows, and rows with each column filled."""
     return articles.agg(F.count("*").alias("n_rows"), *(F.count_if(F.coalesce(F.trim(c), F.lit("")) != "").alias(f"n_{c}") for c in columns))

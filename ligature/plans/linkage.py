@@ -12,6 +12,13 @@ from ligature.plans import sql
 from ligature.runtime import cut, read
 
 
+#: Thresholds under which every branch of the evaluation occurs in the test data.
+SENSITIVE = {"warn": 12.0, "most_share": 1.0, "least": 2, "least_names": 1, "full": 6}
+#: Wider caps, and a pair of attributes of which one is enough.
+WIDE_CAPS = {a: 10 * c for a, c in tokens.CAPS.items()}
+WIDE = (3, 63)
+
+
 def _derived(spark: SparkSession, d: str, *keep: str) -> DataFrame:
     return tokens.derive(read(spark, d, "articles_raw"), keep=keep)
 
@@ -148,6 +155,34 @@ def flagged_matches(spark, d):
     return evaluate.chips(evaluate.flagged_matches(_derived(spark, d, *tokens.INDEXED), _flags(spark, d)))
 
 
+def _red(spark: SparkSession, d: str) -> DataFrame:
+    """Articles with a red document, taken as flagged: they share more with others than the few flags do."""
+    return _derived(spark, d, "article_id", "wd_status").where("wd_status = 'red'").select("article_id")
+
+
+def red_matches(spark, d):
+    """Matches with articles of red documents, ranked, with the number of all of them and their attributes."""
+    return evaluate.chips(evaluate.flagged_matches(_derived(spark, d, *tokens.INDEXED), _red(spark, d), k=1, caps=WIDE_CAPS, shared=WIDE))
+
+
+def flagged_outcomes(spark, d):
+    """BLOCK by a flagged match or a red document, else PASS, with the flags of the flag table."""
+    derived = _derived(spark, d, *tokens.INDEXED)
+    return evaluate.flagged_outcomes(derived, evaluate.flagged_matches(derived, _flags(spark, d)))
+
+
+def red_outcomes(spark, d):
+    """The same with articles of red documents as the flagged ones."""
+    derived = _derived(spark, d, *tokens.INDEXED)
+    return evaluate.flagged_outcomes(derived, evaluate.flagged_matches(derived, _red(spark, d)))
+
+
+def outcomes_sensitive(spark, d):
+    """Outcomes under thresholds that every reason and outcome reaches: hubs of two articles, address and document author for b0, a lower score, red documents as flags."""
+    index = cut(_index(spark, d))
+    return evaluate.outcomes(index, pairs.peer_counts(pairs.scored_pairs(index)), _red(spark, d), **SENSITIVE)
+
+
 def flags_history(spark, d):
     """Every flag event, and whether its article is in the index."""
     inside = _index(spark, d).select("article_id").distinct().withColumn("in_index", F.lit(True))
@@ -176,7 +211,10 @@ def cap_skips(spark, d):
 def ops_metrics(spark, d):
     """Share of values above the cap, and shares of articles by what marks them."""
     o = outcomes_legacy(spark, d)
-    return o.agg(F.count("*").alias("n"), report.half_up(F.avg((F.col("outcome") == "BLOCK").cast("int")), 4).alias("block_rate"), report.half_up(F.avg("b1"), 4).alias("b1_rate"), report.half_up(F.avg("b2"), 4).alias("b2_rate"))
+    skips = token_df(spark, d).agg(report.half_up(F.avg((F.col("df") > tokens.cap_of(tokens.CAPS)).cast("int")), 6).alias("cap_skip_rate"))
+    block = F.col("outcome") == "BLOCK"
+    rates = o.agg(F.count("*").alias("n"), report.half_up(F.avg(block.cast("int")), 4).alias("block_rate"), report.half_up(F.avg("b1"), 4).alias("b1_rate"), report.half_up(F.avg("b2"), 4).alias("b2_rate"), F.count_if(block & (F.col("n_peers") == 1)).alias("single_peer_blocks"))
+    return rates.withColumn("cap_skip_rate", F.lit(skips.first()[0]).cast("double"))
 
 
 def score_by_label(spark, d):
@@ -253,7 +291,7 @@ def email_similarity_scores(spark, d):
 def queries() -> dict:
     fs = (
         derived_articles, token_unpivot, token_df, token_df_stats, token_top_sizes, kept_buckets, connected_articles, hub_stats, hub_eligible, hub_author_share, hub_adjacency, hub_drilldown, compare_shared,
-        pair_bitmask, pair_scores, pair_score_summary, peer_topk, best_peer, peer_counts, passing_attrs, outcomes_legacy, outcome_rates, flagged_matches, flags_history, flags_summary, device_reuse, cap_skips, ops_metrics,
+        pair_bitmask, pair_scores, pair_score_summary, peer_topk, best_peer, peer_counts, passing_attrs, outcomes_legacy, outcome_rates, outcomes_sensitive, flagged_matches, red_matches, flagged_outcomes, red_outcomes, flags_history, flags_summary, device_reuse, cap_skips, ops_metrics,
         score_by_label, label_prevalence, warn_sweep, best_threshold, type_lift, match_patterns, kept_bucket_sizes, encoded_enums, explorer_hubs, pair_attr_counts, sample_articles, snapshot_meta, email_similarity_scores,
     )
     return {f.__name__: f for f in fs}
@@ -293,6 +331,11 @@ sc as (select *, cast({sql.SCORE} as double) as score from met where matched & 3
 select subject, peer, matched, score, cast(rank as int) as rank, match_total, {chips} as chips from (
   select *, row_number() over (partition by subject order by score desc, bit_count(matched & 15) desc, created_b desc, peer) as rank, count(*) over (partition by subject) as match_total from sc) where rank <= 15
 """
+    red = "flag as (select article_id from art where wd_status = 'red')"
+    sensitive = (u("flag") + outcomes).replace(sql.FLAGS, red).replace("size >= 5 and n_authors >= 2 and n_orgs >= 2", "size >= 2 and n_authors >= 1 and n_orgs >= 1").replace("coalesce(share, 0) <= 0.5", "coalesce(share, 0) <= 1.0").replace("max_score >= 34", "max_score >= 12").replace("passed = 15, false) as int) as b0", "passed & 6 = 6, false) as int) as b0")
+    wide = flagged.replace(sql.FLAGS, red).replace(f"df <= {sql.CAP}", f"df <= 10 * {sql.CAP}").replace("matched & 3 > 0 and matched & 12 > 0)\n", "matched & 3 > 0 and matched & 63 > 0)\n").replace("rank <= 15", "rank <= 1")
+    blocked = lambda matches: f"""with m as (select subject as article_id, max(match_total) as match_total from ({matches}) group by 1), s as (select distinct article_id, cast(({sql.STATUS_NAME}) = 'red' as int) as b2 from articles_raw where article_id is not null)
+select article_id, coalesce(match_total, 0) as match_total, cast(match_total is not null as int) as b1, b2, case when match_total is not null or b2 = 1 then 'BLOCK' else 'PASS' end as outcome from s left join m using (article_id)"""
     checks = {
         "derived_articles": u("art") + "select * from art",
         "token_unpivot": u("tok") + "select attr, value, article_id from tok",
@@ -318,7 +361,11 @@ select attr, cap, count(*) as n_values, cast(sum(df) as bigint) as n_articles, {
         "passing_attrs": u("passed") + "select article_id, passed, cast(bit_count(passed) as int) as n_passed, passed = 15 as all_four, bit_count(passed) >= 3 as near, (passed & 3 > 0 and passed & 12 > 0) as net_doc from labels0",
         "outcomes_legacy": u("flag") + outcomes + "select article_id, max_score, n_peers, b0, b1, b2, outcome from oo",
         "outcome_rates": u("flag") + outcomes + "select outcome, count(*) as n, cast(sum(b0) as bigint) as n_b0, cast(sum(b1) as bigint) as n_b1, cast(sum(b2) as bigint) as n_b2 from oo group by 1",
-        "ops_metrics": u("flag") + outcomes + "select count(*) as n, round(avg(cast(outcome = 'BLOCK' as int)), 4) as block_rate, round(avg(b1), 4) as b1_rate, round(avg(b2), 4) as b2_rate from oo",
+        "ops_metrics": u("flag") + outcomes + "select count(*) as n, round(avg(cast(outcome = 'BLOCK' as int)), 4) as block_rate, round(avg(b1), 4) as b1_rate, round(avg(b2), 4) as b2_rate, count(*) filter (where outcome = 'BLOCK' and n_peers = 1) as single_peer_blocks, " + f"(select round(avg(cast(df > {sql.CAP} as int)), 6) from freq) as cap_skip_rate from oo",
+        "outcomes_sensitive": sensitive + "select article_id, max_score, n_peers, b0, b1, b2, outcome from oo",
+        "red_matches": wide,
+        "flagged_outcomes": blocked(flagged),
+        "red_outcomes": blocked(flagged.replace(sql.FLAGS, red)),
         "flagged_matches": flagged,
         "flags_history": u("idx") + "select flags.*, coalesce(flags.article_id in (select article_id from idx), false) as in_index from flags",
         "flags_summary": "select status, count(*) as n, count(distinct article_id) as n_articles, count(*) filter (where coalesce(comment, '') <> '') as n_comments from flags group by 1",
@@ -327,8 +374,8 @@ select attr, cap, count(*) as n_values, cast(sum(df) as bigint) as n_articles, {
         "score_by_label": u("lab") + f"select label, count(*) as n, {_q('max_all', (10, 25, 50, 75, 90, 95), 2)}, round(avg(max_all), 2) as mean from ({grouped}) group by 1",
         "label_prevalence": u("lab") + "select " + ", ".join(f"round(avg(cast({c} as int)), 4) as {c}" for c in ("b0", "near", "net_doc", "structural", "red", "any_hub")) + " from lab",
         "warn_sweep": u("lab") + swept,
-        "best_threshold": u("lab") + f""", swept as ({swept}), g as (select *, rate between 0.03 and 0.12 and coalesce(precision_structural, 0) >= 0.4 as good from swept)
-select * exclude (good) from g order by good desc, case when good then -precision_structural end, case when good then round(abs(rate - 0.06), 6) else round(abs(rate - 0.07), 6) end, threshold limit 1""",
+        "best_threshold": u("lab") + f""", swept as ({swept}), g as (select *, warn_rate between 0.03 and 0.12 and coalesce(precision_structural, 0) >= 0.4 as good from swept)
+select * exclude (good) from g order by good desc, case when good then -precision_structural end, case when good then round(abs(warn_rate - 0.06), 6) else round(abs(warn_rate - 0.07), 6) end, threshold limit 1""",
         "type_lift": u("lab") + f""", best as (select * from (select *, row_number() over (partition by subject order by score desc, {sql.FIRST}, peer) as rank from side) where rank = 1),
 base as (select avg(cast(structural or b0 as int)) as r from lab),
 hit as (select attr, weight, cast(structural or b0 as int) as y from best join lab on lab.article_id = subject, (values {", ".join(f"('{a}', {b}, {w})" for a, (b, w) in ranked.items())}) v(attr, bit, weight) where matched & bit > 0)

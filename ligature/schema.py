@@ -6,24 +6,46 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_TYPES = {"long": T.LongType(), "int": T.IntegerType(), "double": T.DoubleType(), "string": T.StringType(), "timestamp": T.TimestampNTZType()}
-_COLUMNS = (
-    ("long", "article_id"),
-    ("timestamp", "created"),
-    ("string", "ip_hash asn_hash device_id canvas_hash webgl_hash hw_id_hash ua_family_hash platform"),
-    ("int", "screen_width screen_height"),
-    ("double", "device_pixel_ratio"),
-    ("string", "languages timezone ua_family"),
-    ("int", "wd_status"),
-    ("string", "wd_message"),
-    ("int", "pm_status"),
-    ("string", "pm_message author_name author_email author_org author_ip article_title"),
-    ("int", "stage_id"),
-    ("string", "stage_name rejection_reason rejection_code journal section article_type editors reviewers"),
+# The article table, 34 columns in a fixed order.
+ARTICLES = T.StructType(
+    [
+        T.StructField("article_id", T.LongType()),
+        T.StructField("created", T.TimestampNTZType()),
+        T.StructField("ip_hash", T.StringType()),
+        T.StructField("asn_hash", T.StringType()),
+        T.StructField("device_id", T.StringType()),
+        T.StructField("canvas_hash", T.StringType()),
+        T.StructField("webgl_hash", T.StringType()),
+        T.StructField("hw_id_hash", T.StringType()),
+        T.StructField("ua_family_hash", T.StringType()),
+        T.StructField("platform", T.StringType()),
+        T.StructField("screen_width", T.IntegerType()),
+        T.StructField("screen_height", T.IntegerType()),
+        T.StructField("device_pixel_ratio", T.DoubleType()),
+        T.StructField("languages", T.StringType()),
+        T.StructField("timezone", T.StringType()),
+        T.StructField("ua_family", T.StringType()),
+        T.StructField("wd_status", T.IntegerType()),
+        T.StructField("wd_message", T.StringType()),
+        T.StructField("pm_status", T.IntegerType()),
+        T.StructField("pm_message", T.StringType()),
+        T.StructField("author_name", T.StringType()),
+        T.StructField("author_email", T.StringType()),
+        T.StructField("author_org", T.StringType()),
+        T.StructField("author_ip", T.StringType()),
+        T.StructField("article_title", T.StringType()),
+        T.StructField("stage_id", T.IntegerType()),
+        T.StructField("stage_name", T.StringType()),
+        T.StructField("rejection_reason", T.StringType()),
+        T.StructField("rejection_code", T.StringType()),
+        T.StructField("journal", T.StringType()),
+        T.StructField("section", T.StringType()),
+        T.StructField("article_type", T.StringType()),
+        T.StructField("editors", T.StringType()),
+        T.StructField("reviewers", T.StringType()),
+    ]
 )
-#: The article table: 34 columns in a fixed order.
-ARTICLES = T.StructType([T.StructField(c, _TYPES[t]) for t, names in _COLUMNS for c in names.split()])
-FINGERPRINT = ("ip_hash", "asn_hash", "device_id", "canvas_hash", "webgl_hash", "hw_id_hash", "ua_family_hash", "platform", "screen_width", "screen_height", "device_pixel_ratio", "languages", "timezone", "ua_family")
+FINGERPRINT = tuple(ARTICLES.names[2:16])
 
 
 def conform(df: DataFrame, schema: T.StructType) -> DataFrame:

@@ -8,27 +8,43 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def _paths(spark: SparkSession, path: str):
+    jvm = spark.sparkContext._jvm
+    at = [jvm.org.apache.hadoop.fs.Path(p) for p in (path, f"{path}.new", f"{path}.old")]
+    return (at[0].getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), *at)
+
+
+def recover(spark: SparkSession, path: str) -> None:
+    """Put back what :func:`replace_table` left aside if it was stopped between its two renames."""
+    fs, target, _, old = _paths(spark, path)
+    if not fs.exists(target) and fs.exists(old):
+        fs.rename(old, target)
+
+
 def replace_table(df: DataFrame, path: str) -> None:
-    """Write beside ``path`` and swap, so that ``df`` may read from it and a failed write leaves it as it was."""
+    """Write beside ``path`` and swap, so that ``df`` may read from it and a failed write leaves it as it was.
+
+    If the swap is stopped midway, the table lies at ``path.old`` until the next call, or :func:`recover`, puts it back; the
+    old table is deleted only when the new one is in its place.
+    """
     spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    new, old = f"{path}.new", f"{path}.old"
-    df.write.mode("overwrite").parquet(new)
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    fs.delete(jvm.org.apache.hadoop.fs.Path(old), True)
+    recover(spark, path)
+    fs, target, new, old = _paths(spark, path)
+    df.write.mode("overwrite").parquet(f"{path}.new")
     if fs.exists(target):
-        fs.rename(target, jvm.org.apache.hadoop.fs.Path(old))
-    fs.rename(jvm.org.apache.hadoop.fs.Path(new), target)
-    fs.delete(jvm.org.apache.hadoop.fs.Path(old), True)
+        fs.delete(old, True)
+        if not fs.rename(target, old):
+            raise OSError(f"{path} can't be moved aside")
+    if not fs.rename(new, target):
+        raise OSError(f"{path}.new can't be moved to its place")
+    fs.delete(old, True)
 
 
 def read_or_empty(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
     """The table at ``path``, or no rows of the same schema where there is none."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return spark.read.schema(like.schema).parquet(path) if fs.exists(p) else like.limit(0)
+    recover(spark, path)
+    fs, target, _, _ = _paths(spark, path)
+    return spark.read.schema(like.schema).parquet(path) if fs.exists(target) else like.limit(0)
 
 
 def export_snapshot(derived: DataFrame, index: DataFrame, hubs: DataFrame, folder: str) -> None:
@@ -39,9 +55,11 @@ def export_snapshot(derived: DataFrame, index: DataFrame, hubs: DataFrame, folde
         df.write.mode("overwrite").option("compression", "gzip").json(f"{folder}/{name}")
 
 
-def load_snapshot(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    """Articles and hub entries of an export."""
-    return spark.read.json(f"{folder}/articles"), spark.read.json(f"{folder}/index")
+def load_snapshot(spark: SparkSession, folder: str, schemas: tuple[str, str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Articles and hub entries of an export; with ``schemas`` only the columns named there, and no pass to infer them."""
+    names = ("articles", "index")
+    readers = [spark.read.schema(s) for s in schemas] if schemas else [spark.read] * 2
+    return tuple(r.json(f"{folder}/{n}") for r, n in zip(readers, names))
 
 
 def sidecar(meta: DataFrame, built: str, window_days: int) -> str:

@@ -52,6 +52,21 @@ def flag_ids(rows: DataFrame, key: str) -> DataFrame:
     return rows.select(F.expr(f"try_cast(`{key}` as bigint)").alias("article_id")).where("article_id is not null").distinct()
 
 
+def list_tables(spark: SparkSession, prefix: str = "") -> list[str]:
+    """Names of the tables and views the session knows, in order."""
+    return sorted(t.name for t in spark.catalog.listTables() if t.name.startswith(prefix))
+
+
+def titles(rows: DataFrame, articles: DataFrame) -> DataFrame:
+    """``(article_id, article_title)``: the first title of each wanted article that isn't null, in their order."""
+    own = rows.join(articles.select("article_id").distinct(), "article_id", "left_semi").where("article_title is not null")
+    return own.groupBy("article_id").agg(F.min("article_title").alias("article_title"))
+
+
+#: Longest title that a backfill takes over.
+TITLE_MAX = 300
+
+
 def recent_articles(resources: DataFrame, as_of: str, days: int) -> DataFrame:
     """``(resource_id, article_id, created)`` of articles in the window; pushed to the scan."""
     return within(resources.where((F.col("resource_type_definition_id") == ARTICLE) & F.col("external_id").isNotNull()), "created", as_of, days).select(F.col("id").alias("resource_id"), F.col("external_id").alias("article_id"), "created").distinct()

@@ -3,9 +3,9 @@
 import pytest
 
 from compare import connect, same
-from ligature.plans import linkage, sourcing, training
+from ligature.plans import linkage, sourcing, star, training
 
-QUERIES = {n: (f, m.oracle_sql()[n]) for m in (linkage, sourcing, training) for n, f in m.queries().items() if n in m.oracle_sql()}
+QUERIES = {n: (f, m.oracle_sql()[n]) for m in (linkage, sourcing, star, training) for n, f in m.queries().items() if n in m.oracle_sql()}
 
 
 @pytest.fixture(scope="module")

@@ -1,7 +1,9 @@
 """Latest rows, windows, archive, backfill, sources, sinks and the stream."""
 
 import datetime as dt
+import glob
 import json
+import os
 
 from pyspark.sql import functions as F
 
@@ -101,7 +103,26 @@ def test_mirror(spark, tmp_path):
     start()
     spark.createDataFrame([(3, 1, T(1), "late"), (4, 2, T(3), "c")], schema).write.mode("append").parquet(src)
     start()
-    assert [(r.article_id, r.v) for r in spark.read.parquet(out).orderBy("article_id").collect()] == [(1, "b"), (2, "c")]
+    table = lambda: [(r.article_id, r.v) for r in mirror.read_mirror(spark, out, spark.createDataFrame([], schema)).orderBy("article_id").collect()]
+    assert table() == [(1, "b"), (2, "c")]
+    # Only the parts that a batch touches are written.
+    others = {p: os.path.getmtime(p) for p in glob.glob(f"{out}/part*") if not p.endswith(f"part{part(spark, 2)}")}
+    mirror.reconcile(spark, spark.createDataFrame([(5, 2, T(4), "d"), (1, 2, T(1), "x")], schema), out, "article_id", "ts", "id")
+    assert table() == [(1, "b"), (2, "d")] and others == {p: os.path.getmtime(p) for p in others}
+
+
+def part(spark, key):
+    return spark.createDataFrame([(key,)], "k long").select(mirror.part_of("k")).first()[0]
+
+
+def test_a_stopped_swap_loses_nothing(spark, tmp_path):
+    path = str(tmp_path / "t")
+    sinks.replace_table(cache(spark, (1, T(1), "a")), path)
+    os.rename(path, f"{path}.old")  # as after the first of the two renames
+    assert sinks.read_or_empty(spark, path, cache(spark, (1, T(1), "a"))).count() == 1
+    os.rename(path, f"{path}.old")
+    sinks.replace_table(cache(spark, (2, T(1), "b")), path)
+    assert [r.v for r in spark.read.parquet(path).collect()] == ["b"] and not os.path.exists(f"{path}.old")
 
 
 def test_stream_windows(spark, tmp_path):

@@ -4,9 +4,9 @@ import pytest
 
 from compare import connect, same
 from damage import copies
-from ligature.plans import linkage, sourcing, training
+from ligature.plans import linkage, sourcing, star, training
 
-QUERIES = {n: (f, m.oracle_sql().get(n)) for m in (linkage, sourcing, training) for n, f in m.queries().items()}
+QUERIES = {n: (f, m.oracle_sql().get(n)) for m in (linkage, sourcing, star, training) for n, f in m.queries().items()}
 
 
 @pytest.fixture(scope="module")
