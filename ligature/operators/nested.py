@@ -352,8 +352,18 @@ def write(automaton: Automaton, subtype: str, value: object, keys: dict, all_: b
             yield {**keys, "node": "other", "shape": automaton.of(value[member]).name, "name": f"{subtype}.{member}", "extra": dumps(value[member])}
 
 
-def nodes_of(version_id: int, model: str | None, automaton: Automaton, all_: bool = True) -> Iterator[dict]:
-    """The rows of one record, routed from its root."""
+def beside(automaton: Automaton, subtype: str, value: dict, keys: dict) -> Iterator[dict]:
+    """Rows of the objects that no transition takes, and one of what else the object holds."""
+    shape = automaton.of(value)
+    own = plan(subtype, shape)
+    for member in own.others:
+        yield {**keys, "node": "other", "shape": automaton.of(value[member]).name, "name": f"{subtype}.{member}", "extra": dumps(value[member])}
+    if own.rest:
+        yield {**keys, "node": subtype, "shape": shape.name, "extra": dumps({m: value[m] for m in own.rest})}
+
+
+def nodes_of(version_id: int, model: str | None, automaton: Automaton, all_: bool = True, outer: bool = False) -> Iterator[dict]:
+    """The rows of one record, routed from its root; with ``outer`` also what lies beside the authors."""
     root = unwrap(model)
     if isinstance(root, dict) and isinstance(root.get("submission"), str):
         root["submission"] = unwrap(root["submission"])
@@ -361,7 +371,11 @@ def nodes_of(version_id: int, model: str | None, automaton: Automaton, all_: boo
     whole = automaton.read(root)
     if whole.sort != OBJECT:
         return
+    if outer:
+        yield from beside(automaton, "record", root, keys)
     for member, to in plan("record", whole).children:
+        if outer:
+            yield from beside(automaton, to, root[member], keys)
         for name, below in plan(to, automaton.of(root[member])).children:
             value = root[member][name]
             if below == "author":
@@ -383,7 +397,7 @@ def column(values: list, kind: pa.DataType) -> pa.Array:
         return pa.array([v.encode("utf-8", "replace").decode() if isinstance(v, str) else v for v in values], kind)
 
 
-def mapped(models: DataFrame, id_col: str, model_col: str, fields: list[str], all_: bool) -> DataFrame:
+def mapped(models: DataFrame, id_col: str, model_col: str, fields: list[str], all_: bool, outer: bool = False) -> DataFrame:
     schema = pa.schema([SCHEMA.field(f) for f in fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -392,7 +406,7 @@ def mapped(models: DataFrame, id_col: str, model_col: str, fields: list[str], al
             columns: dict[str, list] = {f: [] for f in fields}
             adders = [(f, columns[f].append) for f in fields]
             for vid, model in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                for row in nodes_of(vid, model, automaton, all_):
+                for row in nodes_of(vid, model, automaton, all_, outer):
                     for f, add in adders:
                         add(row.get(f))
             yield pa.RecordBatch.from_arrays([column(columns[f], schema.field(f).type) for f in fields], schema=schema)
@@ -402,7 +416,7 @@ def mapped(models: DataFrame, id_col: str, model_col: str, fields: list[str], al
     return spread(source).mapInArrow(run, ", ".join(f"{f} {kinds[f]}" for f in fields))
 
 
-def flatten(models: DataFrame, id_col: str = "id", model_col: str = "resource_model") -> DataFrame:
+def flatten(models: DataFrame, id_col: str = "id", model_col: str = "resource_model", outer: bool = False) -> DataFrame:
     """The supertype table: one row per author, affiliation, department and role object of each distinct id.
 
     ``author_pos``, ``affil_pos`` and ``item_pos`` are positions in the parent's array from 0, null
@@ -410,12 +424,12 @@ def flatten(models: DataFrame, id_col: str = "id", model_col: str = "resource_mo
     array of one. An affiliation that is a plain string is a row ``primary_text`` or ``affiliation_text`` with
     the string as its name. Objects, and arrays that hold objects, under a member that no variant knows are rows
     ``other`` with ``subtype.member`` as their name and their JSON in ``extra``; in other rows ``extra`` keeps what
-    neither a column nor a row takes over, so nothing below an author is lost. ``shape`` is the state of the
+    neither a column nor a row takes over, so nothing below an author is lost. With ``outer`` the same holds for the record and its submission. ``shape`` is the state of the
     object. Null, empty or broken JSON, a null id and non-object elements of ``authors`` give no rows; rows
     repeated with the same id and content give their rows once more (the subtypes drop them). Records may be
     nested and wrapped to any depth. Columns other than the two named are ignored.
     """
-    return mapped(models, id_col, model_col, FIELDS, True)
+    return mapped(models, id_col, model_col, FIELDS, True, outer)
 
 
 def positions(models: DataFrame, id_col: str = "id", model_col: str = "resource_model") -> DataFrame:

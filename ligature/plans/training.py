@@ -28,8 +28,8 @@ def p3_affiliations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_unknown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Objects under members that no variant knows, with their parents' keys, and the parts of known rows that no column takes."""
-    nodes = nested.flatten(read(spark, sf_dir, "resource_version"))
+    """Objects under members that no variant knows, with their parents' keys, and what else no column takes, of the whole record."""
+    nodes = nested.flatten(read(spark, sf_dir, "resource_version"), outer=True)
     return nodes.where("extra is not null").select("version_id", "author_pos", "node", "affil_pos", "item_pos", "shape", "name", "extra").distinct()
 
 

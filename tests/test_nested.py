@@ -65,6 +65,9 @@ def test_unknown_variants_have_their_table(spark):
     got = sorted((r.author_pos, r.affil_pos, r.name, r.extra) for r in nested.subtype(nodes, "other").collect())
     assert got == [(0, -1, "author.employer", '{"name": "X"}'), (0, -1, "author.links", '[{"u": 1}]'), (0, 0, "affiliation.parent", '{"name": "Y"}')]
     assert json.loads(nested.subtype(nodes, "author").first().extra) == {"plain": [1]}
+    model = {"id": 7, "review": {"stage": {"id": 1}}, "submission": {"title": "T", "details": [{"k": 1}], "authors": []}}
+    outer = nested.flatten(frame(spark, json.dumps(model)), outer=True)
+    assert sorted((r.node, r.name or "", r.extra) for r in outer.collect()) == [("other", "record.review", '{"stage": {"id": 1}}'), ("other", "submission.details", '[{"k": 1}]'), ("record", "", '{"id": 7}'), ("submission", "", '{"title": "T"}')]
 
 
 def test_deep_records(spark):
