@@ -33,11 +33,11 @@ FAST_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(
 #: Outside of the blocks where the engines' classes are alike (numbers that aren't digits, separators, rarer scripts).
 UNLIKE = "[^\x00-\x1b\x20-\xb1\xb4-\xb8\xba\xbb\xbf-\u024f\u0386-\u03ce\u0400-\u0481\u048a-\u052f\u2010-\u2027\u2030-\u205e\u20a0-\u20bf\u2190-\u23ff\u2500-\u2767\u3001\u3002\u3008-\u3011\u3041-\u3096\u30a0-\u30ff\u4e00-\u9fef]"
 #: Characters that are split together, rows of words that may share a partition, and bytes of input a partition is meant for.
-BLOCK_CHARS = 1_500_000
+BLOCK_CHARS = 6_000_000
 WORD_BLOCKS = 10_000
-PART_BYTES, MANY_PARTS, LARGE_PART_BYTES = 8 << 20, 20_000, 128 << 20
+PART_BYTES, MANY_PARTS, LARGE_PART_BYTES = 4 << 20, 20_000, 128 << 20
 UNKNOWN = 1 << 60
-ROWS = "block long, word string, ids binary, positions binary"
+WORDS, CODED = "block long, word string, positions binary", "block long, ids binary, positions binary"
 
 
 @lru_cache(1)
@@ -139,7 +139,7 @@ def exploded(block_chars: int):
             head = np.array([[i is None, i or 0, n] for i, n in zip(ids, counts)], "<i8").tobytes()
             positions = packed(np.concatenate(codes), len(words))
             n = len(words) + 1
-            return pa.RecordBatch.from_arrays([pa.array(np.full(n, block)), pa.array([None, *words], pa.string()), pa.nulls(n, pa.binary()), pa.concat_arrays([pa.array([head], pa.binary()), positions])], names=["block", "word", "ids", "positions"])
+            return pa.RecordBatch.from_arrays([pa.array(np.full(n, block)), pa.array([None, *words], pa.string()), pa.concat_arrays([pa.array([head], pa.binary()), positions])], names=["block", "word", "positions"])
 
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -169,7 +169,7 @@ def encode_words(path: str):
                 if word is not None and word != last:
                     last, ids = word, np.array(encode(word), "<i4").tobytes()
                 out.append(ids if word is not None else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.nulls(batch.num_rows, pa.string()), pa.array(out, pa.binary()), batch.column(3)], names=["block", "word", "ids", "positions"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary()), batch.column(2)], names=["block", "ids", "positions"])
 
     return run
 
@@ -223,11 +223,11 @@ def encode_corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     if size >= UNKNOWN:  # not read from files: characters, as if compressed five to one
         size = (texts.agg(F.sum(F.length("text"))).first()[0] or 0) // 5
     n = partitions(docs.sparkSession, size)
-    rows = texts.mapInArrow(exploded(block_chars), ROWS)
+    rows = texts.mapInArrow(exploded(block_chars), WORDS)
     # A word of all blocks is dealt out by block; blocks are at least as large as block_chars bytes, so their number is bounded by the size (compressed about five to one).
     salts = max(1, 5 * size // block_chars // WORD_BLOCKS)
     salt = F.when(F.col("word").isNull(), F.col("block")).otherwise(F.pmod(F.xxhash64("block"), F.lit(salts).cast("long")))
-    coded = rows.repartition(n, F.col("word"), salt).sortWithinPartitions("word").mapInArrow(encode_words(f"{folder}/{VOCABULARY}"), ROWS)
+    coded = rows.repartition(n, F.col("word"), salt).sortWithinPartitions("word").mapInArrow(encode_words(f"{folder}/{VOCABULARY}"), CODED)
     ids = coded.repartition(n, "block").groupBy("block").applyInArrow(reassemble, "doc_id long, ids array<int>")
     return ids.unionByName(both.where(blank).select("doc_id", F.array().cast("array<int>").alias("ids")))
 

@@ -70,7 +70,7 @@ def test_small_blocks_and_settled_input(spark):
 def test_partitions_follow_the_size(spark):
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
     assert tokenize.partitions(spark, 0) == least
-    assert tokenize.partitions(spark, 30 << 30) == 3840 and tokenize.partitions(spark, 100 << 40) == 100 << 40 >> 27
+    assert tokenize.partitions(spark, 30 << 30) == 7680 and tokenize.partitions(spark, 100 << 40) == 100 << 40 >> 27
 
 
 def test_very_long_text(spark):
