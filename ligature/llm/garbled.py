@@ -1,8 +1,8 @@
 """Text decoded with the wrong character encoding: found and restored by noisy-channel decoding.
 
 The unit is the chunk, a run of characters without ASCII white space that holds a character outside
-ASCII, cut into pieces if it is very long; every distinct chunk of the corpus is judged once. A channel says which encoding the bytes
-were written in and which they were read in. Under a channel a chunk is a byte lattice: an edge
+ASCII; a very long one is cut where ASCII characters stand. Every distinct chunk of the corpus is judged once. A
+channel says which encoding the bytes were written in and which they were read in; channels may follow one another. Under a channel a chunk is a byte lattice: an edge
 keeps a character as it is or turns the bytes behind one or more characters into the character they
 stood for; a lost byte (U+FFFD, or a question mark or the space after the chunk where a byte must be) is a
 wildcard. Viterbi search finds the likeliest original under character frequencies of the
@@ -30,16 +30,15 @@ READ_AS = ("cp1252", "cp437", "cp850", "mac_roman", "cp1251", "koi8-r", "cp866",
 SINGLE = ("cp1252", "cp1251", "koi8-r", "cp866", "iso8859-5", "mac_roman", "cp437", "cp850", "cp1250", "iso8859-2", "mac_cyrillic", "cp1253")
 MULTI = ("utf-8", "cp932", "euc_jp", "gb18030", "euc_kr", "big5")
 LOST = "�"
-#: A chunk: the ASCII characters before the first other one, and at most so many after it; a longer run goes on in the next chunk.
-CHUNK = r"(?:(?<![^\x00-\x20])|\G)[\x21-\x7f]*+[^\x00-\x7f][^\x00-\x20]{0,150}"
-#: ASCII characters kept before the first other one.
-LEAD = r"^[\x21-\x7f]*(?=[\x21-\x7f]{60}[^\x00-\x7f])"
+#: A chunk: the ASCII characters before the first other one, so many characters after it, and what is left of the run of other ones then; what follows is the next chunk.
+CHUNK = r"(?:(?<![^\x00-\x20])|\G)[\x21-\x7f]*+[^\x00-\x7f][^\x00-\x20]{0,150}[^\x00-\x7f]{0,2000}"
+#: Of a long chunk so many ASCII characters are kept before the first other one; they can't have changed.
+LEAD, LEAD_FROM = r"^[\x21-\x7f]*(?=[\x21-\x7f]{60}[^\x00-\x7f])", 220
 #: Cost of leaving or entering the damaged state within a chunk, and of a wildcard byte.
 SWITCH, WILD = 3.0, 2.5
 #: What an explanation must gain (natural logarithm): characters alone for multi-byte encodings, words for single-byte ones.
 GAIN = {"utf-8": 6.5, "eastern": 10.0}
 WORD_GAIN, WORD_LENGTH, WORD_TEXTS = 3.5, 3, 3
-MAX_TIMES = 3
 CHUNKS_PER_TASK = 2000
 
 
@@ -124,13 +123,13 @@ class Characters:
             sums[p[0]] = sums.get(p[0], 0.0) + n
         self.pair = {p: log((n + 0.1) / (sums[p[0]] + 10)) for p, n in pairs.items()}
         self.unseen = {k: log(0.1 / (n + 10)) for k, n in sums.items()}
-        self.known = {c for c, n in chars.items() if c > "\x9f" and n >= 3}
-        # Characters by (bytes before a lost byte, bytes after it), for wildcards.
-        self.wild: dict[tuple[bytes, bytes], list[str]] = {}
-        for c in self.known:
+        self.seen = {c for c in chars if c > "\x9f" and c != LOST}
+        # The commonest character behind each pattern of known and lost bytes (None).
+        self.wild: dict[tuple[int | None, ...], str] = {}
+        for c in sorted(self.seen, key=lambda c: (-chars[c], c)):
             raw = c.encode("utf-8", "ignore")
-            for k in range(len(raw)):
-                self.wild.setdefault((raw[:k], raw[k + 1 :]), []).append(c)
+            for lost in range(1, (1 << len(raw)) - 1):
+                self.wild.setdefault(tuple(None if lost >> k & 1 else b for k, b in enumerate(raw)), c)
 
     def one(self, ch: str) -> float:
         if ch <= "\x7f":
@@ -175,24 +174,23 @@ def lattice(chunk: str, read_as: str, written_in: str) -> list[list[tuple[int, s
     return edges
 
 
-def wildcards(chunk: str, read_as: str, chars: Characters) -> list[tuple[int, int, str]]:
-    """Edges ``(from, to, character)`` of UTF-8 sequences of which one byte is lost."""
+def wildcards(chunk: str, read_as: str, chars: Characters) -> list[tuple[int, int, str, int]]:
+    """Edges ``(from, to, character, bytes lost)`` of UTF-8 sequences of which some, but not all bytes are lost."""
     table = byte_of(read_as)
     out = []
-    for i, c in enumerate(chunk):
-        if c not in table or table[c] < 0xC2:
-            continue
-        n = 2 if table[c] < 0xE0 else 3 if table[c] < 0xF0 else 4
-        part = chunk[i : i + n]
-        if n == 2 and len(part) == 1:  # at the end: a no-break space that was stored as a space
-            d = multi("utf-8", bytes([table[c], 0xA0]))
-            out += [(i, i + 1, d)] if d in chars.known else []
-            continue
-        gaps = [k for k, x in enumerate(part) if x == LOST or (x == "?" and k)]
-        if len(gaps) == 1 and len(part) == n and all(x in table for k, x in enumerate(part) if k not in gaps):
-            raw = [table.get(x, 0) for x in part]
-            options = chars.wild.get((bytes(raw[: gaps[0]]), bytes(raw[gaps[0] + 1 :])), [])
-            out += [(i, i + n, max(options, key=chars.one))] if options else []
+    if chunk and 0xC2 <= table.get(chunk[-1], 0) < 0xE0:  # at the end: a no-break space that was stored as a space
+        d = multi("utf-8", bytes([table[chunk[-1]], 0xA0]))
+        out += [(len(chunk) - 1, len(chunk), d, 1)] if d in chars.seen else []
+    if LOST not in chunk and "?" not in chunk:
+        return out
+    for i in range(len(chunk)):
+        for n in (2, 3, 4):
+            part = chunk[i : i + n]
+            if len(part) < n:
+                break
+            pattern = tuple(None if x == LOST or (x == "?" and k) else table.get(x, -1) for k, x in enumerate(part))
+            if None in pattern and (d := chars.wild.get(pattern)) is not None:
+                out.append((i, i + n, d, pattern.count(None)))
     return out
 
 
@@ -228,18 +226,28 @@ def lead_pattern(read_as: str) -> re.Pattern:
     table = byte_of(read_as)
     lead = "".join(re.escape(c) for c, b in table.items() if 0xC2 <= b < 0xF5)
     more = "".join(re.escape(c) for c, b in table.items() if 0x80 <= b < 0xC0)
-    return re.compile(f"[{lead}](?:[{more}{LOST}]|\\?)")
+    return re.compile(f"[{lead}](?:[{more}{LOST}]|\\?)|{LOST}[{more}]")
 
 
-def undo_all(chunk: str, read_as: str) -> str:
-    """The chunk with every UTF-8 sequence read as ``read_as`` undone, likely or not."""
-    edges = lattice(chunk, read_as, "utf-8")
-    out, i = [], 0
+def undo_all(chunk: str, edges: list[list[tuple[int, str, float]]]) -> tuple[str, int]:
+    """The chunk with every sequence that ``edges`` undo undone, likely or not, and how many characters outside ASCII stay as they are."""
+    out, i, kept = [], 0, 0
     while i < len(chunk):
         j, d, _ = max(edges[i], default=(i + 1, chunk[i], 0.0), key=lambda e: e[0])
+        kept += not edges[i] and chunk[i] > "\x7f"
         out.append(d)
         i = j
-    return "".join(out)
+    return "".join(out), kept
+
+
+def unread(chunk: str, read_as: str) -> str | None:
+    """UTF-8 behind text that was read in a multi-byte encoding; what can't be read is lost, and has to be far less than what can."""
+    try:
+        text = b"\xff".join(part.encode(read_as) for part in chunk.split(LOST)).decode("utf-8", "replace")
+    except UnicodeError:
+        return None
+    lost, kept = text.count(LOST), sum(c > "\x7f" for c in text)
+    return text if text != chunk and (kept - lost) >= 3 * lost and kept > lost else None
 
 
 def eastern(original: str, chunk: str, written_in: str) -> bool:
@@ -255,7 +263,9 @@ def eastern(original: str, chunk: str, written_in: str) -> bool:
 def candidates(chunk: str, chars: Characters) -> list[tuple[str, str, str, float]]:
     """``(encoding written in, channel, original, gain in log-probability)`` of all explanations that gain, best first.
 
-    None is left out here: for single-byte encodings only the corpus' words can tell which is right. UTF-8 may have been misread up to ``MAX_TIMES`` times, other encodings once.
+    None is left out here: for single-byte encodings only the corpus' words can tell which is right. UTF-8 may have been
+    misread any number of times, in any order of encodings: each time undone leaves fewer characters, so this ends.
+    Other encodings are undone once.
     """
     plain = chars.score(chunk)
     foreign = {c for c in chunk if c > "\x7f"} - {LOST}
@@ -265,23 +275,38 @@ def candidates(chunk: str, chars: Characters) -> list[tuple[str, str, str, float
         if original != chunk and gain > 0 and ((written_in, original) not in found or found[written_in, original][1] < gain):
             found[written_in, original] = (channel, gain)
 
+    texts, open_ = {chunk}, [(chunk, ())]
+    while open_:
+        text, path = open_.pop()
+        below = []
+        for read_as in READ_AS:
+            if not lead_pattern(read_as).search(text):
+                continue
+            plainly = lattice(text, read_as, "utf-8")
+            edges = [list(e) for e in plainly]
+            for i, j, d, lost in wildcards(text, read_as, chars):
+                edges[i].append((j, d, WILD * lost))
+            if not any(edges):
+                continue
+            channel = "utf-8 read as " + ", again as ".join((*path, read_as))
+            original, score = viterbi(text, edges, chars)
+            add("utf-8", channel, original, score - plain)
+            undone, kept = undo_all(text, plainly)
+            add("utf-8", channel, undone, chars.score(undone) - plain)
+            if len(undone) < len(text) and undone not in texts:
+                texts.add(undone)
+                below.append((kept > 0, undone, (*path, read_as)))
+        # Where a channel explains all of the text, those that explain a part of it aren't followed further.
+        part = min((b[0] for b in below), default=False)
+        open_ += [(undone, way) for only_part, undone, way in below if only_part == part]
+    for read_as in MULTI[1:]:
+        if (original := unread(chunk, read_as)) is not None:
+            add("utf-8", f"utf-8 read as {read_as}", original, chars.score(original) - plain)
     for read_as in READ_AS:
         table = byte_of(read_as)
         inside = sum(c in table for c in foreign)
         if not inside:
             continue
-        if lead_pattern(read_as).search(chunk):
-            text = chunk
-            for times in range(1, MAX_TIMES + 1):
-                edges = lattice(text, read_as, "utf-8")
-                for i, j, d in wildcards(text, read_as, chars):
-                    edges[i].append((j, d, WILD))
-                if not any(edges):
-                    break
-                original, score = viterbi(text, edges, chars)
-                add("utf-8", f"utf-8 read as {read_as}, {times} times", original, score - plain)
-                text = undo_all(text, read_as)
-                add("utf-8", f"utf-8 read as {read_as}, {times} times", text, chars.score(text) - plain)
         if inside < len(foreign):
             continue
         for written_in in (*MULTI[1:], *SINGLE):
@@ -357,7 +382,7 @@ def explain(chars: Characters):
 def document_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Distinct ``(doc_id, chunk)`` of the chunks with characters outside ASCII."""
     whole = F.regexp_extract_all(F.col(text_col), F.lit(CHUNK), F.lit(0))
-    found = F.array_distinct(F.transform(whole, lambda c: F.when(F.length(c) > 220, F.regexp_replace(c, LEAD, "")).otherwise(c)))
+    found = F.array_distinct(F.transform(whole, lambda c: F.when(F.length(c) > LEAD_FROM, F.regexp_replace(c, LEAD, "")).otherwise(c)))
     return spread(docs.where(F.col(id_col).isNotNull() & F.col(text_col).rlike(r"[^\x00-\x7f]"))).select(F.col(id_col).cast("long").alias("doc_id"), F.explode(found).alias("chunk"))
 
 
@@ -417,9 +442,44 @@ def lost_words(fixes: DataFrame, chunks: DataFrame) -> DataFrame:
     return fixes.join(whole, mask(F.col("original")) == F.col("mask"), "left").select("doc_id", "chunk", F.when(F.col("original").contains(LOST), F.coalesce("guess", "original")).otherwise(F.col("original")).alias("original"), "channel")
 
 
+def put_back(text: str, originals: dict[str, str]) -> str:
+    """The text with its chunks, where they stand, replaced by their originals."""
+    out, at = [], 0
+    for m in chunk_pattern().finditer(text):
+        piece, begin = m[0], m.start()
+        if len(piece) > LEAD_FROM:
+            short = lead_start().sub("", piece)
+            begin += len(piece) - len(short)
+            piece = short
+        if piece in originals:
+            out += [text[at:begin], originals[piece]]
+            at = m.end()
+    return "".join([*out, text[at:]])
+
+
+@lru_cache(None)
+def chunk_pattern():
+    import regex
+
+    return regex.compile(CHUNK)
+
+
+@lru_cache(None)
+def lead_start():
+    return re.compile(LEAD)
+
+
+def put_all_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of ``(doc_id, text, chunks, originals)`` to ``(doc_id, text)``."""
+    for batch in batches:
+        texts = [put_back(t, dict(zip(c, o))) if t else t for t, c, o in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3)))]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
+
+
 def restored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, text)`` of the garbled documents with their chunks restored as far as possible."""
+    """``(doc_id, text)`` of the garbled documents with their chunks restored, each where it stands, as far as possible."""
     fixes, chunks = garbled(docs, id_col, text_col)
-    own = lost_words(fixes, chunks).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct(F.length("chunk").alias("size"), "chunk", "original")), asc=False).alias("fixes"))
+    own = lost_words(fixes, chunks).groupBy("doc_id").agg(F.collect_list(F.struct("chunk", "original")).alias("fixes"))
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return texts.join(own, "doc_id").select("doc_id", F.aggregate("fixes", F.col("text"), lambda acc, x: F.replace(acc, x.chunk, x.original)).alias("text"))
+    rows = texts.join(own, "doc_id").select("doc_id", "text", F.col("fixes.chunk").alias("chunks"), F.col("fixes.original").alias("originals"))
+    return rows.mapInArrow(put_all_back, "doc_id long, text string")

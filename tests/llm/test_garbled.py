@@ -85,14 +85,53 @@ def test_long_runs_are_cut_without_loss(spark):
     text = "x" * 500 + "é" * 1000 + "abc " + "y" * 300 + " züü"
     f = spark.createDataFrame([(1, text), (2, text), (None, text), (3, None)], "doc_id long, text string")
     got = garbled.document_chunks(f).where("doc_id = 1").collect()
-    assert max(len(r.chunk) for r in got) <= 220 and all(r.chunk in text for r in got)
-    assert {"é", "ü"} <= {c for r in got for c in r.chunk} and any(r.chunk.endswith("abc") for r in got)
+    assert max(len(r.chunk) for r in got) <= 2300 and all(r.chunk in text for r in got)
+    # A run of other characters stays together.
+    assert {"é", "ü"} <= {c for r in got for c in r.chunk} and any("é" * 1000 in r.chunk for r in got)
     assert garbled.document_chunks(f).select("doc_id").distinct().count() == 2
 
 
 def test_wildcard():
     chars = garbled.Characters({"é": 50, "ã": 5, "©": 2, "Ã": 3}, {"al": 40, "la": 40, "pa": 60, "ap": 60, "aa": 300})
-    assert garbled.wildcards("cafÃ�", "cp1252", chars) == [(3, 5, "é")]
+    assert garbled.wildcards("cafÃ�", "cp1252", chars) == [(3, 5, "é", 1)]
+    assert garbled.wildcards("caf�©", "cp1252", chars) == [(3, 5, "é", 1)]
+    chars = garbled.Characters({"研": 2, "究": 1, "室": 9, "é": 1}, {"al": 40})
+    raw = damage("研", "utf-8", "cp1252")
+    for keep in range(3):  # two of three bytes lost; the commonest with the byte that is left
+        text = "".join(c if k == keep else "�" for k, c in enumerate(raw))
+        assert (0, 3) in {(i, j) for i, j, _, n in garbled.wildcards(text, "cp1252", chars) if n == 2}
+
+
+@pytest.mark.parametrize("channels", [["cp1252"] * 4, ["cp1252", "cp437"], ["cp1251", "cp1252", "cp437"], ["cp932"], ["gb18030"]])
+def test_any_number_and_order_of_channels(spark, archive, channels):
+    docs, texts, *_ = archive
+    text = "研究室の会議資料" if channels[0] in ("cp932", "gb18030") else "geänderte"
+    bad = text
+    for c in channels:
+        bad = damage(bad, "utf-8", c) if c not in ("cp932", "gb18030") else bad.encode("utf-8").decode(c, "replace")
+    more = docs.sparkSession.createDataFrame([(len(texts), bad, "")], docs.schema)
+    got = [r.original for r in garbled.garbled(docs.unionByName(more))[0].where(F.col("doc_id") == len(texts)).collect()]
+    assert len(got) == 1
+    if "�" not in bad:
+        assert got == [text]
+
+
+def test_chunks_are_restored_where_they_stand():
+    fixes = {"Ã©": "é", "xÃ©y": "xéy"}
+    assert garbled.put_back("Ã© aÃ©b xÃ©y Ã©", fixes) == "é aÃ©b xéy é"
+    long = "a" * 300 + "Ã©" + "b" * 10
+    assert garbled.put_back(f"{long} {long}", {"a" * 60 + "Ã©" + "b" * 10: "a" * 60 + "é" + "b" * 10}) == " ".join(["a" * 300 + "é" + "b" * 10] * 2)
+
+
+def test_pieces_in_both_languages_are_the_same(spark):
+    texts = ["a" * 500 + "é" * 2500 + "b" * 400 + "ü" + "c" * 200 + "\tñ x", "é", " é\u00a0ü ", "😀" * 300 + "a😀", "a\x85b é\n\n" + "x" * 70 + "ö" * 151 + "y"]
+    f = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for k, text in enumerate(texts):
+        want = {r.chunk for r in garbled.document_chunks(f).where(F.col("doc_id") == k).collect()}
+        got = set()
+        for m in garbled.chunk_pattern().finditer(text):
+            got.add(garbled.lead_start().sub("", m[0]) if len(m[0]) > garbled.LEAD_FROM else m[0])
+        assert got == want
 
 
 def test_words_decide_among_all_originals(spark):
