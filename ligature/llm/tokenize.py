@@ -1,10 +1,10 @@
 """Encoding of a corpus with a public byte-level BPE through a global distinct-word shuffle.
 
-Texts are split where they lie. The texts read together form a block; every pre-token of a block is
-a distinct word with the positions it stands at, so the exploded corpus is sent as one row per block
-and distinct word. A row goes to the partition of its word, where every distinct word is encoded once
-however many blocks hold it; the ids join the positions, come back to their block and are put into
-place by position. Decoding joins each id with the table of token bytes and reassembles by position.
+Texts are split where they lie. The texts read together form a block; their pre-tokens are exploded in
+the order of their positions, as the number of a distinct word of the block at each position. A distinct word
+of a block is a row; it goes to the partition of its word, where every distinct word is encoded once however
+many blocks hold it; the ids come back to their block, are joined to the positions by number and put into
+place. Decoding joins each id with the table of token bytes and reassembles by position.
 """
 
 from __future__ import annotations
@@ -37,7 +37,9 @@ BLOCK_CHARS = 6_000_000
 WORD_BLOCKS = 10_000
 PART_BYTES, MANY_PARTS, LARGE_PART_BYTES = 4 << 20, 20_000, 128 << 20
 UNKNOWN = 1 << 60
-WORDS, CODED = "block long, word string, positions binary", "block long, ids binary, positions binary"
+WORDS, CODED = "block long, code int, word binary", "block long, code int, ids binary"
+#: Code of the row that holds a block's documents and positions.
+HEAD = -1
 
 
 @lru_cache(1)
@@ -70,29 +72,18 @@ class Codes(dict):
         return code
 
 
-def packed(codes: np.ndarray, n_words: int) -> pa.Array:
-    """The positions of each code: one byte for the width of the steps, four for the first position, then the steps."""
-    order = np.argsort(codes, kind="stable")
-    count = np.bincount(codes, minlength=n_words)
-    first = np.cumsum(count) - count
-    steps = np.diff(order, prepend=0)
-    steps[first] = 0
-    largest = np.maximum.reduceat(steps, first)
-    width = np.where(largest < 1 << 8, 1, np.where(largest < 1 << 16, 2, 4))
-    offsets = np.concatenate([[0], np.cumsum(5 + (count - 1) * width)])
-    out = np.zeros(offsets[-1], np.uint8)
-    out[offsets[:-1]] = width
-    for k in range(4):
-        out[offsets[:-1] + 1 + k] = (order[first] >> (8 * k)) & 255
-    word = np.repeat(np.arange(n_words), count)
-    nth = np.arange(len(codes)) - first[word]
-    later = nth > 0
-    word, nth, steps = word[later], nth[later], steps[later]
-    at = offsets[word] + 5 + (nth - 1) * width[word]
-    for k in range(4):
-        wide = width[word] > k
-        out[at[wide] + k] = (steps[wide] >> (8 * k)) & 255
-    return pa.Array.from_buffers(pa.binary(), n_words, [None, pa.py_buffer(offsets.astype(np.int32).tobytes()), pa.py_buffer(out.tobytes())])
+def head_of(ids: list[int | None], counts: list[int], codes: np.ndarray) -> bytes:
+    """A block's documents, null or not, id and number of pre-tokens, and the code at each position."""
+    docs = np.array([[i is None, i or 0, n] for i, n in zip(ids, counts)], "<i8").tobytes()
+    return np.array([len(ids)], "<i8").tobytes() + docs + pa.compress(codes.astype("<i4").tobytes(), "zstd", asbytes=True)
+
+
+def documents_of(head: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """``(documents, codes)`` of :func:`head_of`."""
+    n = int(np.frombuffer(head, "<i8", 1)[0])
+    docs = np.frombuffer(head, "<i8", 3 * n, 8).reshape(-1, 3)
+    size = 4 * int(docs[:, 2].sum())
+    return docs, np.frombuffer(pa.decompress(head[8 + 24 * n :], size, "zstd", asbytes=True), "<i4")
 
 
 def ragged(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -105,28 +96,8 @@ def ragged(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return offsets - offsets[0], data[offsets[0] : offsets[-1]]
 
 
-def unpacked(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """``(word, position)`` of every occurrence in the rows of :func:`packed`."""
-    start = offsets[:-1]
-    width = data[start].astype(np.int64)
-    count = 1 + (np.diff(offsets) - 5) // width
-    word = np.repeat(np.arange(len(start)), count)
-    begins = np.cumsum(count) - count
-    nth = np.arange(len(word)) - begins[word]
-    steps = np.zeros(len(word), np.int64)
-    for k in range(4):
-        steps[begins] += data[start + 1 + k].astype(np.int64) << (8 * k)
-    later = np.flatnonzero(nth)
-    at = start[word[later]] + 5 + (nth[later] - 1) * width[word[later]]
-    for k in range(4):
-        wide = width[word[later]] > k
-        steps[later[wide]] += data[at[wide] + k].astype(np.int64) << (8 * k)
-    total = np.cumsum(steps)
-    return word, total - (total - steps)[begins][word]
-
-
 def exploded(block_chars: int):
-    """Batches of ``(doc_id, text)`` to each block's distinct pre-tokens with their positions; a row without a word holds the block's ids and numbers of pre-tokens."""
+    """Batches of ``(doc_id, text)`` to each block's distinct pre-tokens, numbered, and its row of positions."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -136,15 +107,14 @@ def exploded(block_chars: int):
         words, codes, ids, counts, chars = Codes(), [], [], [], 0
 
         def emit() -> pa.RecordBatch:
-            head = np.array([[i is None, i or 0, n] for i, n in zip(ids, counts)], "<i8").tobytes()
-            positions = packed(np.concatenate(codes), len(words))
             n = len(words) + 1
-            return pa.RecordBatch.from_arrays([pa.array(np.full(n, block)), pa.array([None, *words], pa.string()), pa.concat_arrays([pa.array([head], pa.binary()), positions])], names=["block", "word", "positions"])
+            rows = [head_of(ids, counts, np.concatenate(codes)), *(w.encode("utf-8") for w in words)]
+            return pa.RecordBatch.from_arrays([pa.array(np.full(n, block)), pa.array(np.arange(HEAD, n - 1, dtype=np.int32)), pa.array(rows, pa.binary())], names=["block", "code", "word"])
 
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 pieces = pre_tokens(text)
-                codes.append(np.fromiter(map(words.__getitem__, pieces), np.int64, len(pieces)))
+                codes.append(np.fromiter(map(words.__getitem__, pieces), np.int32, len(pieces)))
                 ids.append(doc)
                 counts.append(len(pieces))
                 chars += len(text)
@@ -159,38 +129,40 @@ def exploded(block_chars: int):
 
 
 def encode_words(path: str):
-    """Batches ordered by word; each word is encoded when it first comes, into 32-bit integers."""
+    """Batches of ``(block, code, word)`` ordered by word; each word is encoded when it first comes, into 32-bit integers. Rows of positions pass."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, last, ids = encoder(path), None, None
+        encode, last, ids = encoder(path), None, b""
         for batch in batches:
             out = []
-            for word in batch.column(1).to_pylist():
-                if word is not None and word != last:
-                    last, ids = word, np.array(encode(word), "<i4").tobytes()
-                out.append(ids if word is not None else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary()), batch.column(2)], names=["block", "ids", "positions"])
+            for code, word in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                if code == HEAD:
+                    out.append(word)
+                    continue
+                if word != last:
+                    last, ids = word, np.array(encode(word.decode("utf-8")), "<i4").tobytes()
+                out.append(ids)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], names=["block", "code", "ids"])
 
     return run
 
 
 def reassemble(rows: pa.Table) -> pa.Table:
-    """One block: the ids of each word at the positions it stands at, cut into documents."""
-    is_head = rows.column("ids").is_null()
-    head = np.frombuffer(rows.filter(is_head).column("positions")[0].as_py(), "<i8").reshape(-1, 3)
+    """One block: the ids joined to the positions by code, and cut into documents."""
+    is_head = pc.equal(rows.column("code"), HEAD)
+    docs, codes = documents_of(rows.filter(is_head).column("ids")[0].as_py())
     words = rows.filter(pc.invert(is_head))
-    id_offsets, id_bytes = ragged(words.column("ids"))
-    word, position = unpacked(*ragged(words.column("positions")))
-    ids = id_bytes.view("<i4")
-    at = np.empty(len(word), np.int64)
-    at[position] = word
-    length = (np.diff(id_offsets) // 4)[at]
+    offsets, raw = ragged(words.column("ids"))
+    row_of = np.empty(words.num_rows, np.int64)
+    row_of[words.column("code").to_numpy()] = np.arange(words.num_rows)
+    at = row_of[codes]
+    length = (np.diff(offsets) // 4)[at]
     ends = np.cumsum(length)
-    values = ids[np.repeat(id_offsets[at] // 4 - (ends - length), length) + np.arange(ends[-1])]
+    values = raw.view("<i4")[np.repeat(offsets[at] // 4 - (ends - length), length) + np.arange(ends[-1])]
     # Lists of 32-bit offsets: a block's ids are far fewer than 2**31.
-    offsets = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(head[:, 2])])]
-    lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, pa.int32()))
-    return pa.table({"doc_id": pa.array(head[:, 1], mask=head[:, 0] == 1), "ids": lists})
+    bounds = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(docs[:, 2])])]
+    lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(values, pa.int32()))
+    return pa.table({"doc_id": pa.array(docs[:, 1], mask=docs[:, 0] == 1), "ids": lists})
 
 
 def settled(texts: DataFrame) -> DataFrame:
@@ -226,8 +198,9 @@ def encode_corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rows = texts.mapInArrow(exploded(block_chars), WORDS)
     # A word of all blocks is dealt out by block; blocks are at least as large as block_chars bytes, so their number is bounded by the size (compressed about five to one).
     salts = max(1, 5 * size // block_chars // WORD_BLOCKS)
-    salt = F.when(F.col("word").isNull(), F.col("block")).otherwise(F.pmod(F.xxhash64("block"), F.lit(salts).cast("long")))
-    coded = rows.repartition(n, F.col("word"), salt).sortWithinPartitions("word").mapInArrow(encode_words(f"{folder}/{VOCABULARY}"), CODED)
+    head = F.col("code") == HEAD
+    salt = F.when(head, F.col("block")).otherwise(F.pmod(F.xxhash64("block"), F.lit(salts).cast("long")))
+    coded = rows.repartition(n, F.when(~head, F.col("word")), salt).sortWithinPartitions("word").mapInArrow(encode_words(f"{folder}/{VOCABULARY}"), CODED)
     ids = coded.repartition(n, "block").groupBy("block").applyInArrow(reassemble, "doc_id long, ids array<int>")
     return ids.unionByName(both.where(blank).select("doc_id", F.array().cast("array<int>").alias("ids")))
 
