@@ -9,7 +9,7 @@ from ligature.functions import messages
 from ligature.functions.similarity import email_similarity
 from ligature.operators import evaluate, hubs, pairs, report, tokens
 from ligature.plans import sql
-from ligature.runtime import cut, read
+from ligature.runtime import cut, read, stored
 
 
 #: Thresholds under which every branch of the evaluation occurs in the test data.
@@ -24,7 +24,8 @@ def _derived(spark: SparkSession, d: str, *keep: str) -> DataFrame:
 
 
 def _index(spark: SparkSession, d: str) -> DataFrame:
-    return tokens.index(_derived(spark, d, *tokens.INDEXED))
+    """The searchable index of a table of articles, built once and kept as long as the table stays as it is."""
+    return stored(spark, "index", [f"{d}/articles_raw.parquet"], lambda: tokens.index(_derived(spark, d, *tokens.INDEXED)).repartition("attr", "value"))
 
 
 def _flags(spark: SparkSession, d: str) -> DataFrame:
@@ -32,7 +33,7 @@ def _flags(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _labels(spark: SparkSession, d: str) -> DataFrame:
-    index = cut(_index(spark, d))
+    index = _index(spark, d)
     return report.labelled(evaluate.alive(index), pairs.peer_counts(pairs.scored_pairs(index)), evaluate.passing_attrs(hubs.passing(index)))
 
 
@@ -139,8 +140,8 @@ def passing_attrs(spark, d):
 
 
 def outcomes_legacy(spark, d):
-    """Outcome and reasons of every connected article. The index is used several times: written once."""
-    index = cut(_index(spark, d))
+    """Outcome and reasons of every connected article."""
+    index = _index(spark, d)
     return evaluate.outcomes(index, pairs.peer_counts(pairs.scored_pairs(index)), _flags(spark, d))
 
 
@@ -179,7 +180,7 @@ def red_outcomes(spark, d):
 
 def outcomes_sensitive(spark, d):
     """Outcomes under thresholds that every reason and outcome reaches: hubs of two articles, address and document author for b0, a lower score, red documents as flags."""
-    index = cut(_index(spark, d))
+    index = _index(spark, d)
     return evaluate.outcomes(index, pairs.peer_counts(pairs.scored_pairs(index)), _red(spark, d), **SENSITIVE)
 
 

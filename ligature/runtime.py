@@ -62,6 +62,26 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+_STORED: dict[tuple, str] = {}
+
+
+def stored(spark: SparkSession, name: str, sources: list[str], make) -> DataFrame:
+    """What ``make()`` gives, written as Parquet the first time in a session and read from there afterwards.
+
+    It is made anew when one of the source paths has changed, or its files are gone.
+    """
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    at = lambda p: jvm.org.apache.hadoop.fs.Path(p)
+    states = [(s, at(s).getFileSystem(conf).getFileStatus(at(s))) for s in sources]
+    key = (spark.sparkContext.applicationId, name, *((s, x.getModificationTime(), x.getLen()) for s, x in states))
+    path = _STORED.get(key)
+    if path is None or not at(path).getFileSystem(conf).exists(at(f"{path}/_SUCCESS")):
+        path = scratch(spark, name)
+        make().write.parquet(path)
+        _STORED[key] = path
+    return spark.read.parquet(path)
+
+
 def estimated_bytes(df: DataFrame) -> int:
     """Catalyst's size estimate of ``df``; never runs a job."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

@@ -16,7 +16,12 @@ def damaged(spark, sf, tmp_path_factory):
 
 @pytest.mark.parametrize("name", QUERIES)
 def test_empty(spark, damaged, name):
-    assert QUERIES[name][0](spark, damaged["empty"]).count() <= 16
+    """Empty tables give what SQL gives on them; without SQL, no rows."""
+    f, sql = QUERIES[name]
+    if sql:
+        same(f(spark, damaged["empty"]), connect(damaged["empty"]), sql)
+    else:
+        assert f(spark, damaged["empty"]).count() == 0
 
 
 @pytest.mark.parametrize("name", [n for n, (_, sql) in QUERIES.items() if sql])

@@ -4,7 +4,7 @@ import os
 
 from pyspark.sql import functions as F
 
-from ligature.runtime import cut, hot_limit, join_counted, release
+from ligature.runtime import cut, hot_limit, join_counted, release, stored
 
 
 def test_hot_keys_are_few():
@@ -35,3 +35,12 @@ def test_release(spark):
     release(df)
     assert not os.path.exists(path)
     release(spark.range(3))
+
+
+def test_stored_until_the_source_changes(spark, tmp_path):
+    source, made = str(tmp_path / "s"), []
+    make = lambda: made.append(1) or spark.read.parquet(source).withColumn("y", F.col("id") + 1)
+    spark.range(3).write.parquet(source)
+    assert stored(spark, "t", [source], make).count() == 3 == stored(spark, "t", [source], make).count() and len(made) == 1
+    spark.range(5).write.mode("overwrite").parquet(source)
+    assert stored(spark, "t", [source], make).count() == 5 and len(made) == 2
