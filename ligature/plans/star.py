@@ -27,15 +27,15 @@ DERIVED = {
     "articles": ("orders", ["o_orderkey as article_id", "o_orderpriority as title", "cast(o_custkey % 30 as int) as stage_id", "case when o_orderkey % 3 = 0 then cast(o_orderkey % 7 as int) end as reason_id", "cast(o_orderkey % 25 as int) as type_id", "cast(o_custkey % 5 as int) as space_id", "cast(o_custkey % 27 as int) as path_id", "case when o_orderkey % 10 < 3 then o_orderkey % 10 = 0 end as is_deleted", "o_orderdate as submitted"]),
     "stages": ("nation", ["n_nationkey as stage_id", "n_name as name"]),
     "reasons": ("region", ["r_regionkey as reason_id", "r_name as name", "substr(r_name, 1, 2) as code"]),
-    "types": ("nation", ["n_nationkey as type_id", "n_regionkey as space_id", "concat('Type ', n_name) as name"]),
+    "types": ("nation", ["n_nationkey as type_id", "n_regionkey as space_id", "'Type ' || n_name as name"]),
     "paths": ("nation", ["n_nationkey as path_id", "n_regionkey as journal_id", "case when n_nationkey % 4 > 0 then n_nationkey end as section_id"]),
     "journals": ("region", ["r_regionkey as journal_id", "r_name as name"]),
     "sections": ("nation", ["n_nationkey as section_id", "n_name as name"]),
-    "authors": ("lineitem", ["l_orderkey as article_id", _AUTHOR, "case when l_partkey % 5 > 0 then concat('P', l_partkey % 50, ' ') end as first_name", "case when l_partkey % 3 = 0 then 'M' when l_partkey % 3 = 1 then '' end as middle_name", "case when l_partkey % 20 = 0 then 'N/A' else concat('S', l_suppkey) end as last_name", "case when l_linenumber % 4 = 2 then true when l_linenumber % 4 = 1 then false end as is_submitting", "l_returnflag = 'R' as is_corresponding", "case when l_linenumber < 6 then l_linenumber end as {q}order{q}", "l_partkey as email_id"]),
-    "emails": ("part", ["p_partkey as email_id", "p_partkey % 600 as user_id", "case when p_partkey % 11 > 0 then concat(p_name, '@', p_brand) end as email", "p_size % 2 = 0 as is_primary", "p_size as modified"]),
+    "authors": ("lineitem", ["l_orderkey as article_id", _AUTHOR, "case when l_partkey % 5 > 0 then 'P' || (l_partkey % 50) || ' ' end as first_name", "case when l_partkey % 3 = 0 then 'M' when l_partkey % 3 = 1 then '' end as middle_name", "case when l_partkey % 20 = 0 then 'N/A' else 'S' || l_suppkey end as last_name", "case when l_linenumber % 4 = 2 then true when l_linenumber % 4 = 1 then false end as is_submitting", "l_returnflag = 'R' as is_corresponding", "case when l_linenumber < 6 then l_linenumber end as {q}order{q}", "l_partkey as email_id"]),
+    "emails": ("part", ["p_partkey as email_id", "p_partkey % 600 as user_id", "case when p_partkey % 11 > 0 then p_name || '@' || p_brand end as email", "p_size % 2 = 0 as is_primary", "p_size as modified"]),
     "affiliations": ("lineitem", [_AUTHOR, "cast(l_linenumber % 2 as int) as {q}order{q}", "(l_suppkey + l_linenumber) % 120 as organisation_id"]),
     "organisations": ("supplier", ["s_suppkey as organisation_id", "case when s_suppkey % 9 = 0 then ' Unknown' else s_name end as name"]),
-    "users": ("customer", ["c_custkey % 600 as user_id", "case when c_custkey % 7 > 0 then concat(' C', c_custkey % 40) end as first_name", "case when c_custkey % 40 < 10 then 'M' end as middle_name", "case when c_custkey % 7 > 0 then c_mktsegment end as last_name", "c_custkey as modified"]),
+    "users": ("customer", ["c_custkey % 600 as user_id", "case when c_custkey % 7 > 0 then ' C' || (c_custkey % 40) end as first_name", "case when c_custkey % 40 < 10 then 'M' end as middle_name", "case when c_custkey % 7 > 0 then c_mktsegment end as last_name", "c_custkey as modified"]),
     "editors": ("lineitem", ["l_orderkey as article_id", "l_partkey % 700 as user_id", "case when l_returnflag = 'A' then l_shipdate end as revoked", "case when l_linestatus = 'F' then 1 else 2 end as status"]),
     "reviewers": ("lineitem", ["l_orderkey as article_id", "l_suppkey * 6 as user_id", "case when l_returnflag = 'N' then l_shipdate end as ended", "cast(l_linenumber % 4 as int) as status"]),
 }
@@ -288,10 +288,10 @@ def _context_sql() -> str:
     return f"""with {derived},
 art as (select * from ({own["articles"]}) where not coalesce(is_deleted, false) and submitted >= timestamp '{STAR_AS_OF}' - interval {STAR_DAYS} day),
 mail as ({own["emails"]}),
-lu as (select * from (select *, row_number() over (partition by user_id order by modified desc) as rn from users) where rn = 1),
+lu as (select * from (select *, row_number() over (partition by user_id order by modified desc nulls last, first_name nulls last, last_name nulls last, middle_name nulls last) as rn from users) where rn = 1),
 pe as (select user_id, email from (select *, row_number() over (partition by user_id order by modified desc nulls last, email nulls last) as rn from mail where is_primary and user_id is not null) where rn = 1),
 first_org as (select author_id, min(organisation_id) as organisation_id from affiliations where "order" = 1 group by 1),
-aut as (select a.*, row_number() over (partition by article_id order by case when coalesce(is_submitting, false) then 0 else 1 end, case when coalesce(is_corresponding, false) then 0 else 1 end, "order" nulls last, author_id) as rn from (select distinct * from ({own["authors"]})) a where article_id is not null),
+aut as (select a.*, row_number() over (partition by article_id order by case when coalesce(is_submitting, false) then 0 else 1 end, case when coalesce(is_corresponding, false) then 0 else 1 end, "order" nulls last, author_id nulls last, first_name nulls last, middle_name nulls last, last_name nulls last, email_id nulls last) as rn from (select distinct * from ({own["authors"]})) a where article_id is not null),
 who as (select article_id, {c(shown)} as author_name, lower({c("email")}) as author_email, {c("organisations.name")} as author_org from aut left join mail using (email_id) left join first_org using (author_id) left join organisations using (organisation_id) where rn = 1),
 ed as ({people("select distinct article_id, user_id from editors where revoked is null and status = 1", context.EDITORS)}),
 re as ({people("select distinct article_id, user_id from reviewers where status = 2 or (status = 1 and ended is null)", context.REVIEWERS)}),

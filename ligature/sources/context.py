@@ -17,7 +17,7 @@ EDITORS, REVIEWERS = 3, 5
 
 def latest_users(users: DataFrame) -> DataFrame:
     """The last state of each user in a change stream."""
-    order = [F.desc_nulls_last("modified"), F.asc_nulls_last("first_name"), F.asc_nulls_last("last_name")]
+    order = [F.desc_nulls_last("modified"), F.asc_nulls_last("first_name"), F.asc_nulls_last("last_name"), F.asc_nulls_last("middle_name")]
     return best_row(users.select("user_id", "first_name", "middle_name", "last_name", "modified").distinct(), ["user_id"], order).drop("modified")
 
 
@@ -31,9 +31,9 @@ def picked_author(authors: DataFrame, emails: DataFrame, affiliations: DataFrame
     """Per article the submitting, else the corresponding, else the first author, with e-mail and first organisation.
 
     The author is picked before anything is joined; the first affiliation is part of the join's
-    condition, so an author without one stays.
+    condition, so an author without one stays. Ties are broken by the columns, null ones last.
     """
-    rank = [F.when(F.coalesce("is_submitting", F.lit(False)), 0).otherwise(1), F.when(F.coalesce("is_corresponding", F.lit(False)), 0).otherwise(1), F.asc_nulls_last("order"), F.col("author_id")]
+    rank = [F.when(F.coalesce("is_submitting", F.lit(False)), 0).otherwise(1), F.when(F.coalesce("is_corresponding", F.lit(False)), 0).otherwise(1), *(F.asc_nulls_last(c) for c in ("order", "author_id", "first_name", "middle_name", "last_name", "email_id"))]
     one = best_row(authors.where("article_id is not null").distinct(), ["article_id"], rank)
     first = affiliations.where(F.col("order") == 1).groupBy("author_id").agg(F.min("organisation_id").alias("organisation_id"))
     rows = one.join(emails.select("email_id", "email"), "email_id", "left").join(first, "author_id", "left").join(small(organisations.select("organisation_id", F.col("name").alias("org"))), "organisation_id", "left")
